@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from pulseline.functions.text import bot_flag, host_of
 from pulseline.functions.timefn import local_date_num
+from pulseline.operators.paging import top_n
 from pulseline.schema import ACTIVITY_SCHEMA
 from pulseline.session import configure
 
@@ -146,3 +147,60 @@ def request_log(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.lit("127.0.0.1").alias("remote_addr"),
         F.col("timestamp").alias("received_at"),
     )
+
+
+def legacy_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Wide events of the older format as JSON text; every tenth has no times."""
+    ua = activity(spark, sf_dir)
+    timed = F.col("id") % 10 != 0
+    message = F.struct(
+        "id",
+        "ip_user",
+        "browser",
+        "referer",
+        (F.col("id") % 300).alias("stay_duration"),
+        "hostname",
+        "url",
+        "user_cookie",
+        F.when(timed, F.col("timestamp")).alias("timestamp"),
+        "is_bot",
+        "date_num",
+        F.col("timestamp").alias("timestamp_int"),
+        (F.col("id") % 7).alias("domain_id"),
+        "domain",
+        F.when(timed, F.col("created_at")).alias("created_at"),
+    )
+    return ua.select(F.to_json(message).alias("value"))
+
+
+def write_reports(threats: DataFrame, path: str, per_day: int = 300) -> None:
+    """One fenced verdict report per day, with a template row that means nothing."""
+    top = top_n(threats, per_day, [F.desc("score"), "ip"], per=["date_num"])
+    cells = ["verdict", "score", "ip", "country", "isp", "threat_type", "reason", "solution"]
+    quoted = F.concat(F.lit('"'), F.col("reason"), F.lit(', checked"'))
+    values = {"country": F.lit("US"), "isp": F.lit("Example Net"), "reason": quoted}
+    line = F.concat_ws(",", *[values.get(c, F.col(c).cast("string")) for c in cells])
+    rows = top.select("date_num", F.lit(2).alias("part"), "ip", line.alias("value"))
+    frame = F.array(
+        F.struct(F.lit(0).alias("part"), F.lit("```csv").alias("value")),
+        F.struct(F.lit(1).alias("part"), F.lit(" verdict , score," + ",".join(cells[2:])).alias("value")),
+        F.struct(F.lit(3).alias("part"), F.lit("Critical,99,<IP>,US,X,<threat_type>,r,s").alias("value")),
+        F.struct(F.lit(4).alias("part"), F.lit("```").alias("value")),
+    )
+    frames = top.select("date_num").distinct().select("date_num", F.explode(frame).alias("f"))
+    frames = frames.select("date_num", "f.part", F.lit("").alias("ip"), "f.value")
+    (
+        rows.unionByName(frames)
+        .repartition("date_num")
+        .sortWithinPartitions("date_num", "part", "ip")
+        .select("date_num", "value")
+        .write.partitionBy("date_num")
+        .text(path)
+    )
+
+
+def write_alert_documents(alerts: DataFrame, path: str) -> None:
+    """Alert documents as JSON lines with a broken line for every critical one."""
+    whole = alerts.select("verdict", F.to_json(F.struct(*alerts.columns)).alias("value"))
+    broken = whole.filter("verdict = 'Critical'").withColumn("value", F.lit('{"ip": '))
+    whole.unionByName(broken).select("value").write.text(path)
