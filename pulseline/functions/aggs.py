@@ -1,11 +1,8 @@
 """Aggregate expressions shared by the operators."""
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-EVENT_ORDER = ("timestamp", "id")
-
-
 def _col(c) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
@@ -22,17 +19,35 @@ def uniq_if(cond: Column, c, approx: bool = False) -> Column:
     return uniq(F.when(cond, _col(c)), approx=approx)
 
 
-def first_event(*cols) -> Column:
-    """Struct of the columns on the earliest event of the group.
+def fold(df: DataFrame, *keys) -> DataFrame:
+    """Heartbeats with equal keys as one row: ``hits``, ``first_ts``, ``last_ts``.
+
+    The buffers have fixed width, so this is a hash aggregation with map-side partial
+    results, and what comes after it sees page loads instead of heartbeats.
+    """
+    return df.groupBy(*keys).agg(
+        F.count("*").alias("hits"),
+        F.min("timestamp").alias("first_ts"),
+        F.max("timestamp").alias("last_ts"),
+    )
+
+
+def first_of(*cols) -> Column:
+    """Struct of the columns on the earliest folded row of a group.
 
-    The columns end the ordering, so rows with equal time and id cannot make
-    the result depend on how the data was split.
+    The columns themselves order rows of the same second (an event id is made from
+    the second and cannot), so the result does not depend on how the data was split.
     """
-    return F.min(F.struct(*EVENT_ORDER, *cols))
+    return F.min(F.struct("first_ts", *cols))
+
+
+def last_of(*cols) -> Column:
+    return F.max(F.struct("last_ts", *cols))
 
 
-def last_event(*cols) -> Column:
-    return F.max(F.struct(*EVENT_ORDER, *cols))
+def span() -> Column:
+    """Seconds between the first and the last event of the folded rows."""
+    return F.max("last_ts") - F.min("first_ts")
 
 
 def ratio(num, den) -> Column:

@@ -29,19 +29,16 @@ def url_clusters(ua: DataFrame) -> DataFrame:
 
     Requests are folded per address, agent and referer first, which spreads a busy path.
     """
-    folded = (
-        ua.withColumn("path", path_of("url"))
-        .groupBy(*CLUSTER, "ip_user", "browser", "referer")
-        .agg(F.count("*").alias("reqs"), F.min(F.struct(*aggs.EVENT_ORDER)).alias("at"))
-    )
+    paths = ua.withColumn("path", path_of("url"))
+    folded = aggs.fold(paths, *CLUSTER, "ip_user", "browser", "referer")
     return (
         folded.groupBy(*CLUSTER)
         .agg(
             aggs.uniq("ip_user").alias("distinct_ips"),
-            F.sum("reqs").alias("reqs"),
+            F.sum("hits").alias("reqs"),
             aggs.uniq("browser").alias("distinct_uas"),
             aggs.uniq(F.nullif("referer", F.lit(""))).alias("distinct_refs"),
-            F.min(F.struct("at", "browser", "referer")).alias("sample"),
+            aggs.first_of("browser", "referer").alias("sample"),
         )
         .withColumns(
             {"ua_sample": F.col("sample.browser"), "ref_sample": F.col("sample.referer")}

@@ -19,10 +19,11 @@ def between_days(df: DataFrame, first_day: int, last_day: int) -> DataFrame:
     return df.filter(F.col("date_num").between(first_day, last_day))
 
 
-def for_host(df: DataFrame, hostname: str | None) -> DataFrame:
-    """Rows of one host; all rows when no host is given."""
-    name = (hostname or "").strip()
-    return df.filter(F.col("hostname") == F.lit(name)) if name else df
+def for_host(df: DataFrame, hostname=None) -> DataFrame:
+    """Rows of one host (a name or a scalar column); all rows when none is given."""
+    if isinstance(hostname, str):
+        hostname = hostname.strip() or None
+    return df if hostname is None else df.filter(F.col("hostname") == as_column(hostname))
 
 
 def ip_contains(df: DataFrame, text: str | None) -> DataFrame:

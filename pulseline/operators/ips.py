@@ -36,20 +36,16 @@ class IpThresholds:
     shared_agent_ips: int = 20
 
 
+VISIT = ["user_cookie", "hostname", "url", "browser", "referer", "is_bot"]
+
+
 def _visits(ua: DataFrame, per) -> DataFrame:
-    """Requests of one address folded per cookie, host and URL.
+    """Requests of one address folded per cookie, agent and page load.
 
     The URL patterns then run once per URL instead of once per request, and a busy
     address is spread over its URLs before its distincts are counted.
     """
-    return ua.groupBy(*per, "ip_user", "user_cookie", "hostname", "url").agg(
-        F.count("*").alias("reqs"),
-        F.sum("is_bot").alias("bots"),
-        F.min("timestamp").alias("first_ts"),
-        F.max("timestamp").alias("last_ts"),
-        aggs.first_event("browser").alias("first"),
-        aggs.last_event("referer").alias("last"),
-    )
+    return aggs.fold(ua, *per, "ip_user", *VISIT)
 
 
 def ip_profile(ua: DataFrame, per=("date_num",)) -> DataFrame:
@@ -58,15 +54,15 @@ def ip_profile(ua: DataFrame, per=("date_num",)) -> DataFrame:
     rows = visits.groupBy(*per, "ip_user").agg(
         aggs.uniq("user_cookie").alias("distinct_cookies"),
         F.max(F.when(blank("user_cookie"), 0).otherwise(1)).alias("has_cookie"),
-        F.min("first").alias("first"),
-        F.sum("reqs").alias("total_requests"),
+        aggs.first_of("browser").alias("first"),
+        F.sum("hits").alias("total_requests"),
         aggs.uniq("hostname").alias("distinct_hostnames"),
         aggs.uniq("url").alias("distinct_urls"),
-        F.sum(F.when(is_sensitive("url"), F.col("reqs")).otherwise(0)).alias("sensitive_hits"),
-        F.sum(F.when(is_attack("url"), F.col("reqs")).otherwise(0)).alias("attack_hits"),
-        F.max("last").alias("last"),
-        F.sum("bots").cast("bigint").alias("bot_flags"),
-        (F.max("last_ts") - F.min("first_ts")).alias("duration_sec"),
+        F.sum(F.when(is_sensitive("url"), F.col("hits")).otherwise(0)).alias("sensitive_hits"),
+        F.sum(F.when(is_attack("url"), F.col("hits")).otherwise(0)).alias("attack_hits"),
+        aggs.last_of("referer").alias("last"),
+        F.sum(F.col("hits") * F.col("is_bot")).alias("bot_flags"),
+        aggs.span().alias("duration_sec"),
     )
     rps = aggs.round_at(F.col("total_requests") / F.greatest("duration_sec", F.lit(1)), 2)
     score = (

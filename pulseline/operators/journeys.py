@@ -30,11 +30,12 @@ VISITOR = ["date_num", "user_cookie"]
 def journey_stats(ua: DataFrame) -> DataFrame:
     """Steps, duration and first attributes per day and cookie."""
     return (
-        ua.groupBy(*VISITOR)
+        aggs.fold(ua, *VISITOR, "ip_user", "browser", "url")
+        .groupBy(*VISITOR)
         .agg(
-            F.count("*").alias("steps"),
-            (F.max("timestamp") - F.min("timestamp")).alias("duration"),
-            aggs.first_event("ip_user", "browser", "url").alias("first"),
+            F.sum("hits").alias("steps"),
+            aggs.span().alias("duration"),
+            aggs.first_of("ip_user", "browser", "url").alias("first"),
         )
         .select(
             *VISITOR,

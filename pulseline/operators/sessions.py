@@ -13,14 +13,15 @@ SESSION_KEYS = ["session_id", "user_cookie", "date_num"]
 
 def session_detail(ua: DataFrame, ip: str | None = None) -> DataFrame:
     """One row per session, cookie and day: latest page, first attributes, times."""
+    sample = ["referer", "browser", "is_bot", "ip_user", "domain"]
+    loads = aggs.fold(ip_contains(ua, ip), *SESSION_KEYS, "hostname", "url", *sample)
     return (
-        ip_contains(ua, ip)
-        .groupBy(*SESSION_KEYS)
+        loads.groupBy(*SESSION_KEYS)
         .agg(
-            aggs.last_event("hostname", "url").alias("last"),
-            aggs.first_event("referer", "browser", "is_bot", "ip_user", "domain").alias("first"),
-            F.min("timestamp").alias("first_ts"),
-            F.max("timestamp").alias("last_ts"),
+            aggs.last_of("hostname", "url").alias("last"),
+            aggs.first_of(*sample).alias("first"),
+            F.min("first_ts").alias("first_ts"),
+            F.max("last_ts").alias("last_ts"),
         )
         .select(
             *SESSION_KEYS,

@@ -66,13 +66,13 @@ def _slice(ua: DataFrame, days) -> DataFrame:
     return ua if days is None else on_days(ua, days_needed(days))
 
 
-def period_totals(ua: DataFrame, days=None, host: str | None = None) -> DataFrame:
+def period_totals(ua: DataFrame, days=None, host=None) -> DataFrame:
     """Users, views and bot sessions of each report day, the day before and a week before."""
     rows = for_host(_slice(ua, days), host)
     return compare_days(daily_rollup(rows, ["date_num"], TOTALS), TOTALS, days=days)
 
 
-def period_totals_same_hour(ua: DataFrame, hour: int, days=None, host: str | None = None) -> DataFrame:
+def period_totals_same_hour(ua: DataFrame, hour: int, days=None, host=None) -> DataFrame:
     """All-traffic totals of the two earlier days up to a local hour.
 
     ``views`` counts distinct page loads, ``hits`` heartbeats.

@@ -79,8 +79,9 @@ ua AS (
          CAST(regexp_matches(lower({_AGENT}), '{"|".join(BOT_KEYWORDS)}') AS INTEGER) AS is_bot,
          CASE WHEN user_id % 8 = 7 THEN '' ELSE 'u' || user_id END AS user_cookie,
          CASE WHEN user_id % 5 = 1 THEN '203.0.113.9'
-              WHEN user_id % 7 = 0 THEN '2001:db8:0:' || (user_id % 4) || '::' || (user_id % 50)
-              ELSE '10.0.' || (user_id % 4) || '.' || (user_id % 25) END AS ip_user,
+              WHEN user_id % 7 = 0 THEN '2001:db8:0:' || (user_id % 4) || '::' || (user_id // 14)
+              ELSE '10.' || (user_id // 187500 % 250) || '.' || (user_id // 750 % 250) || '.' || (user_id // 3 % 250)
+         END AS ip_user,
          timestamp,
          {_date_num("timestamp")} AS date_num,
          regexp_replace(regexp_extract(page_url, '{HOST_PATTERN}', 1), '^(www|m|blog)\\.', '') AS domain,
@@ -100,7 +101,16 @@ def twin(name: str, body: str, *ctes: str) -> None:
 VIEWS = "count(DISTINCT (session_id, url))"
 USERS = "count(DISTINCT user_cookie) FILTER (WHERE is_bot = 0)"
 BOTS = "count(DISTINCT session_id) FILTER (WHERE is_bot = 1)"
-AT = "timestamp * 1000000000 + id"
+
+
+def _first(*cols: str) -> str:
+    """Struct of the columns on the earliest event; equal seconds ordered by the columns."""
+    return "min({'t': timestamp, " + ", ".join(f"'{c}': {c}" for c in cols) + "})"
+
+
+def _last(*cols: str) -> str:
+    return _first(*cols).replace("min(", "max(", 1)
+
 
 FIRST = "first AS (SELECT user_cookie, hostname, min(date_num) AS first_date_num FROM ua GROUP BY ALL)"
 NEW = """new AS (SELECT first_date_num AS date_num, count(DISTINCT user_cookie) AS new_users
@@ -167,7 +177,9 @@ twin("online_slots", _ONLINE, SLOTS)
 twin("stream_online_slots", _ONLINE, SLOTS)
 twin(
     "stream_closed_slots",
-    "SELECT slot_start, hostname, count(*) AS active_users FROM slots, latest WHERE slot_start + 600 <= as_of - 2400 GROUP BY ALL",
+    # The watermark follows the rows it is applied to, which are the human ones.
+    """SELECT slot_start, hostname, count(*) AS active_users FROM slots
+WHERE slot_start + 600 <= (SELECT max(timestamp) FROM ua WHERE is_bot = 0) - 2400 GROUP BY ALL""",
     SLOTS,
 )
 twin(
@@ -202,6 +214,7 @@ FROM ua GROUP BY ALL
 
 # Filters
 
+BUSIEST = "(SELECT hostname FROM ua GROUP BY hostname ORDER BY count(*) DESC, hostname LIMIT 1)"
 
 def _hits(name: str, where: str, by: str) -> None:
     twin(name, f"SELECT {by}, count(*) AS hits FROM ua, latest WHERE {where} GROUP BY ALL")
@@ -211,7 +224,7 @@ _NEEDED = ", ".join(str(d) for d in periods.days_needed([DAY]))
 _hits("day_filter", f"date_num = {DAY}", "date_num, hostname")
 _hits("day_list_filter", f"date_num IN ({_NEEDED})", "date_num, hostname")
 _hits("day_range_filter", f"date_num BETWEEN {WEEK[0]} AND {WEEK[1]}", "date_num, hostname")
-_hits("host_filter", "hostname = 'blog.tionsh.example.net'", "date_num, hostname")
+_hits("host_filter", f"hostname = {BUSIEST}", "date_num, hostname")
 _hits("ip_search", "contains(ip_user, '10.0.1')", "ip_user")
 _hits("time_range_filter", "timestamp >= as_of - 345600 AND timestamp < as_of - 86400", "date_num, hostname")
 _LOCAL_HOUR = "CAST((timestamp + 28800) // 3600 % 24 AS INTEGER)"
@@ -249,11 +262,12 @@ WHERE date_num = {DAY} ORDER BY users DESC, hostname LIMIT 10 OFFSET 10""",
 
 def _sessions(where: str = "true") -> str:
     return f"""detail AS (SELECT session_id, user_cookie, date_num,
-  arg_max(hostname, {AT}) AS hostname, arg_max(url, {AT}) AS url,
-  arg_min(referer, {AT}) AS referer, arg_min(browser, {AT}) AS browser, arg_min(is_bot, {AT}) AS is_bot,
-  arg_min(ip_user, {AT}) AS ip_user, arg_min(domain, {AT}) AS domain,
-  min(timestamp) AS first_ts, max(timestamp) AS last_ts, max(timestamp) - min(timestamp) AS stay_duration
-FROM ua WHERE {where} GROUP BY ALL)"""
+  l.hostname AS hostname, l.url AS url, f.referer AS referer, f.browser AS browser, f.is_bot AS is_bot,
+  f.ip_user AS ip_user, f.domain AS domain, first_ts, last_ts, last_ts - first_ts AS stay_duration
+FROM (SELECT session_id, user_cookie, date_num, {_last("hostname", "url")} AS l,
+    {_first("referer", "browser", "is_bot", "ip_user", "domain")} AS f,
+    min(timestamp) AS first_ts, max(timestamp) AS last_ts
+  FROM ua WHERE {where} GROUP BY ALL))"""
 
 
 _NEWEST = "ORDER BY last_ts DESC, session_id DESC, user_cookie DESC"
@@ -306,7 +320,7 @@ _compare(
     "period_totals_one_day",
     _METRICS,
     "totals",
-    TOTALS.replace("FROM ua", "FROM ua WHERE hostname = 'blog.tionsh.example.net'"),
+    TOTALS.replace("FROM ua", f"FROM ua WHERE hostname = {BUSIEST}"),
     days="SELECT CAST(20240104 AS INTEGER) AS report_day",
 )
 _compare(
@@ -326,7 +340,7 @@ def _change(name: str, by: str) -> None:
     for span in ("day", "week"):
         prev = f"prev_{span}"
         cells.append(
-            f"""CASE WHEN {prev} <> 0 THEN round(CAST(100 * (value - {prev}) / {prev} AS DOUBLE) * 10) / 10 END AS pct_{span},
+            f"""CASE WHEN {prev} <> 0 THEN round(CAST(100 * (value - {prev}) / {prev} AS DOUBLE) * 10) / 10 + 0.0 END AS pct_{span},
 CASE WHEN {prev} = 0 AND value > 0 THEN '+100%' WHEN {prev} = 0 THEN 'N/A'
   WHEN value > {prev} THEN 'up' ELSE 'down' END AS report_{span},
 CASE WHEN {prev} = 0 AND value > 0 THEN '+100%' WHEN {prev} = 0 THEN '0%'
@@ -515,11 +529,11 @@ def _profile(per: str, source: str = "ua") -> str:
   + CASE WHEN rps > {ip_rules.FAST_RPS} THEN rps * {ip_rules.RPS_WEIGHT} ELSE 0 END + total_requests AS DOUBLE) AS score
 FROM (SELECT *, round(total_requests / CAST(greatest(duration_sec, 1) AS DOUBLE) * 100) / 100 AS rps FROM (
   SELECT {per}, ip_user, count(DISTINCT user_cookie) AS distinct_cookies,
-    CAST(max(user_cookie <> '') AS INTEGER) AS has_cookie, arg_min(browser, {AT}) AS user_agent,
+    CAST(max(user_cookie <> '') AS INTEGER) AS has_cookie, {_first("browser")}.browser AS user_agent,
     count(*) AS total_requests, count(DISTINCT hostname) AS distinct_hostnames, count(DISTINCT url) AS distinct_urls,
     count(*) FILTER (WHERE regexp_matches(url, '{SENSITIVE_PATTERN}')) AS sensitive_hits,
     count(*) FILTER (WHERE regexp_matches(url, '{ATTACK_PATTERN}')) AS attack_hits,
-    arg_max(referer, {AT}) AS sample_referer, CAST(sum(is_bot) AS BIGINT) AS bot_flags,
+    {_last("referer")}.referer AS sample_referer, CAST(sum(is_bot) AS BIGINT) AS bot_flags,
     max(timestamp) - min(timestamp) AS duration_sec
   FROM {source} GROUP BY ALL)))"""
 
@@ -584,15 +598,15 @@ _JOURNEYS = """
 SELECT date_num, user_cookie, ip, ua_short, steps, duration,
   CASE WHEN length(path) > 500 THEN left(path, 500) || '...' ELSE path END AS path
 FROM (
-  SELECT date_num, user_cookie, arg_min(ip_user, {at}) AS ip, left(arg_min(browser, {at}), 50) AS ua_short,
+  SELECT date_num, user_cookie, {first}.ip_user AS ip, left({first}.browser, 50) AS ua_short,
     count(*) AS steps, max(timestamp) - min(timestamp) AS duration,
     string_agg(url, ' -> ' ORDER BY timestamp, id) AS path
   FROM ua WHERE {where} GROUP BY ALL HAVING count(*) >= 2)
 QUALIFY row_number() OVER (PARTITION BY date_num ORDER BY duration, user_cookie) <= 100
 """
-twin("journeys_all_days", _JOURNEYS.format(at=AT, where="true"))
-twin("csv_export_paths", _JOURNEYS.format(at=AT, where="true"))
-twin("journeys_one_day", _JOURNEYS.format(at=AT, where=f"date_num = {DAY}"))
+twin("journeys_all_days", _JOURNEYS.format(first=_first("ip_user", "browser", "url"), where="true"))
+twin("csv_export_paths", _JOURNEYS.format(first=_first("ip_user", "browser", "url"), where="true"))
+twin("journeys_one_day", _JOURNEYS.format(first=_first("ip_user", "browser", "url"), where=f"date_num = {DAY}"))
 _MOVES = """moves AS (SELECT date_num, user_cookie, from_url, url AS to_url, count(*) AS moves FROM (
   SELECT *, lag(url) OVER (PARTITION BY date_num, user_cookie ORDER BY timestamp, id) AS from_url FROM ua)
 WHERE from_url IS NOT NULL AND from_url <> url GROUP BY ALL)"""
@@ -608,14 +622,15 @@ FROM flagged WHERE machine_speed + looping + direct_hunting > 0
     f"""flagged AS (SELECT j.*, CAST(steps > 3 AND duration < 2 AS INTEGER) AS machine_speed,
   CAST(coalesce(m >= 3, false) AS INTEGER) AS looping,
   CAST({_words("first_url", journey_rules.HUNTING_WORDS)} AS INTEGER) AS direct_hunting
-FROM (SELECT date_num, user_cookie, arg_min(ip_user, {AT}) AS ip, arg_min(url, {AT}) AS first_url,
+FROM (SELECT date_num, user_cookie, {_first("ip_user", "browser", "url")}.ip_user AS ip,
+  {_first("ip_user", "browser", "url")}.url AS first_url,
   count(*) AS steps, max(timestamp) - min(timestamp) AS duration FROM ua GROUP BY ALL) j
 LEFT JOIN (SELECT date_num, user_cookie, max(moves) AS m FROM moves GROUP BY ALL) l USING (date_num, user_cookie))""",
 )
 _CLUSTERS = f"""clusters AS (SELECT date_num, hostname,
   CASE WHEN p = '' THEN '/' ELSE p END AS path, count(DISTINCT ip_user) AS distinct_ips, count(*) AS reqs,
   count(DISTINCT browser) AS distinct_uas, count(DISTINCT nullif(referer, '')) AS distinct_refs,
-  arg_min(browser, {AT}) AS ua_sample, arg_min(referer, {AT}) AS ref_sample
+  {_first("browser", "referer")}.browser AS ua_sample, {_first("browser", "referer")}.referer AS ref_sample
 FROM (SELECT *, regexp_extract(url, '{PATH_PATTERN}', 1) AS p FROM ua) GROUP BY date_num, hostname, path)"""
 twin("url_clusters", "SELECT * FROM clusters", _CLUSTERS)
 _SAFE = f"""((distinct_ips >= {CLUSTER_LIMITS.ips} AND distinct_uas > {CLUSTER_LIMITS.diverse_share} * distinct_ips
@@ -710,7 +725,7 @@ ORDER BY timestamp DESC, ip, threat_type, reason LIMIT 20 OFFSET 20""",
 twin("alerts_dismiss", f"SELECT * FROM alerts WHERE ip NOT IN {_list(DISMISSED)}", *THREATS, ALERTS)
 twin(
     "alerts_dismiss_table",
-    "SELECT * FROM alerts WHERE ip NOT IN (SELECT ip FROM alerts WHERE verdict = 'Critical')",
+    "SELECT * FROM alerts WHERE ip NOT IN (SELECT ip FROM alerts WHERE threat_type = 'Multi-host Scan')",
     *THREATS,
     ALERTS,
 )

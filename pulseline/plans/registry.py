@@ -1,6 +1,7 @@
 """Named queries over the test tables: one entry per operator."""
 
 from collections.abc import Callable
+from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -12,6 +13,7 @@ from pulseline.operators import (
     filters,
     ips,
     journeys,
+    paging,
     periods,
     realtime,
     referers,
@@ -41,7 +43,7 @@ class Tables:
     def __init__(self, spark: SparkSession, sf_dir: str):
         self.spark, self.sf_dir = configure(spark), sf_dir
 
-    @property
+    @cached_property
     def ua(self) -> DataFrame:
         return testdata.activity(self.spark, self.sf_dir)
 
@@ -50,17 +52,18 @@ class Tables:
         ua = testdata.activity(self.spark, self.sf_dir, first, last)
         return filters.between_days(ua, first, last)
 
-    @property
+    @cached_property
     def first(self) -> DataFrame:
         return rollups.first_seen(self.ua)
 
     @property
     def as_of(self):
         """The newest event second, from the event times alone."""
-        events = self.table("events").select(
-            F.floor(F.unix_micros(F.max("ts").cast("timestamp")) / 1000000).cast("bigint")
-        )
-        return events.scalar()
+        return self.table("events").select(F.unix_timestamp(F.max("ts"))).scalar()
+
+    def busiest_host(self):
+        hits = _hits(self.ua, "hostname")
+        return paging.top_n(hits, 1, [F.desc("hits"), "hostname"]).select("hostname").scalar()
 
     def table(self, name: str) -> DataFrame:
         return testdata.table(self.spark, self.sf_dir, name)
@@ -280,7 +283,7 @@ def day_range_filter(t):
 
 @report
 def host_filter(t):
-    return _hits(filters.for_host(t.ua, " blog.tionsh.example.net "), "date_num", "hostname")
+    return _hits(filters.for_host(t.ua, t.busiest_host()), "date_num", "hostname")
 
 
 @report
@@ -376,7 +379,7 @@ def period_totals(t):
 @report
 def period_totals_one_day(t):
     """The report of one day and host; days without traffic are zero."""
-    return summary.period_totals(t.ua, days=[20240104], host="blog.tionsh.example.net")
+    return summary.period_totals(t.ua, days=[20240104], host=t.busiest_host())
 
 
 @report
@@ -602,7 +605,7 @@ def alerts_dismiss(t):
 @report
 def alerts_dismiss_table(t):
     rows = t.alert_rows()
-    return alerts.alerts_dismiss(rows, rows.filter("verdict = 'Critical'"))
+    return alerts.alerts_dismiss(rows, rows.filter("threat_type = 'Multi-host Scan'"))
 
 
 @report

@@ -35,8 +35,22 @@ def _utc_start(day: int) -> datetime:
     return datetime(local.year, local.month, local.day) - timedelta(hours=LOCAL_OFFSET_HOURS)
 
 
+# Columns of the two base tables, stated so that no footer is read for them.
+SCHEMAS = {
+    "events": "event_id bigint, ts timestamp_ntz, user_id bigint, event_type string, "
+    "value double, props string",
+    "pages": "page_id bigint, url string, html string",
+}
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return spark.read.schema(SCHEMAS[name]).parquet(f"{sf_dir}/{name}.parquet")
+
+
+def spread(df: DataFrame, key: str) -> DataFrame:
+    """Use all cores for an input too small to be split; larger inputs stay as they are."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores, key) if df.rdd.getNumPartitions() < cores else df
 
 
 def events_between(events: DataFrame, first_day: int | None, last_day: int | None) -> DataFrame:
@@ -60,11 +74,17 @@ def to_activity(events: DataFrame, pages: DataFrame) -> DataFrame:
         "user_id",
         "event_type",
         k.alias("k"),
-        F.floor(F.unix_micros(F.col("ts").cast("timestamp")) / 1000000).cast("bigint").alias("timestamp"),
+        F.unix_timestamp("ts").alias("timestamp"),
         F.pmod(user * 7 + k % 10, n_pages).alias("page"),
         F.pmod(user * 3 + k + 17, n_pages).alias("from_page"),
     )
-    seen = pages.select(F.col("page_id").alias("page"), F.col("url").alias("page_url"))
+    host = host_of("url")
+    seen = pages.select(
+        F.col("page_id").alias("page"),
+        F.col("url").alias("page_url"),
+        host.alias("host"),
+        F.regexp_replace(host, r"^(www|m|blog)\.", "").alias("bare_host"),
+    )
     source = pages.select(F.col("page_id").alias("from_page"), F.col("url").alias("from_url"))
     joined = base.join(seen, "page", "left").join(source, "from_page", "left")
 
@@ -81,27 +101,37 @@ def to_activity(events: DataFrame, pages: DataFrame) -> DataFrame:
         .when(F.col("k") == 14, "http://best-casino.example.net/x")
         .otherwise(F.coalesce("from_url", F.lit("")))
     )
-    agent = F.element_at(F.array(*[F.lit(a) for a in USER_AGENTS]), (user % 8 + 1).cast("int"))
+
+    def by_agent(values):
+        """Value by user; the array holds literals only and is folded once."""
+        return F.element_at(F.array(*values), (user % 8 + 1).cast("int"))
+
+    agents = [F.lit(a) for a in USER_AGENTS]
     address = (
         F.when(user % 5 == 1, "203.0.113.9")
-        .when(user % 7 == 0, F.concat(F.lit("2001:db8:0:"), user % 4, F.lit("::"), user % 50))
-        .otherwise(F.concat(F.lit("10.0."), user % 4, F.lit("."), user % 25))
+        .when(user % 7 == 0, F.concat(F.lit("2001:db8:0:"), user % 4, F.lit("::"), F.floor(user / 14)))
+        .otherwise(
+            F.concat_ws(
+                ".",
+                F.lit("10"),
+                *[(F.floor(user / step) % 250).cast("string") for step in (187500, 750, 3)],
+            )
+        )
     )
-    host = host_of(page_url)
     ts = F.col("timestamp")
     rows = joined.select(
         F.col("event_id").alias("id"),
         F.concat(F.lit("s"), user, F.lit("-"), F.floor(ts / 14400)).alias("session_id"),
-        host.alias("hostname"),
+        F.coalesce("host", F.lit("")).alias("hostname"),
         url.alias("url"),
         referer.alias("referer"),
-        agent.alias("browser"),
-        bot_flag(agent).alias("is_bot"),
+        by_agent(agents).alias("browser"),
+        by_agent([bot_flag(a) for a in agents]).alias("is_bot"),
         F.when(user % 8 == 7, "").otherwise(F.concat(F.lit("u"), user)).alias("user_cookie"),
         address.alias("ip_user"),
         "timestamp",
         local_date_num(ts).alias("date_num"),
-        F.regexp_replace(host, r"^(www|m|blog)\.", "").alias("domain"),
+        F.coalesce("bare_host", F.lit("")).alias("domain"),
         ts.alias("created_at"),
     )
     return rows.select(*[F.col(f.name).cast(f.dataType) for f in ACTIVITY_SCHEMA])
@@ -115,6 +145,7 @@ def activity(
 ) -> DataFrame:
     configure(spark)
     events = events_between(table(spark, sf_dir, "events"), first_day, last_day)
+    events = spread(events.drop("value"), "event_id")
     return to_activity(events, table(spark, sf_dir, "pages"))
 
 
