@@ -130,8 +130,9 @@ def shared_agents(profile: DataFrame, at_least: int, per=("date_num",)) -> DataF
 def ip_threats(profile: DataFrame, limits: IpThresholds = IpThresholds(), per=("date_num",)) -> DataFrame:
     """Critical and suspicious addresses; the first rule that holds names the threat.
 
-    The profile has one row per address; a common user agent makes its join key hot,
-    which the adaptive skew join splits.
+    The profile has one row per address and is read twice, so pass a stored one. A common
+    user agent makes the join key hot, which the adaptive skew join splits; the other
+    side has one row per agent.
     """
     shared = shared_agents(profile, limits.shared_agent_ips, per)
     rows = profile.join(shared, [*per, "user_agent"], "left")

@@ -22,7 +22,7 @@ from pulseline.operators import (
     summary,
     trends,
 )
-from pulseline.session import configure, work_dir
+from pulseline.session import configure, stored, work_dir
 from pulseline.sources import export, ingest, tables, testdata
 from pulseline.streaming import jobs
 
@@ -69,7 +69,8 @@ class Tables:
         return testdata.table(self.spark, self.sf_dir, name)
 
     def threats(self) -> DataFrame:
-        return ips.ip_threats(ips.ip_profile(self.ua))
+        """Verdicts on a stored profile, which the shared-agent rule reads a second time."""
+        return ips.ip_threats(stored(ips.ip_profile(self.ua), "profile"))
 
     def alert_rows(self) -> DataFrame:
         at = F.unix_timestamp(F.col("date_num").cast("string"), "yyyyMMdd")
@@ -288,7 +289,7 @@ def host_filter(t):
 
 @report
 def ip_search(t):
-    return _hits(filters.ip_contains(t.ua, " 10.0.1"), "ip_user")
+    return _hits(filters.ip_contains(t.ua, " 10.0.0.1"), "ip_user")
 
 
 @report

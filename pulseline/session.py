@@ -2,8 +2,9 @@
 
 import os
 import tempfile
+from functools import cache
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 RUNTIME_CONF = {
     # Local-time expressions assume epoch seconds rendered in UTC.
@@ -21,23 +22,30 @@ def configure(spark: SparkSession) -> SparkSession:
     return spark
 
 
-def local_session(cores: str = "8", app: str = "pulseline") -> SparkSession:
-    """A local session for tests and the bench."""
-    spark = (
-        SparkSession.builder.master(f"local[{cores}]")
-        .appName(app)
-        .config("spark.ui.enabled", "false")
-        .config("spark.ui.showConsoleProgress", "false")
-        .config("spark.sql.shuffle.partitions", cores if cores.isdigit() else "8")
-        .config("spark.driver.memory", "8g")
-        .config("spark.driver.host", "127.0.0.1")
-        .config("spark.sql.session.timeZone", "UTC")
-        .getOrCreate()
-    )
+def local_session(cores: str = "8", app: str = "pulseline", **conf: str) -> SparkSession:
+    """A local session for tests and the bench; ``conf`` holds extra settings."""
+    builder = SparkSession.builder.master(f"local[{cores}]").appName(app)
+    settings = {
+        "spark.ui.enabled": "false",
+        "spark.ui.showConsoleProgress": "false",
+        "spark.sql.shuffle.partitions": cores if cores.isdigit() else "8",
+        "spark.driver.memory": "8g",
+        "spark.driver.host": "127.0.0.1",
+        "spark.sql.codegen.cache.maxEntries": "2000",
+        "spark.sql.session.timeZone": "UTC",
+    }
+    for key, value in (settings | conf).items():
+        builder = builder.config(key, value)
+    spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
     return configure(spark)
 
 
+@cache
+def _local_root() -> str:
+    return tempfile.mkdtemp(prefix="pulseline-")
+
+
 def work_dir(spark: SparkSession, name: str) -> str:
     """A new folder for written tables under the cluster's shared checkpoint folder.
 
@@ -50,6 +58,16 @@ def work_dir(spark: SparkSession, name: str) -> str:
     if not root:
         if not spark.sparkContext.master.startswith("local"):
             raise RuntimeError("set spark.checkpoint.dir to a folder shared by all executors")
-        root = tempfile.mkdtemp(prefix="pulseline-")
-        spark.conf.set("spark.checkpoint.dir", root)
-    return os.path.join(root.rstrip("/"), f"{name}-{os.urandom(6).hex()}")
+        root = _local_root()
+    return f"{root.rstrip('/')}/{name}-{os.urandom(6).hex()}"
+
+
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """Write ``df`` to the work folder and read it back.
+
+    For a result that is used more than once: the second use reads the small table instead of
+    repeating the scan and shuffle, and a lost executor costs no recomputation.
+    """
+    path = work_dir(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -10,8 +10,8 @@ from datetime import date, datetime, timedelta
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pulseline.functions.text import bot_flag, host_of
-from pulseline.functions.timefn import local_date_num
+from pulseline.functions.text import BOT_KEYWORDS, host_of
+from pulseline.functions.timefn import LOCAL_TZ
 from pulseline.operators.paging import top_n
 from pulseline.schema import ACTIVITY_SCHEMA
 from pulseline.session import configure
@@ -64,11 +64,46 @@ def events_between(events: DataFrame, first_day: int | None, last_day: int | Non
     return events
 
 
+def _sql_list(values) -> str:
+    return ", ".join(f"'{v}'" for v in values)
+
+
+_AGENT_IS_BOT = ", ".join(
+    f"int(lower('{agent}') RLIKE '{'|'.join(BOT_KEYWORDS)}')" for agent in USER_AGENTS
+)
+
+# The mapping by output column. ``user_id % 8`` selects from arrays of constants, which
+# the optimizer folds once.
+ACTIVITY_COLUMNS = [
+    "event_id AS id",
+    "concat('s', user_id, '-', timestamp div 14400) AS session_id",
+    "coalesce(host, '') AS hostname",
+    """CASE WHEN event_type = 'error' AND k % 5 = 0 THEN concat(coalesce(page_url, ''), '/wp-admin')
+            WHEN event_type = 'error' AND k % 5 = 1 THEN concat(coalesce(page_url, ''), '?q=UNION%20select')
+            ELSE coalesce(page_url, '') END AS url""",
+    """CASE WHEN event_type = 'signup' THEN ''
+            WHEN k = 13 THEN 'not a url'
+            WHEN k = 14 THEN 'http://best-casino.example.net/x'
+            ELSE coalesce(from_url, '') END AS referer""",
+    f"element_at(array({_sql_list(USER_AGENTS)}), int(user_id % 8 + 1)) AS browser",
+    f"element_at(array({_AGENT_IS_BOT}), int(user_id % 8 + 1)) AS is_bot",
+    "CASE WHEN user_id % 8 = 7 THEN '' ELSE concat('u', user_id) END AS user_cookie",
+    """CASE WHEN user_id % 5 = 1 THEN '203.0.113.9'
+            WHEN user_id % 7 = 0 THEN concat('2001:db8:0:', user_id % 4, '::', user_id div 14)
+            ELSE concat('10.', user_id div 187500 % 250, '.', user_id div 750 % 250, '.', user_id div 3 % 250)
+       END AS ip_user""",
+    "timestamp",
+    f"""int(date_format(from_utc_timestamp(timestamp_seconds(timestamp), '{LOCAL_TZ}'), 'yyyyMMdd'))
+       AS date_num""",
+    "coalesce(bare_host, '') AS domain",
+    "timestamp AS created_at",
+]
+
+
 def to_activity(events: DataFrame, pages: DataFrame) -> DataFrame:
     """Activity rows from event rows (batch or stream) and the page table."""
-    user = F.col("user_id")
-    k = F.get_json_object("props", "$.k").cast("bigint")
     n_pages = pages.select(F.count("*")).scalar()
+    user, k = F.col("user_id"), F.get_json_object("props", "$.k").cast("bigint")
     base = events.select(
         "event_id",
         "user_id",
@@ -85,56 +120,9 @@ def to_activity(events: DataFrame, pages: DataFrame) -> DataFrame:
         host.alias("host"),
         F.regexp_replace(host, r"^(www|m|blog)\.", "").alias("bare_host"),
     )
-    source = pages.select(F.col("page_id").alias("from_page"), F.col("url").alias("from_url"))
+    source = pages.selectExpr("page_id AS from_page", "url AS from_url")
     joined = base.join(seen, "page", "left").join(source, "from_page", "left")
-
-    page_url = F.coalesce("page_url", F.lit(""))
-    kind = F.col("event_type")
-    url = (
-        F.when((kind == "error") & (F.col("k") % 5 == 0), F.concat(page_url, F.lit("/wp-admin")))
-        .when((kind == "error") & (F.col("k") % 5 == 1), F.concat(page_url, F.lit("?q=UNION%20select")))
-        .otherwise(page_url)
-    )
-    referer = (
-        F.when(kind == "signup", "")
-        .when(F.col("k") == 13, "not a url")
-        .when(F.col("k") == 14, "http://best-casino.example.net/x")
-        .otherwise(F.coalesce("from_url", F.lit("")))
-    )
-
-    def by_agent(values):
-        """Value by user; the array holds literals only and is folded once."""
-        return F.element_at(F.array(*values), (user % 8 + 1).cast("int"))
-
-    agents = [F.lit(a) for a in USER_AGENTS]
-    address = (
-        F.when(user % 5 == 1, "203.0.113.9")
-        .when(user % 7 == 0, F.concat(F.lit("2001:db8:0:"), user % 4, F.lit("::"), F.floor(user / 14)))
-        .otherwise(
-            F.concat_ws(
-                ".",
-                F.lit("10"),
-                *[(F.floor(user / step) % 250).cast("string") for step in (187500, 750, 3)],
-            )
-        )
-    )
-    ts = F.col("timestamp")
-    rows = joined.select(
-        F.col("event_id").alias("id"),
-        F.concat(F.lit("s"), user, F.lit("-"), F.floor(ts / 14400)).alias("session_id"),
-        F.coalesce("host", F.lit("")).alias("hostname"),
-        url.alias("url"),
-        referer.alias("referer"),
-        by_agent(agents).alias("browser"),
-        by_agent([bot_flag(a) for a in agents]).alias("is_bot"),
-        F.when(user % 8 == 7, "").otherwise(F.concat(F.lit("u"), user)).alias("user_cookie"),
-        address.alias("ip_user"),
-        "timestamp",
-        local_date_num(ts).alias("date_num"),
-        F.coalesce("bare_host", F.lit("")).alias("domain"),
-        ts.alias("created_at"),
-    )
-    return rows.select(*[F.col(f.name).cast(f.dataType) for f in ACTIVITY_SCHEMA])
+    return joined.selectExpr(*ACTIVITY_COLUMNS)
 
 
 def activity(
