@@ -157,18 +157,6 @@ def _period_by_host(ua: DataFrame, first: DataFrame) -> DataFrame:
     return _with_new(totals, new, ["week", "hostname"])
 
 
-def _period_total(ua: DataFrame, first: DataFrame) -> DataFrame:
-    loads = ua.groupBy("week", "session_id", "url", "user_cookie", "is_bot").agg(
-        F.count("*").alias("hits")
-    )
-    totals = loads.groupBy("week").agg(
-        aggs.uniq_if(F.col("is_bot") == 0, "user_cookie").alias("users"),
-        aggs.uniq("session_id", "url").alias("views"),
-    )
-    new = first.groupBy("week").agg(aggs.uniq("user_cookie").alias("new_users"))
-    return _with_new(totals, new, "week")
-
-
 def weekly_by_host(ua: DataFrame, first: DataFrame) -> DataFrame:
     """Users, views and new users per host for every Monday-to-Sunday week.
 
@@ -178,7 +166,17 @@ def weekly_by_host(ua: DataFrame, first: DataFrame) -> DataFrame:
 
 
 def weekly_grand_total(ua: DataFrame, first: DataFrame) -> DataFrame:
-    return _period_total(*_by_week(ua, first))
+    """Users, views and new users of every Monday-to-Sunday week."""
+    ua, first = _by_week(ua, first)
+    loads = ua.groupBy("week", "session_id", "url", "user_cookie", "is_bot").agg(
+        F.count("*").alias("hits")
+    )
+    totals = loads.groupBy("week").agg(
+        aggs.uniq_if(F.col("is_bot") == 0, "user_cookie").alias("users"),
+        aggs.uniq("session_id", "url").alias("views"),
+    )
+    new = first.groupBy("week").agg(aggs.uniq("user_cookie").alias("new_users"))
+    return _with_new(totals, new, "week")
 
 
 def range_by_host(ua: DataFrame, first: DataFrame, start: int, end: int, n: int = 5000) -> DataFrame:
@@ -188,7 +186,13 @@ def range_by_host(ua: DataFrame, first: DataFrame, start: int, end: int, n: int
 
 
 def range_grand_total(ua: DataFrame, first: DataFrame, start: int, end: int) -> DataFrame:
-    return _period_total(*_by_range(ua, first, start, end)).drop("week")
+    """One row: users, views and new users over a day range."""
+    loads = page_loads(between_days(ua, start, end))
+    new = first.filter(F.col("first_date_num").between(start, end))
+    return loads.agg(
+        aggs.uniq_if(F.col("is_bot") == 0, "user_cookie").alias("users"),
+        aggs.uniq("session_id", "url").alias("views"),
+    ).withColumn("new_users", new.select(aggs.uniq("user_cookie")).scalar())
 
 
 def host_sessions(ua: DataFrame) -> DataFrame:

@@ -11,10 +11,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from pulseline.functions.timefn import as_column
 from pulseline.operators import ips, rollups
 from pulseline.operators.alerts import to_alerts
 from pulseline.operators.rollups import ROLLUP_HORIZON, SLOT_LOOKBACK
+from pulseline.session import stored
 from pulseline.sources.ingest import APPEND_INTERVAL, normalize_events
 
 SLOT_WINDOW = "10 minutes"
@@ -225,8 +225,8 @@ def abuse_check(
 ) -> DataFrame:
     """Alert documents for the freshest window of the activity table."""
     profile = ips.ip_profile(ips.recent_activity(activity, as_of), ("window_rank",))
-    threats = ips.ip_threats(profile, limits, ("window_rank",))
-    return to_alerts(threats, as_column(as_of))
+    threats = ips.ip_threats(stored(profile, "profile"), limits, ("window_rank",))
+    return to_alerts(threats, as_of)
 
 
 def watch_abuse(
@@ -235,11 +235,12 @@ def watch_abuse(
     path: str,
     checkpoint: str,
     interval: str | None = "2 hours",
+    limits: ips.IpThresholds = ips.IpThresholds(),
 ) -> StreamingQuery:
     """Run the abuse check after every micro-batch, as of the newest event in it."""
 
     def work(df: DataFrame, batch_id: int) -> None:
         as_of = df.select(F.max("timestamp")).scalar()
-        write_batch(abuse_check(read_table(), as_of), path, batch_id)
+        write_batch(abuse_check(read_table(), as_of, limits), path, batch_id)
 
     return _each_batch(stream, checkpoint, interval, work)
