@@ -82,19 +82,26 @@ def page_moves(ua: DataFrame, bucket_seconds: int = BUCKET_SECONDS) -> DataFrame
 
     Repeated heartbeats on a page are no move. The order is followed inside short time
     buckets, and across them through the first and last URL of each bucket, so even a
-    cookie with most of the traffic is never sorted in one task.
+    cookie with most of the traffic is never sorted in one task. Both parts start from
+    the same shuffle by bucket.
     """
     order = ["timestamp", "id", "url"]
     bucket = (F.col("timestamp") - F.pmod("timestamp", F.lit(bucket_seconds))).alias("bucket")
     events = ua.select(*VISITOR, bucket, *order)
 
     inside = Window.partitionBy(*VISITOR, "bucket").orderBy(*order)
-    within = events.withColumn("from_url", F.lag("url").over(inside)).select(
-        *VISITOR, "from_url", F.col("url").alias("to_url")
+    walked = events.withColumns(
+        {"from_url": F.lag("url").over(inside), "next_url": F.lead("url").over(inside)}
     )
-    ends = events.groupBy(*VISITOR, "bucket").agg(
-        F.min(F.struct(*order))["url"].alias("first_url"),
-        F.max(F.struct(*order))["url"].alias("last_url"),
+    within = walked.select(*VISITOR, "from_url", F.col("url").alias("to_url"))
+    starts, stops = F.col("from_url").isNull(), F.col("next_url").isNull()
+    ends = (
+        walked.filter(starts | stops)
+        .groupBy(*VISITOR, "bucket")
+        .agg(
+            F.max(F.when(starts, F.col("url"))).alias("first_url"),
+            F.max(F.when(stops, F.col("url"))).alias("last_url"),
+        )
     )
     across = Window.partitionBy(*VISITOR).orderBy("bucket")
     between = ends.withColumn("from_url", F.lag("last_url").over(across)).select(

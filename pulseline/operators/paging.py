@@ -3,6 +3,10 @@
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+# The default of spark.sql.optimizer.windowGroupLimitThreshold.
+LIMITED_RANK = 1000
+SALTS = 64
+
 
 def with_total(df: DataFrame, rows: DataFrame | None = None, name: str = "total_rows") -> DataFrame:
     """Append the row count of ``rows`` (default: of ``df``) as a scalar subquery.
@@ -39,9 +43,18 @@ def top_n(df: DataFrame, n: int, order, per=None) -> DataFrame:
     """First ``n`` rows in the order, overall or per group.
 
     Overall this is a distributed top-k. Per group, every task keeps only its own
-    first ``n`` rows of a group before the shuffle, so a large group stays cheap.
+    first ``n`` rows of a group before the shuffle, so a large group stays cheap. Spark
+    does that up to ``LIMITED_RANK``; for a larger ``n`` a group is first cut in salted parts.
     """
     if per is None:
         return df.orderBy(*order).limit(n)
+    if n > LIMITED_RANK:
+        salt = F.pmod(F.xxhash64(*df.columns), F.lit(SALTS))
+        df = _first_rows(df.withColumn("_salt", salt), n, order, [*per, "_salt"]).drop("_salt")
+    return _first_rows(df, n, order, per)
+
+
+def _first_rows(df: DataFrame, n: int, order, per) -> DataFrame:
     window = Window.partitionBy(*per).orderBy(*order)
-    return df.withColumn("_rank", F.row_number().over(window)).filter(F.col("_rank") <= n).drop("_rank")
+    ranked = df.withColumn("_rank", F.row_number().over(window))
+    return ranked.filter(F.col("_rank") <= n).drop("_rank")

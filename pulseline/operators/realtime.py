@@ -7,6 +7,7 @@ from pulseline.functions import aggs
 from pulseline.functions.timefn import as_column, slot_start
 from pulseline.operators.filters import humans, trailing
 from pulseline.operators.paging import page, top_n, with_total
+from pulseline.operators.rollups import merge_states
 from pulseline.operators.summary import MAX_STAY
 from pulseline.operators.trends import device_breakdown
 
@@ -16,18 +17,26 @@ ONLINE_NOW_SECONDS = 120
 MINUTE = 60
 
 
-def online_by_host(keys: DataFrame, as_of, minutes: int = ONLINE_SLOTS_MINUTES) -> DataFrame:
-    """Users per host over the slots that start in the last ``minutes``.
+def recent_slots(slots: DataFrame, as_of, minutes: int = ONLINE_SLOTS_MINUTES) -> DataFrame:
+    """Slot rows that start in the last ``minutes``."""
+    as_of = as_column(as_of)
+    start = F.col("slot_start")
+    return slots.filter((start >= as_of - F.lit(minutes * MINUTE)) & (start <= as_of))
+
 
-    ``keys`` holds distinct (slot, host, cookie) rows.
+def online_by_host(slots: DataFrame, as_of, minutes: int = ONLINE_SLOTS_MINUTES) -> DataFrame:
+    """Users per host over the recent slots.
+
+    ``slots`` holds distinct (slot, host, cookie) rows, or sketch states per slot and host.
     """
-    as_of = as_column(as_of)
-    recent = (F.col("slot_start") >= as_of - F.lit(minutes * MINUTE)) & (F.col("slot_start") <= as_of)
-    return keys.filter(recent).groupBy("hostname").agg(aggs.uniq("user_cookie").alias("active_users"))
+    recent = recent_slots(slots, as_of, minutes)
+    if "active_users_state" in slots.columns:
+        return merge_states(recent, by=["hostname"])
+    return recent.groupBy("hostname").agg(aggs.uniq("user_cookie").alias("active_users"))
 
 
-def online_page(keys: DataFrame, as_of, minutes: int = ONLINE_SLOTS_MINUTES, limit: int = 20, offset: int = 0) -> DataFrame:
-    rows = online_by_host(keys, as_of, minutes)
+def online_page(slots: DataFrame, as_of, minutes: int = ONLINE_SLOTS_MINUTES, limit: int = 20, offset: int = 0) -> DataFrame:
+    rows = online_by_host(slots, as_of, minutes)
     return with_total(page(rows, [F.desc("active_users"), "hostname"], limit, offset), rows.select("hostname"))
 
 

@@ -36,22 +36,28 @@ def _with_new(df: DataFrame, new: DataFrame, on) -> DataFrame:
     )
 
 
+def summarize_days(rollup: DataFrame, first: DataFrame) -> DataFrame:
+    """Day totals from a rollup by day, exact or merged from sketch states."""
+    return _with_new(rollup.select("date_num", *TOTALS), new_users(first), "date_num")
+
+
+def summarize_hosts(rollup: DataFrame, first: DataFrame) -> DataFrame:
+    """Host summary from a rollup by day and host, exact or merged from sketch states."""
+    stay = F.coalesce(F.round(aggs.ratio("stay_seconds", "sessions")), F.lit(0.0)).cast("bigint")
+    keys = ["date_num", "hostname"]
+    base = rollup.select(*keys, *TOTALS, stay.alias("avg_stay"))
+    return _with_new(base, new_users_by_host(first), keys)
+
+
 def summary_grand_total(ua: DataFrame, first: DataFrame, approx: bool = False) -> DataFrame:
     """Users, views, bot sessions and new users per day."""
-    return _with_new(daily_rollup(ua, ["date_num"], TOTALS, approx), new_users(first), "date_num")
+    return summarize_days(daily_rollup(ua, ["date_num"], TOTALS, approx), first)
 
 
 def summary_by_host(ua: DataFrame, first: DataFrame, approx: bool = False) -> DataFrame:
     """Per day and host: users, views, new users, average stay, bot sessions."""
-    base = daily_rollup(
-        ua, names=["users", "views", "bot_sessions", "stay_seconds", "sessions"], approx=approx
-    )
-    stay = F.coalesce(F.round(aggs.ratio("stay_seconds", "sessions")), F.lit(0.0)).cast("bigint")
-    return (
-        _with_new(base, new_users_by_host(first), ["date_num", "hostname"])
-        .withColumn("avg_stay", stay)
-        .drop("stay_seconds", "sessions")
-    )
+    names = [*TOTALS, "stay_seconds", "sessions"]
+    return summarize_hosts(daily_rollup(ua, names=names, approx=approx), first)
 
 
 def summary_page(ua: DataFrame, first: DataFrame, day: int, limit: int = 20, offset: int = 0) -> DataFrame:

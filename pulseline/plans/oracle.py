@@ -250,6 +250,7 @@ FROM (SELECT date_num, hostname, {USERS} AS users, {VIEWS} AS views, {BOTS} AS b
         sum(CASE WHEN is_bot = 0 THEN 10 ELSE 0 END) AS stay, count(DISTINCT session_id) AS sessions
       FROM ua GROUP BY ALL) b LEFT JOIN newh USING (date_num, hostname))"""
 twin("summary_by_host", "SELECT * FROM byhost", FIRST, NEW_HOST, BY_HOST)
+twin("stream_summary_by_host", "SELECT * FROM byhost", FIRST, NEW_HOST, BY_HOST)
 twin(
     "summary_page",
     f"""SELECT *, (SELECT count(*) FROM byhost WHERE date_num = {DAY}) AS total_rows FROM byhost

@@ -346,6 +346,12 @@ def summary_grand_total_approx(t):
     return summary.summary_grand_total(t.ua, t.first, approx=True)
 
 
+@report
+def summary_by_host_sketch(t):
+    """The host summary from sketch states instead of the activity."""
+    return summary.summarize_hosts(rollups.merge_states(rollups.rollup_states(t.ua)), t.first)
+
+
 @report
 def session_detail(t):
     return sessions.session_detail(t.ua)
@@ -367,6 +373,11 @@ def online_by_host(t):
     return realtime.online_by_host(rollups.slot_keys(t.ua), t.as_of, MINUTES)
 
 
+@report
+def online_by_host_sketch(t):
+    return realtime.online_by_host(rollups.slot_states(t.ua), t.as_of, MINUTES)
+
+
 @report
 def online_page(t):
     return realtime.online_page(rollups.slot_keys(t.ua), t.as_of, MINUTES, limit=20)
@@ -668,6 +679,16 @@ def stream_daily_rollup(t):
     return rollups.rollup_from_loads(jobs.read_loads(t.spark, path))
 
 
+@report
+def stream_summary_by_host(t):
+    """The host summary from the two streamed tables alone."""
+    loads, first = t.dir("loads"), t.dir("first")
+    jobs.keep_rollup(_streamed(t), loads, t.dir("checkpoint"), interval=None).awaitTermination()
+    jobs.keep_first_seen(_streamed(t), first, t.dir("checkpoint"), interval=None).awaitTermination()
+    rollup = rollups.rollup_from_loads(jobs.read_loads(t.spark, loads))
+    return summary.summarize_hosts(rollup, jobs.read_first_seen(t.spark, first))
+
+
 @report
 def stream_daily_rollup_sketch(t):
     path = t.dir("states")

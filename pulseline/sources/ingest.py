@@ -8,10 +8,9 @@ from pulseline.functions.text import bot_flag
 from pulseline.functions.timefn import LOCAL_TZ, as_column, local_date_num
 from pulseline.schema import ACTIVITY_SCHEMA, LEGACY_SCHEMA
 
-# Topic name and batch limits of the ingest path.
+# Topic name and batch interval of the ingest path.
 ACTIVITY_TOPIC = "user-activity"
 APPEND_INTERVAL = "2 seconds"
-APPEND_MAX_ROWS = 5000
 
 CORRUPT = "_corrupt_record"
 FALSY = ["", "0", "0.0", "false", "null", "[]", "{}"]
@@ -28,7 +27,8 @@ def read_activity_stream(
     """JSON messages as a stream with one ``value`` text column.
 
     ``brokers`` selects Kafka from the earliest offset (the checkpoint then keeps
-    the group's offsets); ``path`` reads JSON lines from files.
+    the group's offsets); ``path`` reads JSON lines from files. ``max_per_trigger`` bounds a
+    micro-batch, in messages or files.
     """
     reader = spark.readStream.options(**options)
     if brokers:

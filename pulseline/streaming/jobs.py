@@ -30,12 +30,16 @@ def _trigger(writer, interval: str | None):
 
 
 def write_batch(df: DataFrame, path: str, batch_id: int) -> None:
-    """Write a micro-batch into its own folder, replacing an earlier attempt."""
+    """Write a micro-batch into its own folders, replacing an earlier attempt.
+
+    Rows with a day are also split by day, so that readers of a day skip the others.
+    """
+    days = ["date_num"] if "date_num" in df.columns else []
     (
         df.withColumn(BATCH, F.lit(batch_id).cast("bigint"))
         .write.mode("overwrite")
         .option("partitionOverwriteMode", "dynamic")
-        .partitionBy(BATCH)
+        .partitionBy(*days, BATCH)
         .parquet(path)
     )
 

@@ -62,3 +62,23 @@ def test_trailing_window_prunes_days(spark, act, tmp_path):
     assert re.search(r"PartitionFilters: \[.*date_num#\d+ >= 20240114", text)
     columns = rollups.first_seen(ua)._jdf.queryExecution().toString()
     assert "ReadSchema: struct<hostname:string,user_cookie:string>" in columns
+
+
+def test_moves_shuffle_the_events_once(spark):
+    moves = journeys.page_moves(testdata.activity(spark, SF))
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        text = plan(moves)
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+    by_bucket = r"hashpartitioning\(date_num#\d+, user_cookie#\d+, bucket#\d+L"
+    made = [line for line in text.splitlines() if re.search(by_bucket, line)]
+    assert len([line for line in made if "ReusedExchange" not in line]) == 1
+    assert "ReusedExchange" in text
+
+
+def test_large_top_n_is_salted_and_exact(spark):
+    df = spark.range(5000).selectExpr("id", "0 AS g")
+    got = paging.top_n(df, 1500, ["id"], per=["g"])
+    assert "_salt" in plan(got)
+    assert sorted(r.id for r in got.collect()) == list(range(1500))
