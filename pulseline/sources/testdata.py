@@ -120,7 +120,8 @@ def to_activity(events: DataFrame, pages: DataFrame) -> DataFrame:
         host.alias("host"),
         F.regexp_replace(host, r"^(www|m|blog)\.", "").alias("bare_host"),
     )
-    source = pages.selectExpr("page_id AS from_page", "url AS from_url")
+    # One row per id, known to the optimizer: it drops this join when no referer is read.
+    source = pages.groupBy(F.col("page_id").alias("from_page")).agg(F.min("url").alias("from_url"))
     joined = base.join(seen, "page", "left").join(source, "from_page", "left")
     return joined.selectExpr(*ACTIVITY_COLUMNS)
 
