@@ -22,9 +22,8 @@ PAGE_LOAD_KEYS = ["date_num", "hostname", "session_id", "url", "user_cookie", "i
 def page_loads(ua: DataFrame) -> DataFrame:
     """One row per day, host, session, URL, cookie and bot flag.
 
-    A page sends a heartbeat every few seconds; collapsing them once, with map-side
-    partial sums, leaves the later distinct counts a fraction of the rows. The rows are
-    also the exact mergeable state of the daily rollup.
+    A page sends a heartbeat every few seconds; with map-side partial sums they collapse to
+    a fraction of the rows. This is the exact mergeable state of the daily rollup.
     """
     return ua.groupBy(*PAGE_LOAD_KEYS).agg(F.count("*").alias("hits"))
 
@@ -34,33 +33,83 @@ def merge_page_loads(loads: DataFrame) -> DataFrame:
     return loads.groupBy(*PAGE_LOAD_KEYS).agg(F.sum("hits").alias("hits"))
 
 
-def rollup_measures(approx: bool = False) -> dict:
-    """Aggregates of the rollup over page loads, by output column."""
+MEASURES = ["users", "views", "sessions", "bot_sessions", "bot_hits", "stay_seconds"]
+
+
+def _approx_rollup(loads: DataFrame, by) -> DataFrame:
     human = F.col("is_bot") == 0
-    return {
-        "users": aggs.uniq_if(human, "user_cookie", approx),
-        "views": aggs.uniq("session_id", "url", approx=approx),
-        "sessions": aggs.uniq("session_id", approx=approx),
-        "bot_sessions": aggs.uniq_if(~human, "session_id", approx),
-        "bot_hits": F.sum(F.when(~human, F.col("hits")).otherwise(0)),
-        "stay_seconds": F.sum(F.when(human, F.col("hits") * HEARTBEAT_STAY).otherwise(0)),
-    }
+    return loads.groupBy(*by).agg(
+        aggs.uniq_if(human, "user_cookie", approx=True).alias("users"),
+        aggs.uniq("session_id", "url", approx=True).alias("views"),
+        aggs.uniq("session_id", approx=True).alias("sessions"),
+        aggs.uniq_if(~human, "session_id", approx=True).alias("bot_sessions"),
+        F.sum("bot_hits").alias("bot_hits"),
+        F.sum("stay_seconds").alias("stay_seconds"),
+    )
+
+
+def _exact_rollup(loads: DataFrame, by) -> DataFrame:
+    """Distincts counted level by level: (session, URL) pairs, then sessions, then totals.
+
+    Pairs nest in sessions, so one pass over two grouping sets, pairs and human cookies,
+    replaces one copy of every row per distinct count. All buffers have fixed width and a
+    busy host is spread over its pairs and cookies.
+    """
+    pair, human = ["session_id", "url"], "human_cookie"
+    loads = loads.withColumn(human, F.when(F.col("is_bot") == 0, F.col("user_cookie")))
+    finest = loads.groupingSets([[*by, *pair], [*by, human]], *by, *pair, human).agg(
+        F.grouping("session_id").alias("is_cookie"),
+        F.max("is_bot").alias("is_bot"),
+        F.sum("bot_hits").alias("bot_hits"),
+        F.sum("stay_seconds").alias("stay_seconds"),
+    )
+    cookie = F.col("is_cookie") == 1
+    keys = (
+        finest.filter(~cookie | F.col(human).isNotNull())
+        .groupBy(*by, "is_cookie", F.when(cookie, F.col(human)).otherwise(F.col("session_id")).alias("key"))
+        .agg(
+            F.count("*").alias("pairs"),
+            F.max("is_bot").alias("is_bot"),
+            F.sum("bot_hits").alias("bot_hits"),
+            F.sum("stay_seconds").alias("stay_seconds"),
+        )
+    )
 
+    def over_sessions(name: str):
+        return F.sum(F.when(~cookie, F.col(name)).otherwise(0))
 
-def _measured(loads: DataFrame, by, names, approx: bool) -> DataFrame:
-    measures = rollup_measures(approx)
-    return loads.groupBy(*by).agg(*[measures[n].alias(n) for n in names])
+    return keys.groupBy(*by).agg(
+        F.count_if(cookie).alias("users"),
+        over_sessions("pairs").alias("views"),
+        F.count_if(~cookie).alias("sessions"),
+        F.count_if(~cookie & (F.col("is_bot") == 1)).alias("bot_sessions"),
+        over_sessions("bot_hits").alias("bot_hits"),
+        over_sessions("stay_seconds").alias("stay_seconds"),
+    )
 
 
 def rollup_from_loads(
     loads: DataFrame, by=("date_num", "hostname"), names=None, approx: bool = False
 ) -> DataFrame:
-    return _measured(loads, by, names or list(rollup_measures()), approx)
+    """The rollup measures over rows with ``hits``: page loads, merged or not."""
+    names = list(names or MEASURES)
+    if names == ["users"] and not approx:
+        human = F.when(F.col("is_bot") == 0, F.col("user_cookie"))
+        return loads.groupBy(*by).agg(aggs.uniq(human).alias("users"))
+    human = F.col("is_bot") == 0
+    rows = loads.withColumns(
+        {
+            "bot_hits": F.when(human, 0).otherwise(F.col("hits")),
+            "stay_seconds": F.when(human, F.col("hits") * HEARTBEAT_STAY).otherwise(0),
+        }
+    )
+    rollup = _approx_rollup if approx else _exact_rollup
+    return rollup(rows, list(by)).select(*by, *names)
 
 
 def daily_rollup(ua: DataFrame, by=("date_num", "hostname"), names=None, approx: bool = False) -> DataFrame:
     """Users, views, sessions, bot sessions, bot hits and stay per day and host."""
-    return rollup_from_loads(page_loads(ua), by, names, approx)
+    return rollup_from_loads(ua.withColumn("hits", F.lit(1)), by, names, approx)
 
 
 def touched_dates(ua: DataFrame, as_of, horizon: int = ROLLUP_HORIZON) -> DataFrame:

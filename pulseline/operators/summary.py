@@ -145,13 +145,7 @@ def _by_range(ua: DataFrame, first: DataFrame, start: int, end: int) -> tuple[Da
 
 
 def _period_by_host(ua: DataFrame, first: DataFrame) -> DataFrame:
-    loads = ua.groupBy("week", "hostname", "session_id", "url", "user_cookie", "is_bot").agg(
-        F.count("*").alias("hits")
-    )
-    totals = loads.groupBy("week", "hostname").agg(
-        aggs.uniq_if(F.col("is_bot") == 0, "user_cookie").alias("users"),
-        aggs.uniq("session_id", "url").alias("views"),
-    )
+    totals = daily_rollup(ua, ["week", "hostname"], ["users", "views"])
     newcomers = first.select("week", "user_cookie").distinct()
     new = (
         ua.select("week", "hostname", "user_cookie")
@@ -174,13 +168,7 @@ def weekly_by_host(ua: DataFrame, first: DataFrame) -> DataFrame:
 def weekly_grand_total(ua: DataFrame, first: DataFrame) -> DataFrame:
     """Users, views and new users of every Monday-to-Sunday week."""
     ua, first = _by_week(ua, first)
-    loads = ua.groupBy("week", "session_id", "url", "user_cookie", "is_bot").agg(
-        F.count("*").alias("hits")
-    )
-    totals = loads.groupBy("week").agg(
-        aggs.uniq_if(F.col("is_bot") == 0, "user_cookie").alias("users"),
-        aggs.uniq("session_id", "url").alias("views"),
-    )
+    totals = daily_rollup(ua, ["week"], ["users", "views"])
     new = first.groupBy("week").agg(aggs.uniq("user_cookie").alias("new_users"))
     return _with_new(totals, new, "week")
 
@@ -193,12 +181,9 @@ def range_by_host(ua: DataFrame, first: DataFrame, start: int, end: int, n: int
 
 def range_grand_total(ua: DataFrame, first: DataFrame, start: int, end: int) -> DataFrame:
     """One row: users, views and new users over a day range."""
-    loads = page_loads(between_days(ua, start, end))
+    totals = daily_rollup(between_days(ua, start, end), [], ["users", "views"])
     new = first.filter(F.col("first_date_num").between(start, end))
-    return loads.agg(
-        aggs.uniq_if(F.col("is_bot") == 0, "user_cookie").alias("users"),
-        aggs.uniq("session_id", "url").alias("views"),
-    ).withColumn("new_users", new.select(aggs.uniq("user_cookie")).scalar())
+    return totals.withColumn("new_users", new.select(aggs.uniq("user_cookie")).scalar())
 
 
 def host_sessions(ua: DataFrame) -> DataFrame:
