@@ -18,6 +18,8 @@ CLUSTER = ["date_num", "hostname", "path"]
 
 @dataclass(frozen=True)
 class ClusterThresholds:
+    """Limits of the cluster rules; the defaults are fixed values but for the sensitive requests."""
+
     ips: int = 1000
     agents: int = 5
     sensitive_requests: int = 100

@@ -25,6 +25,8 @@ RECENT_SECONDS = 7200
 
 @dataclass(frozen=True)
 class IpThresholds:
+    """Limits of the address rules; the defaults are fixed values but for the shared agents."""
+
     hosts: int = 5
     sensitive: int = 5
     cookies: int = 15

@@ -34,6 +34,8 @@ REFERER = ["date_num", "referer"]
 
 @dataclass(frozen=True)
 class RefererLists:
+    """Lists and the traffic limit of the referer rules; the defaults are fixed values."""
+
     spam: list = field(default_factory=lambda: list(SPAM_DOMAINS))
     adult: list = field(default_factory=lambda: list(ADULT_WORDS))
     seo: list = field(default_factory=lambda: list(SEO_WORDS))

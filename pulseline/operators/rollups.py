@@ -16,6 +16,8 @@ SLOT_LOOKBACK = 2400
 ROLLUP_HORIZON = 172800
 HEARTBEAT_STAY = 10
 
+MAX_BROADCAST_DAYS = 36600
+
 PAGE_LOAD_KEYS = ["date_num", "hostname", "session_id", "url", "user_cookie", "is_bot"]
 
 
@@ -118,8 +120,15 @@ def touched_dates(ua: DataFrame, as_of, horizon: int = ROLLUP_HORIZON) -> DataFr
 
 
 def refresh_rollup(ua: DataFrame, as_of, horizon: int = ROLLUP_HORIZON) -> DataFrame:
-    """The rollup of every touched day, over all events of the day."""
-    return daily_rollup(ua.join(touched_dates(ua, as_of, horizon), "date_num", "left_semi"))
+    """The rollup of every touched day, over all events of the day.
+
+    The touched days are broadcast: there are at most horizon / 86,400 + 2 of them, and a
+    shuffle of the events by day would put a whole day into one task.
+    """
+    days = touched_dates(ua, as_of, horizon)
+    if horizon <= MAX_BROADCAST_DAYS * 86400:
+        days = F.broadcast(days)
+    return daily_rollup(ua.join(days, "date_num", "left_semi"))
 
 
 def rollup_states(ua: DataFrame) -> DataFrame:

@@ -67,7 +67,11 @@ def keep_table(
 def append_activity(
     stream: DataFrame, path: str, checkpoint: str, interval: str | None = APPEND_INTERVAL
 ) -> StreamingQuery:
-    """Typed activity rows appended exactly once, one folder per day."""
+    """Typed activity rows appended exactly once, one folder per day.
+
+    Readers of ``path`` see what the stream has committed there and nothing else, so batch
+    loads belong to another path.
+    """
     writer = (
         stream.writeStream.format("parquet")
         .partitionBy("date_num")

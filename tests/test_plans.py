@@ -82,3 +82,10 @@ def test_large_top_n_is_salted_and_exact(spark):
     got = paging.top_n(df, 1500, ["id"], per=["g"])
     assert "_salt" in plan(got)
     assert sorted(r.id for r in got.collect()) == list(range(1500))
+
+
+def test_touched_days_are_broadcast(spark):
+    ua = testdata.activity(spark, SF)
+    text = plan(rollups.refresh_rollup(ua, 1706000000))
+    assert re.search(r"BroadcastHashJoin \[date_num#\d+\], \[date_num#\d+\], LeftSemi", text)
+    assert "SortMergeJoin" not in text
