@@ -29,11 +29,13 @@ def _trigger(writer, interval: str | None):
     return writer.trigger(processingTime=interval)
 
 
-def write_batch(df: DataFrame, path: str, batch_id: int) -> None:
+def write_batch(df: DataFrame, path: str, batch_id: int, files: int | None = None) -> None:
     """Write a micro-batch into its own folders, replacing an earlier attempt.
 
     Rows with a day are also split by day, so that readers of a day skip the others.
+    ``files`` bounds the files per folder; small frequent batches want a small number.
     """
+    df = df if files is None else df.coalesce(files)
     days = ["date_num"] if "date_num" in df.columns else []
     (
         df.withColumn(BATCH, F.lit(batch_id).cast("bigint"))
@@ -57,11 +59,14 @@ def keep_table(
     checkpoint: str,
     state: Callable[[DataFrame], DataFrame],
     interval: str | None = None,
+    files: int | None = None,
 ) -> StreamingQuery:
     """Append the state of every micro-batch, e.g. ``rollups.page_loads``."""
-    return _each_batch(
-        stream, checkpoint, interval, lambda df, batch_id: write_batch(state(df), path, batch_id)
-    )
+
+    def work(df: DataFrame, batch_id: int) -> None:
+        write_batch(state(df), path, batch_id, files)
+
+    return _each_batch(stream, checkpoint, interval, work)
 
 
 def append_activity(
@@ -105,19 +110,21 @@ def ingest_messages(
     return _each_batch(messages, checkpoint, interval, work)
 
 
-def keep_slots(stream, path, checkpoint, interval="30 seconds", approx=False) -> StreamingQuery:
+def keep_slots(
+    stream, path, checkpoint, interval="30 seconds", approx=False, files=None
+) -> StreamingQuery:
     """Online-slot keys (or sketch states) of every micro-batch."""
     state = rollups.slot_states if approx else rollups.slot_keys
-    return keep_table(stream, path, checkpoint, state, interval)
+    return keep_table(stream, path, checkpoint, state, interval, files)
 
 
-def read_slots(spark: SparkSession, path: str) -> DataFrame:
-    """Distinct (slot, host, cookie) over all batches."""
-    return spark.read.parquet(path).drop(BATCH).distinct()
+def read_slots(spark: SparkSession, path: str, base_path: str | None = None) -> DataFrame:
+    """Distinct (slot, host, cookie) of a base table and the batches after it."""
+    return _with_base(spark, path, base_path).drop(BATCH).distinct()
 
 
 def keep_rollup(
-    stream, path, checkpoint, interval="120 seconds", approx=False, late_path=None
+    stream, path, checkpoint, interval="120 seconds", approx=False, late_path=None, files=None
 ) -> StreamingQuery:
     """Page loads (or sketch states) of every micro-batch, the mergeable daily rollup.
 
@@ -126,14 +133,14 @@ def keep_rollup(
     """
     state = rollups.rollup_states if approx else rollups.page_loads
     if late_path is None:
-        return keep_table(stream, path, checkpoint, state, interval)
+        return keep_table(stream, path, checkpoint, state, interval, files)
 
     def work(df: DataFrame, batch_id: int) -> None:
         df = df.persist()
         try:
             oldest = df.select(F.max("timestamp") - ROLLUP_HORIZON).scalar()
-            write_batch(state(df.filter(F.col("timestamp") >= oldest)), path, batch_id)
-            write_batch(df.filter(F.col("timestamp") < oldest), late_path, batch_id)
+            write_batch(state(df.filter(F.col("timestamp") >= oldest)), path, batch_id, files)
+            write_batch(df.filter(F.col("timestamp") < oldest), late_path, batch_id, files)
         finally:
             df.unpersist()
 
@@ -169,19 +176,24 @@ def compact(
 ) -> None:
     """Fold the batches up to ``up_to`` and an earlier base into a new base table.
 
-    The old base and the batches stay readable until the caller switches over.
+    ``fold`` merges states: ``merge_page_loads``, ``compact_states``, ``merge_first_seen``, or
+    ``DataFrame.distinct`` for slot keys. The old base and the batches stay readable until the
+    caller switches over; the folded batches may then be deleted.
     """
     rows = _with_base(spark, path, base_path).filter(F.col(BATCH) <= up_to)
-    fold(rows).withColumn(BATCH, F.lit(up_to).cast("bigint")).write.mode("error").parquet(new_base)
+    fold(rows.drop(BATCH)).withColumn(BATCH, F.lit(up_to).cast("bigint")).write.mode("error").parquet(new_base)
 
 
-def keep_first_seen(stream, path, checkpoint, interval="120 seconds") -> StreamingQuery:
+def keep_first_seen(
+    stream, path, checkpoint, interval="120 seconds", files=None
+) -> StreamingQuery:
     """First local day per (cookie, host) of every micro-batch."""
-    return keep_table(stream, path, checkpoint, rollups.first_seen, interval)
+    return keep_table(stream, path, checkpoint, rollups.first_seen, interval, files)
 
 
-def read_first_seen(spark: SparkSession, path: str) -> DataFrame:
-    return rollups.merge_first_seen(spark.read.parquet(path).drop(BATCH))
+def read_first_seen(spark: SparkSession, path: str, base_path: str | None = None) -> DataFrame:
+    """First local day per (cookie, host) over a base table and the batches after it."""
+    return rollups.merge_first_seen(_with_base(spark, path, base_path).drop(BATCH))
 
 
 def _human_slots(stream: DataFrame, size: str, slide: str | None = None) -> DataFrame:

@@ -91,6 +91,22 @@ def test_compaction_keeps_the_result(spark, events, tmp_path):
     assert rows(rollups.rollup_from_loads(jobs.read_loads(spark, path, base2))) == want
 
 
+def test_slots_and_first_seen_compact(spark, events, tmp_path):
+    source = str(tmp_path / "in")
+    write_files(events, source, 4)
+    for keep, read, fold, want in (
+        (jobs.keep_slots, jobs.read_slots, lambda df: df.distinct(), rollups.slot_keys(events)),
+        (jobs.keep_first_seen, jobs.read_first_seen, rollups.merge_first_seen, rollups.first_seen(events)),
+    ):
+        path, cp, base = (str(tmp_path / f"{keep.__name__}-{n}") for n in ("out", "cp", "base"))
+        keep(stream(spark, source), path, cp, interval=None, files=1).awaitTermination()
+        jobs.compact(spark, path, base, 2, fold)
+        assert rows(read(spark, path, base)) == rows(want)
+        for batch in range(4):
+            folder = tmp_path / f"{keep.__name__}-out" / f"batch_id={batch}"
+            assert len(list(folder.glob("*.parquet"))) == 1
+
+
 def test_sketch_states_survive_compaction(spark, events, tmp_path):
     source, path, cp, base = (str(tmp_path / n) for n in ("in", "out", "cp", "b"))
     write_files(events, source, 3)
