@@ -8,7 +8,6 @@ from pyspark.sql import functions as F
 from pulseline.functions import aggs
 from pulseline.functions.text import any_word, blank, is_attack, is_sensitive
 from pulseline.functions.timefn import LOCAL_TZ, as_column, local_date_num, shift_day
-from pulseline.operators.filters import time_range
 from pulseline.operators.paging import top_n
 
 # Words and weights of the address rules.

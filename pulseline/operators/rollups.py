@@ -38,69 +38,71 @@ def merge_page_loads(loads: DataFrame) -> DataFrame:
 MEASURES = ["users", "views", "sessions", "bot_sessions", "bot_hits", "stay_seconds"]
 
 
+def _sums() -> list:
+    return [F.sum(c).alias(c) for c in ("hits", "bot_hits", "stay_seconds")]
+
+
 def _approx_rollup(loads: DataFrame, by) -> DataFrame:
-    human = F.col("is_bot") == 0
+    bot = F.col("is_bot") == 1
     return loads.groupBy(*by).agg(
-        aggs.uniq_if(human, "user_cookie", approx=True).alias("users"),
+        aggs.uniq("visitor", approx=True).alias("users"),
         aggs.uniq("session_id", "url", approx=True).alias("views"),
         aggs.uniq("session_id", approx=True).alias("sessions"),
-        aggs.uniq_if(~human, "session_id", approx=True).alias("bot_sessions"),
-        F.sum("bot_hits").alias("bot_hits"),
-        F.sum("stay_seconds").alias("stay_seconds"),
+        aggs.uniq_if(bot, "session_id", approx=True).alias("bot_sessions"),
+        *_sums(),
     )
 
 
 def _exact_rollup(loads: DataFrame, by) -> DataFrame:
     """Distincts counted level by level: (session, URL) pairs, then sessions, then totals.
 
-    Pairs nest in sessions, so one pass over two grouping sets, pairs and human cookies,
-    replaces one copy of every row per distinct count. All buffers have fixed width and a
-    busy host is spread over its pairs and cookies.
+    Pairs nest in sessions, so one pass over two grouping sets, pairs and visitors, replaces
+    one copy of every row per distinct count. All buffers have fixed width and a busy host
+    is spread over its pairs and visitors.
     """
-    pair, human = ["session_id", "url"], "human_cookie"
-    loads = loads.withColumn(human, F.when(F.col("is_bot") == 0, F.col("user_cookie")))
-    finest = loads.groupingSets([[*by, *pair], [*by, human]], *by, *pair, human).agg(
-        F.grouping("session_id").alias("is_cookie"),
-        F.max("is_bot").alias("is_bot"),
-        F.sum("bot_hits").alias("bot_hits"),
-        F.sum("stay_seconds").alias("stay_seconds"),
+    pair = ["session_id", "url"]
+    finest = loads.groupingSets([[*by, *pair], [*by, "visitor"]], *by, *pair, "visitor").agg(
+        F.grouping("session_id").alias("is_visitor"), F.max("is_bot").alias("is_bot"), *_sums()
     )
-    cookie = F.col("is_cookie") == 1
+    visitor = F.col("is_visitor") == 1
+    key = F.when(visitor, F.col("visitor")).otherwise(F.col("session_id"))
     keys = (
-        finest.filter(~cookie | F.col(human).isNotNull())
-        .groupBy(*by, "is_cookie", F.when(cookie, F.col(human)).otherwise(F.col("session_id")).alias("key"))
-        .agg(
-            F.count("*").alias("pairs"),
-            F.max("is_bot").alias("is_bot"),
-            F.sum("bot_hits").alias("bot_hits"),
-            F.sum("stay_seconds").alias("stay_seconds"),
-        )
+        finest.filter(~visitor | F.col("visitor").isNotNull())
+        .groupBy(*by, "is_visitor", key.alias("key"))
+        .agg(F.count("*").alias("pairs"), F.max("is_bot").alias("is_bot"), *_sums())
     )
 
     def over_sessions(name: str):
-        return F.sum(F.when(~cookie, F.col(name)).otherwise(0))
+        return F.sum(F.when(~visitor, F.col(name)).otherwise(0))
 
     return keys.groupBy(*by).agg(
-        F.count_if(cookie).alias("users"),
+        F.count_if(visitor).alias("users"),
         over_sessions("pairs").alias("views"),
-        F.count_if(~cookie).alias("sessions"),
-        F.count_if(~cookie & (F.col("is_bot") == 1)).alias("bot_sessions"),
-        over_sessions("bot_hits").alias("bot_hits"),
-        over_sessions("stay_seconds").alias("stay_seconds"),
+        F.count_if(~visitor).alias("sessions"),
+        F.count_if(~visitor & (F.col("is_bot") == 1)).alias("bot_sessions"),
+        *[over_sessions(c).alias(c) for c in ("hits", "bot_hits", "stay_seconds")],
     )
 
 
 def rollup_from_loads(
-    loads: DataFrame, by=("date_num", "hostname"), names=None, approx: bool = False
+    loads: DataFrame,
+    by=("date_num", "hostname"),
+    names=None,
+    approx: bool = False,
+    with_bots: bool = False,
 ) -> DataFrame:
-    """The rollup measures over rows with ``hits``: page loads, merged or not."""
+    """The rollup measures over rows with ``hits``: page loads, merged or not.
+
+    ``users`` leaves bots out unless ``with_bots``.
+    """
     names = list(names or MEASURES)
-    if names == ["users"] and not approx:
-        human = F.when(F.col("is_bot") == 0, F.col("user_cookie"))
-        return loads.groupBy(*by).agg(aggs.uniq(human).alias("users"))
     human = F.col("is_bot") == 0
+    visitor = F.col("user_cookie") if with_bots else F.when(human, F.col("user_cookie"))
+    if names == ["users"] and not approx:
+        return loads.groupBy(*by).agg(aggs.uniq(visitor).alias("users"))
     rows = loads.withColumns(
         {
+            "visitor": visitor,
             "bot_hits": F.when(human, 0).otherwise(F.col("hits")),
             "stay_seconds": F.when(human, F.col("hits") * HEARTBEAT_STAY).otherwise(0),
         }
@@ -109,9 +111,18 @@ def rollup_from_loads(
     return rollup(rows, list(by)).select(*by, *names)
 
 
-def daily_rollup(ua: DataFrame, by=("date_num", "hostname"), names=None, approx: bool = False) -> DataFrame:
-    """Users, views, sessions, bot sessions, bot hits and stay per day and host."""
-    return rollup_from_loads(ua.withColumn("hits", F.lit(1)), by, names, approx)
+def daily_rollup(
+    ua: DataFrame,
+    by=("date_num", "hostname"),
+    names=None,
+    approx: bool = False,
+    with_bots: bool = False,
+) -> DataFrame:
+    """Users, views, sessions, bot sessions, bot hits and stay per day and host.
+
+    ``names`` selects measures; ``hits`` counts all heartbeats.
+    """
+    return rollup_from_loads(ua.withColumn("hits", F.lit(1)), by, names, approx, with_bots)
 
 
 def touched_dates(ua: DataFrame, as_of, horizon: int = ROLLUP_HORIZON) -> DataFrame:

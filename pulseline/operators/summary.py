@@ -8,7 +8,7 @@ from pulseline.functions.timefn import LOCAL_TZ, date_num, local_date_num, to_da
 from pulseline.operators.filters import between_days, for_host, humans, on_day, on_days, until_hour
 from pulseline.operators.paging import page, top_n, with_total
 from pulseline.operators.periods import compare_days, days_needed
-from pulseline.operators.rollups import daily_rollup, page_loads
+from pulseline.operators.rollups import daily_rollup
 
 # A session longer than this many seconds does not count as a stay.
 MAX_STAY = 7200
@@ -84,13 +84,8 @@ def period_totals_same_hour(ua: DataFrame, hour: int, days=None, host=None) -> D
     ``views`` counts distinct page loads, ``hits`` heartbeats.
     """
     rows = until_hour(for_host(_slice(ua, days), host), hour)
-    totals = page_loads(rows).groupBy("date_num").agg(
-        aggs.uniq("user_cookie").alias("users"),
-        F.sum("hits").alias("hits"),
-        aggs.uniq("session_id", "url").alias("views"),
-        aggs.uniq_if(F.col("is_bot") == 1, "session_id").alias("bot_sessions"),
-    )
     metrics = ["users", "hits", "views", "bot_sessions"]
+    totals = daily_rollup(rows, ["date_num"], metrics, with_bots=True)
     return compare_days(totals, metrics, days=days).filter("day_offset < 0")
 
 
