@@ -27,8 +27,9 @@ WINDOW = 56
 ORDINARY_BYTES, TOXIC_BYTES = 16_384, 1024
 #: Bounds of the fitting sample: documents of each label, and bytes of a document in it.
 SAMPLE_DOCS, SAMPLE_BYTES = {0: 3000, 1: 2000}, 16_000
-#: n-grams that may mark toxic words: lengths, least share of toxic texts, least ratio of the shares.
-GRAMS, GRAM_SHARE, GRAM_RATIO = (4, 5, 6), 0.01, 30.0
+#: n-grams that may mark toxic words: lengths, least log-likelihood ratio that their texts are not
+#: drawn from all alike, and least ratio of their shares of toxic and of ordinary texts.
+GRAMS, GRAM_GAIN, GRAM_RATIO = (4, 5, 6), 16.0, 30.0
 #: Windows count by the bytes saved: the thresholds of the calibration.
 SAVED = (3, 4, 5, 6)
 
@@ -117,11 +118,18 @@ def typical_words(toxic: list[str], ordinary: list[str]) -> list[bytes]:
         return count
 
     inside, outside = shares(toxic), shares(ordinary)
-    per = (1 / max(1, len(toxic)), 1 / max(1, len(ordinary)))
+    chance = len(toxic) / max(1, len(toxic) + len(ordinary))
+
+    def gain(n: int, other: int) -> float:
+        total = n + other
+        rest = other * np.log(other / (total * (1 - chance))) if other else 0.0
+        return n * np.log(n / (total * chance)) + rest
+
+    odds = GRAM_RATIO * len(toxic) / max(1, len(ordinary))
     typical = {
         g
         for g, n in inside.items()
-        if n * per[0] >= GRAM_SHARE and n * per[0] > GRAM_RATIO * (outside[g] + 0.5) * per[1]
+        if n > odds * (outside[g] + 0.5) and gain(n, outside[g]) >= GRAM_GAIN
     }
     out = []
     for text in toxic:
@@ -213,7 +221,7 @@ def sample(docs: DataFrame, labels: DataFrame, modulus: int, remainder: int) ->
 def learn(docs: DataFrame, labels: DataFrame, modulus: int = 3, remainder: int = 1) -> Model:
     """Train on the labelled documents that are not held out."""
     rows = sample(docs, labels, modulus, remainder).toArrow().sort_by("doc_id").to_pylist()
-    every = {v: [r["text"] for r in rows if r["label"] == v] for v in (0, 1)}
+    every = {v: list(dict.fromkeys(r["text"] for r in rows if r["label"] == v)) for v in (0, 1)}
     total = labels.filter(~held_out("doc_id", modulus, remainder)).agg(F.avg("toxic")).first()[0]
     base = float(total or 0.0)
     if len(every[0]) < 2 or len(every[1]) < 2:
