@@ -144,13 +144,13 @@ def source_cuts(rows: DataFrame, **shares) -> DataFrame:
     )
 
 
-def extra_words(size: Column, key: Column) -> Column:
+def extra_words(size: Column, key: Column, prefix: str = "") -> Column:
     """Words of the last, partial epoch that a row gives, beside a row of ``source_cuts``."""
-    at_cut = F.floor(size * F.col("cut_left") / F.col("cut_size"))
+    cut_key, left, words = (F.col(f"{prefix}cut_{c}") for c in ("key", "left", "size"))
     return (
-        F.when(F.col("cut_key").isNull(), 0)
-        .when(key < F.col("cut_key"), size)
-        .when(key == F.col("cut_key"), at_cut)
+        F.when(cut_key.isNull(), 0)
+        .when(key < cut_key, size)
+        .when(key == cut_key, F.floor(size * left / words))
         .otherwise(0)
         .cast("long")
     )
@@ -193,8 +193,8 @@ def mixed(
 ) -> DataFrame:
     """The mix itself: the input's columns, whole copies repeated and the last one cut.
 
-    A document at the end of its source's budget keeps its first words only, up to the blank
-    before the first word that is not taken. Other columns stay as they are.
+    A document at the end of its source's budget keeps its first words only, with the blanks before
+    them. Other columns stay as they are; documents without words are not in the mix.
     """
     columns = docs.columns
     cuts = source_cuts(stored(keyed(docs, id_col, text_col, source_col, seed), "mixing"), **shares)
@@ -205,24 +205,17 @@ def mixed(
     weight = quality_weight(text_col, size)
     rows = docs.withColumn("_mix_size", size)
     rows = rows.withColumn("_mix_key", sample_key(F.col(id_col), weight, seed)).join(cuts, same)
-    key = F.col("_mix_key")
-    at_cut = F.floor(F.col("_mix_size") * F.col("_mix_cut_left") / F.col("_mix_cut_size"))
-    extra = (
-        F.when(F.col("_mix_cut_key").isNull(), 0)
-        .when(key < F.col("_mix_cut_key"), F.col("_mix_size"))
-        .when(key == F.col("_mix_cut_key"), at_cut)
-        .otherwise(0)
-    )
-    rows = rows.withColumn("_mix_extra", extra.cast("long"))
+    extra = extra_words(F.col("_mix_size"), F.col("_mix_key"), "_mix_")
+    rows = rows.withColumn("_mix_extra", extra)
     copies = F.array_repeat(F.col("_mix_size"), F.col("_mix_epochs").cast("int"))
     last = F.when(F.col("_mix_extra") > 0, F.array("_mix_extra")).otherwise(
         F.array().cast("array<bigint>")
     )
     rows = rows.withColumn("_mix_words", F.explode(F.concat(copies, last)))
     rows = rows.filter(F.col("_mix_words") > 0)
-    head = F.concat(
-        F.lit(r"^(?:[\x20\x09-\x0D]*[^\x20\x09-\x0D]+){"), F.col("_mix_words"), F.lit("}")
+    pieces = F.regexp_extract_all(
+        F.col(text_col), F.lit(r"[\x20\x09-\x0D]*[^\x20\x09-\x0D]+"), F.lit(0)
     )
-    cut = F.regexp_substr(F.col(text_col), head)
+    cut = F.array_join(F.slice(pieces, 1, F.col("_mix_words").cast("int")), "")
     text = F.when(F.col("_mix_words") < F.col("_mix_size"), cut).otherwise(F.col(text_col))
     return rows.withColumn(text_col, text).select(*columns)

@@ -322,3 +322,20 @@ def near_duplicates(
     )
     result = result.select("doc_id", "n_shingles", component.alias("component_id"))
     return result.withColumn("kept", F.col("doc_id") == F.col("component_id"))
+
+
+def one_of_each(docs: DataFrame, id_col: str = "doc_id", **options) -> DataFrame:
+    """The input's rows without those of documents that are near-duplicates of a smaller id.
+
+    Rows that share an id are one document; one of them stays. Rows with a null id all stay.
+    """
+    found = stored(near_duplicates(docs, id_col=id_col, **options), "near")
+    gone = found.filter(~F.col("kept")).select(F.col("doc_id").alias("_gone")).distinct()
+    left = docs.join(gone.hint("shuffle_hash"), F.col(id_col) == F.col("_gone"), "left_anti")
+    again = found.filter("doc_id is not null").groupBy("doc_id").count().filter("count > 1")
+    if again.isEmpty():
+        return left
+    again = again.select(F.col("doc_id").alias("_again"))
+    many = F.col(id_col) == F.col("_again")
+    once = left.join(again, many, "left_semi").dropDuplicates([id_col])
+    return left.join(again, many, "left_anti").unionByName(once)

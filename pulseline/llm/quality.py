@@ -311,3 +311,33 @@ def grade(
         "score",
         (F.col("score") >= threshold).cast("int").alias("predicted"),
     )
+
+
+def keep_good(
+    docs: DataFrame,
+    labels: DataFrame,
+    threshold: float = 0.3,
+    modulus: int = 5,
+    remainder: int = 0,
+    text_col: str = "text",
+) -> DataFrame:
+    """The rows whose quality reaches the threshold, with all their columns.
+
+    Learns as ``grade`` does. Rows pass through the scoring as they are, so nothing is joined and
+    repeated rows and null ids need no key.
+    """
+    field, base = learn(docs, labels, modulus, remainder)
+    shared = docs.sparkSession.sparkContext.broadcast(field)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model = shared.value
+        for batch in batches:
+            if model is None:
+                good = np.full(len(batch), base >= threshold)
+            elif len(batch):
+                good = model.qualities(batch.column(text_col)) >= threshold
+            else:
+                good = np.zeros(0, bool)
+            yield batch.filter(pa.array(good))
+
+    return docs.mapInArrow(run, docs.schema)

@@ -16,7 +16,7 @@ from pulseline.llm import (
     near_dedup,
     packing,
     quality,
-    secrets,
+    secret_scan,
     token_counts,
     toxicity,
 )
@@ -73,7 +73,7 @@ def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def op8_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return secrets.span_counts(secrets.find_secrets(table(spark, sf_dir, "documents")))
+    return secret_scan.span_counts(secret_scan.find_secrets(table(spark, sf_dir, "documents")))
 
 
 @query

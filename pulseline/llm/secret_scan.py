@@ -194,6 +194,18 @@ def train(texts: DataFrame) -> DataFrame:
     return pair_model(labelled_strings(rows))
 
 
+def _with_spans(rows: DataFrame, text: str, threshold: float) -> DataFrame:
+    """Adds ``_spans`` (kind, start, end; by start) to rows; needs no shuffle and no key."""
+    model = stored(train(rows.select(F.col(text).alias("text"))), "secret-model").scalar()
+    names = rows.columns
+    rows = rows.withColumn("_base", base_spans(F.col(text))).withColumn("_model", model)
+    more = markov_spans(F.col(text), F.col("_model"), F.col("_base"), threshold)
+    both = F.transform(
+        F.concat("_base", more), lambda s: F.struct(s["start"], s["kind"], s["end"])
+    )
+    return rows.select(*names, F.array_sort(both).alias("_spans"))
+
+
 def find_secrets(
     docs: DataFrame,
     id_col: str = "doc_id",
@@ -211,15 +223,7 @@ def find_secrets(
         F.col(id_col).alias("doc_id"),
         F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"),
     )
-    model = stored(train(rows), "secret-model").scalar()
-    rows = rows.withColumn("base", base_spans(F.col("text"))).withColumn("model", model)
-    more = markov_spans(F.col("text"), F.col("model"), F.col("base"), threshold)
-    spans = F.array_sort(
-        F.transform(
-            F.concat("base", more), lambda s: F.struct(s["start"], s["kind"], s["end"])
-        )
-    )
-    return rows.select("doc_id", "text", spans.alias("spans"))
+    return _with_spans(rows, "text", threshold).withColumnRenamed("_spans", "spans")
 
 
 def span_counts(found: DataFrame) -> DataFrame:
@@ -254,3 +258,13 @@ def masked(text: Column, spans: Column) -> Column:
         return F.concat(acc["out"], F.substr(text, acc["at"] + 1, F.length(text)))
 
     return F.when(F.size(spans) > 0, F.aggregate(spans, start, step, rest)).otherwise(text)
+
+
+def mask_secrets(docs: DataFrame, text_col: str = "text", threshold: float = THRESHOLD):
+    """The input's rows with every secret in the text replaced by its kind in brackets."""
+    names = docs.columns
+    rows = docs.withColumn("_whole", F.coalesce(F.col(text_col).cast("string"), F.lit("")))
+    rows = _with_spans(rows, "_whole", threshold)
+    clean = masked(F.col("_whole"), F.col("_spans"))
+    text = F.when(F.size("_spans") > 0, clean).otherwise(F.col(text_col))
+    return rows.withColumn(text_col, text).select(*names)
