@@ -28,8 +28,8 @@ KINDS = ("assign", "access", "hex", "markov")
 #: Tokens that the models score, and those that show ordinary identifiers.
 CANDIDATE = r"[A-Za-z0-9+/_=-]{16,}"
 ORDINARY = r"\b[A-Za-z]{10,}\b"
-#: Least mean log-likelihood ratio per character pair, in nats, and least character classes.
-THRESHOLD = 0.7
+#: Least mean log-likelihood ratio per character pair, in nats.
+THRESHOLD = 0.3
 #: The characters of candidates; all that the models know.
 ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-"
 
