@@ -16,6 +16,32 @@ HOST_PATTERN = r"^[a-zA-Z][a-zA-Z0-9+.-]*://(?:[^/?#@]*@)?([^/:?#]+)"
 PATH_PATTERN = r"^[a-zA-Z][a-zA-Z0-9+.-]*://[^/?#]*([^?#]*)"
 QUERY_PATTERN = r"\?([^#]*)"
 REGISTERED_PATTERN = r"([^.]+\.[^.]+)$"
+THREE_LABEL_PATTERN = r"([^.]+\.[^.]+\.[^.]+)$"
+# Second-level names under which a country registers domains.
+TWO_LEVEL_SUFFIXES = [
+    f"{second}.{country}"
+    for country, seconds in {
+        "uk": "ac co gov ltd me net nhs org plc sch",
+        "vn": "ac biz com edu gov health info int name net org pro",
+        "au": "asn com edu gov id net org",
+        "br": "com edu gov mil net org",
+        "cn": "ac com edu gov net org",
+        "hk": "com edu gov idv net org",
+        "id": "ac co desa go mil my net or sch web",
+        "in": "ac co edu firm gen gov ind net nic org res",
+        "jp": "ac ad co ed go gr lg ne or",
+        "kr": "ac co go ne or re",
+        "my": "com edu gov mil name net org",
+        "nz": "ac co geek gen govt net org school",
+        "ph": "com edu gov mil net ngo org",
+        "sg": "com edu gov net org per",
+        "th": "ac co go in mi net or",
+        "tr": "av bel com edu gov net org",
+        "tw": "com edu gov idv net org",
+        "za": "ac co edu gov net org web",
+    }.items()
+    for second in seconds.split()
+]
 
 
 def _col(c) -> Column:
@@ -37,11 +63,16 @@ def query_of(url) -> Column:
     return F.regexp_extract(_col(url), QUERY_PATTERN, 1)
 
 
-def registered_domain(host) -> Column:
-    """The last two labels of a host name, or the host itself if it has fewer."""
+def registered_domain(host, suffixes=TWO_LEVEL_SUFFIXES) -> Column:
+    """The last two labels of a host name, three below a two-level suffix, or all it has."""
     h = F.lower(_col(host))
     last_two = F.regexp_extract(h, REGISTERED_PATTERN, 1)
-    return F.when(last_two == "", h).otherwise(last_two)
+    last_three = F.regexp_extract(h, THREE_LABEL_PATTERN, 1)
+    return (
+        F.when(last_two == "", h)
+        .when(last_two.isin(list(suffixes)) & (last_three != ""), last_three)
+        .otherwise(last_two)
+    )
 
 
 def bot_flag(user_agent) -> Column:

@@ -21,7 +21,6 @@ HUNTING_WORDS = ["login", "admin"]
 # The separator alone fills PATH_LENGTH after this many steps, so later steps cannot
 # appear in the clipped path.
 PATH_STEPS = PATH_LENGTH // len(PATH_SEPARATOR) + 3
-BROADCAST_ROWS = 100_000
 BUCKET_SECONDS = 60
 
 VISITOR = ["date_num", "user_cookie"]
@@ -51,9 +50,8 @@ def journey_stats(ua: DataFrame) -> DataFrame:
 def journeys(ua: DataFrame, n: int = JOURNEY_ROWS, days=None) -> DataFrame:
     """The fastest journeys of two or more steps, per day, with their clipped path.
 
-    With a list of ``days`` at most ``n`` journeys per day are chosen; if that is few
-    enough they are broadcast, and only their own events are shuffled. Otherwise every cookie
-    is cut to the steps that can show in a path, within each task, before anything is joined.
+    The ``n`` journeys of a day are chosen first. Their own events are joined by their real size (a
+    run-time broadcast when they are few), then cut to the steps that can show in a path.
     """
     if days is not None:
         ua = ua.filter(F.col("date_num").isin(list(days)))
@@ -65,10 +63,7 @@ def journeys(ua: DataFrame, n: int = JOURNEY_ROWS, days=None) -> DataFrame:
     )
     order = ["timestamp", "id", "url"]
     events = ua.select(*VISITOR, *order)
-    if days is not None and n * len(days) <= BROADCAST_ROWS:
-        steps = top_n(events.join(F.broadcast(chosen), VISITOR), PATH_STEPS, order, per=VISITOR)
-    else:
-        steps = top_n(events, PATH_STEPS, order, per=VISITOR).join(chosen, VISITOR)
+    steps = top_n(events.join(chosen, VISITOR), PATH_STEPS, order, per=VISITOR)
 
     in_order = F.array_sort(F.collect_list(F.struct(*order)))
     path = F.array_join(F.transform(in_order, lambda s: s["url"]), PATH_SEPARATOR)

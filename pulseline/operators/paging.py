@@ -3,8 +3,7 @@
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-# The default of spark.sql.optimizer.windowGroupLimitThreshold.
-LIMITED_RANK = 1000
+RANK_LIMIT = "spark.sql.optimizer.windowGroupLimitThreshold"
 SALTS = 64
 
 
@@ -44,11 +43,11 @@ def top_n(df: DataFrame, n: int, order, per=None) -> DataFrame:
 
     Overall this is a distributed top-k. Per group, every task keeps only its own
     first ``n`` rows of a group before the shuffle, so a large group stays cheap. Spark
-    does that up to ``LIMITED_RANK``; for a larger ``n`` a group is first cut in salted parts.
+    does that up to the session's limit; for a larger ``n`` a group is first cut in salted parts.
     """
     if per is None:
         return df.orderBy(*order).limit(n)
-    if n > LIMITED_RANK:
+    if n > int(df.sparkSession.conf.get(RANK_LIMIT)):
         salt = F.pmod(F.xxhash64(*df.columns), F.lit(SALTS))
         df = _first_rows(df.withColumn("_salt", salt), n, order, [*per, "_salt"]).drop("_salt")
     return _first_rows(df, n, order, per)

@@ -6,8 +6,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pulseline.functions import aggs
-from pulseline.functions.text import any_word, blank, host_of, query_of, registered_domain
-from pulseline.operators.paging import top_n
+from pulseline.functions.text import (
+    TWO_LEVEL_SUFFIXES,
+    any_word,
+    blank,
+    host_of,
+    query_of,
+    registered_domain,
+)
 
 # Word and domain lists of the referer rules.
 SPAM_DOMAINS = ["semalt.com", "buttons-for-website.com"]
@@ -23,12 +29,25 @@ SOCIAL_DOMAINS = [
     "youtube.com",
 ]
 PORTAL_DOMAINS = ["msn.com"]
+# Mainstream sites may send much traffic anywhere: labels of public bodies and schools, and
+# large news sites.
+MAINSTREAM_LABELS = ["gov", "edu", "mil"]
+MAINSTREAM_DOMAINS = [
+    "bbc.co.uk",
+    "bbc.com",
+    "cnn.com",
+    "google.com",
+    "nytimes.com",
+    "reuters.com",
+    "theguardian.com",
+    "wikipedia.org",
+    "yahoo.com",
+]
 
 # HTML of a crawled page: its title and meta description.
 TITLE_PATTERN = r"(?is)<title[^>]*>(.*?)</title>"
 META_PATTERN = r"(?is)<meta[^>]*name=[\"']description[\"'][^>]*content=[\"']([^\"']*)[\"']"
 
-SHOWN_TARGETS = 10
 REFERER = ["date_num", "referer"]
 
 
@@ -42,6 +61,9 @@ class RefererLists:
     page: list = field(default_factory=lambda: list(PAGE_WORDS))
     social: list = field(default_factory=lambda: list(SOCIAL_DOMAINS))
     portals: list = field(default_factory=lambda: list(PORTAL_DOMAINS))
+    mainstream_labels: list = field(default_factory=lambda: list(MAINSTREAM_LABELS))
+    mainstream: list = field(default_factory=lambda: list(MAINSTREAM_DOMAINS))
+    suffixes: list = field(default_factory=lambda: list(TWO_LEVEL_SUFFIXES))
     high_traffic: int = 500
 
 
@@ -67,29 +89,42 @@ def referer_targets(ua: DataFrame) -> DataFrame:
     )
 
 
-def referer_profile(ua: DataFrame, pages: DataFrame) -> DataFrame:
+def referer_profile(
+    ua: DataFrame, pages: DataFrame, suffixes: list = TWO_LEVEL_SUFFIXES
+) -> DataFrame:
     """Per day and referer: domain, addresses, requests, targets, title, description.
 
-    ``targets`` names the hosts with most requests for display; ``target_hosts`` counts all of
-    them and ``referer_targets`` lists them.
+    ``targets`` names all hosts that receive traffic, ``target_hosts`` counts them;
+    ``referer_targets`` has them as rows with their requests. One scan of the activity feeds everything.
     """
-    folded = (
+    hosts = (
         ua.filter(~blank("referer"))
         .groupBy(*REFERER, "hostname", "domain", "ip_user")
         .agg(F.count("*").alias("reqs"))
         .withColumn("ref_domain", host_of("referer"))
     )
-    elsewhere = registered_domain("ref_domain") != registered_domain("domain")
-    totals = folded.groupBy(*REFERER).agg(
+    elsewhere = registered_domain("ref_domain", suffixes) != registered_domain("domain", suffixes)
+    totals = hosts.groupBy(*REFERER).agg(
         F.max("ref_domain").alias("ref_domain"),
         aggs.uniq("ip_user").alias("ips"),
         F.sum("reqs").alias("reqs"),
         F.sum(F.when(elsewhere, F.col("reqs")).otherwise(0)).alias("reqs_elsewhere"),
-        aggs.uniq("hostname").alias("target_hosts"),
     )
-    shown = top_n(referer_targets(ua), SHOWN_TARGETS, [F.desc("reqs"), "hostname"], per=REFERER)
-    targets = shown.groupBy(*REFERER).agg(
-        F.array_join(F.array_sort(F.collect_list("hostname")), ",").alias("targets")
+    # A referer's hosts are made distinct before they are gathered into its list.
+    targets = (
+        hosts.select(*REFERER, "hostname")
+        .distinct()
+        .groupBy(*REFERER)
+        .agg(F.array_sort(F.collect_list("hostname")).alias("hosts"))
+        .select(
+            *REFERER,
+            F.size("hosts").cast("bigint").alias("target_hosts"),
+            F.array_join("hosts", ",").alias("targets"),
+        )
+    )
+    # Only pages that refer to us have their HTML looked at.
+    pages = pages.join(
+        totals.select(F.col("referer").alias("url")).distinct(), "url", "left_semi"
     )
     texts = page_texts(pages).withColumnRenamed("url", "referer")
     return totals.join(targets, REFERER).join(texts, "referer", "left").fillna(
@@ -100,7 +135,7 @@ def referer_profile(ua: DataFrame, pages: DataFrame) -> DataFrame:
 def referer_verdict(lists: RefererLists) -> Column:
     """Struct of verdict, type and action; null for clean referers."""
     c = F.col
-    domain = registered_domain("ref_domain")
+    domain = registered_domain("ref_domain", lists.suffixes)
 
     def listed(domains) -> Column:
         return domain.isin(domains)
@@ -113,6 +148,10 @@ def referer_verdict(lists: RefererLists) -> Column:
     adult_domain = any_word("ref_domain", lists.adult)
     bad_page = any_word("title", lists.page) | any_word("description", lists.page)
     unrelated = c("reqs_elsewhere") > lists.high_traffic
+    public = F.arrays_overlap(
+        F.split(F.lower("ref_domain"), r"\."), F.array(*[F.lit(x) for x in lists.mainstream_labels])
+    )
+    mainstream = listed(lists.mainstream) | public
     return (
         F.when(listed(lists.spam), says("Suspicious", "Referer Spam", "Block referer"))
         .when(adult_domain, says("Critical", "Adult / Gambling", "Block referer"))
@@ -120,6 +159,7 @@ def referer_verdict(lists: RefererLists) -> Column:
         .when(listed(lists.social), F.lit(None))
         .when(bad_page, says("Critical", "Content Mismatch", "Block referer"))
         .when(unrelated & listed(lists.portals), says("Suspicious", "Referer Spoofing", "Monitor"))
+        .when(mainstream, F.lit(None))
         .when(unrelated, says("Critical", "Compromised Site", "Block referer"))
     )
 

@@ -16,8 +16,6 @@ SLOT_LOOKBACK = 2400
 ROLLUP_HORIZON = 172800
 HEARTBEAT_STAY = 10
 
-MAX_BROADCAST_DAYS = 36600
-
 PAGE_LOAD_KEYS = ["date_num", "hostname", "session_id", "url", "user_cookie", "is_bot"]
 
 
@@ -133,13 +131,13 @@ def touched_dates(ua: DataFrame, as_of, horizon: int = ROLLUP_HORIZON) -> DataFr
 def refresh_rollup(ua: DataFrame, as_of, horizon: int = ROLLUP_HORIZON) -> DataFrame:
     """The rollup of every touched day, over all events of the day.
 
-    The touched days are broadcast: there are at most horizon / 86,400 + 2 of them, and a
-    shuffle of the events by day would put a whole day into one task.
+    The touched days are broadcast, since a shuffle of the events by day would put a whole day into one
+    task: there are at most horizon / 86,400 + 2 of them, and a horizon beyond a century is refused.
     """
+    if not 0 <= horizon <= 36600 * 86400:
+        raise ValueError("the horizon is at most a century")
     days = touched_dates(ua, as_of, horizon)
-    if horizon <= MAX_BROADCAST_DAYS * 86400:
-        days = F.broadcast(days)
-    return daily_rollup(ua.join(days, "date_num", "left_semi"))
+    return daily_rollup(ua.join(F.broadcast(days), "date_num", "left_semi"))
 
 
 def rollup_states(ua: DataFrame) -> DataFrame:

@@ -634,6 +634,14 @@ def _streamed(t: Tables) -> DataFrame:
     return testdata.to_activity(events, t.table("pages"))
 
 
+def _in_files(t: Tables, files: int) -> DataFrame:
+    """The activity stream in one micro-batch per file."""
+    source, events = t.dir("events"), t.table("events")
+    events.repartition(files).write.parquet(source)
+    stream = t.spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 1)
+    return testdata.to_activity(stream.parquet(source), t.table("pages"))
+
+
 @report
 def stream_activity(t):
     path, checkpoint = t.dir("activity"), t.dir("checkpoint")
@@ -651,6 +659,31 @@ def stream_messages(t):
     return t.spark.read.parquet(good).drop(jobs.BATCH)
 
 
+@report
+def stream_heartbeats(t):
+    """Heartbeat requests of several micro-batches into the activity table."""
+    source, path = t.dir("requests"), t.dir("activity")
+    requests = testdata.heartbeat_requests(t.spark, t.sf_dir)
+    requests.repartition(4).write.parquet(source)
+    stream = t.spark.readStream.schema(requests.schema).option("maxFilesPerTrigger", 1)
+    jobs.ingest_heartbeats(
+        stream.parquet(source), path, t.dir("checkpoint"), interval=None
+    ).awaitTermination()
+    return t.spark.read.parquet(path).drop(jobs.BATCH)
+
+
+@report
+def stream_settled_activity(t):
+    """Streamed batches rewritten into the clustered table, day by day."""
+    path, table = t.dir("batches"), t.dir("activity")
+    jobs.keep_table(
+        _in_files(t, 4), path, t.dir("checkpoint"), lambda df: df, interval=None
+    ).awaitTermination()
+    jobs.settle_activity(t.spark, path, table, 0, DAY)
+    jobs.settle_activity(t.spark, path, table, DAY + 1, 99991231)
+    return tables.read_activity(t.spark, table)
+
+
 @report
 def stream_online_slots(t):
     path = t.dir("slots")
@@ -703,6 +736,26 @@ def stream_first_seen(t):
     return jobs.read_first_seen(t.spark, path)
 
 
+@report
+def stream_rollup_compacted(t):
+    """The rollup from a base of two folded batches, split by day, and two open ones."""
+    path, base = t.dir("loads"), t.dir("base")
+    jobs.keep_rollup(_in_files(t, 4), path, t.dir("checkpoint"), interval=None).awaitTermination()
+    jobs.compact(t.spark, path, base, 1, rollups.merge_page_loads)
+    return rollups.rollup_from_loads(jobs.read_loads(t.spark, path, base))
+
+
+@report
+def stream_first_seen_compacted(t):
+    """First-seen days of one week from the settled base alone."""
+    path, base = t.dir("first"), t.dir("base")
+    jobs.keep_first_seen(
+        _in_files(t, 4), path, t.dir("checkpoint"), interval=None
+    ).awaitTermination()
+    jobs.compact(t.spark, path, base, 3, rollups.merge_first_seen)
+    return jobs.settled_first_seen(t.spark, base, *WEEK)
+
+
 def _changes(t: Tables, stream: DataFrame) -> DataFrame:
     """The change log of an update-mode aggregate, as a table."""
     path = t.dir("changes")

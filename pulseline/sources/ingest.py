@@ -12,7 +12,6 @@ from pulseline.schema import ACTIVITY_SCHEMA, LEGACY_SCHEMA
 ACTIVITY_TOPIC = "user-activity"
 APPEND_INTERVAL = "2 seconds"
 
-CORRUPT = "_corrupt_record"
 FALSY = ["", "0", "0.0", "false", "null", "[]", "{}"]
 
 
@@ -46,48 +45,64 @@ def read_activity_stream(
     return reader.format("text").load(path).select("value")
 
 
-def _whole_number(text: Column) -> Column:
-    """Integer value of a JSON number or digit string; null when it is neither."""
+def _whole_number(name: str) -> Column:
+    """Integer value of a digit string or a JSON number; null when the field is neither.
+
+    Only a number may have a fraction, which is cut off: as text it is no integer.
+    """
+    text, number = F.col(f"m.{name}"), F.col(f"numbers.{name}")
     return F.coalesce(
         text.try_cast("bigint"),
-        text.try_cast("decimal(38,9)").try_cast("bigint"),
+        F.when(number.isNotNull(), text.try_cast("decimal(38,9)").try_cast("bigint")),
     )
 
 
+def _is_number(field: T.StructField) -> bool:
+    return not isinstance(field.dataType, T.StringType) and field.name != "is_bot"
+
+
 def _parse(messages: DataFrame, schema: T.StructType) -> DataFrame:
-    """Each field of the message as text, plus ``bad``: null, or why the row is refused.
+    """``m``, each field of the message as text, and ``bad``: null, or why the row is refused.
 
-    Numbers are read as text so that one bad field does not hide the others.
+    Numbers are read as text so that one bad field does not hide the others; ``numbers`` has those that
+    are JSON numbers. A message is one JSON object: in brackets, anything behind it is malformed.
     """
-    text_schema = T.StructType(
-        [T.StructField(f.name, T.StringType()) for f in schema]
-        + [T.StructField(CORRUPT, T.StringType())]
-    )
+    numeric = [f for f in schema if _is_number(f)]
+
+    def only(fields, kind):
+        return T.ArrayType(T.StructType([T.StructField(f.name, kind) for f in fields]))
+
+    one = F.concat(F.lit("["), "value", F.lit("]"))
     parsed = messages.select(
         "value",
-        F.from_json("value", text_schema, {"columnNameOfCorruptRecord": CORRUPT}).alias("m"),
-    ).select("value", "m", "m.*")
+        F.from_json(one, only(schema, T.StringType())).alias("a"),
+        F.from_json(one, only(numeric, T.DoubleType())).alias("n"),
+    )
+    broken = F.coalesce(F.size("a") != 1, F.lit(True)) | F.get("a", F.lit(0)).isNull()
+    parsed = parsed.select(
+        "value",
+        F.get("a", F.lit(0)).alias("m"),
+        F.get("n", F.lit(0)).alias("numbers"),
+        broken.alias("broken"),
+    )
     bad_number = F.lit(False)
-    for field in schema:
-        if isinstance(field.dataType, T.StringType) or field.name == "is_bot":
-            continue
-        raw = F.col(field.name)
-        bad_number = bad_number | (raw.isNotNull() & _whole_number(raw).isNull())
-    broken = F.col("m").isNull() | F.col(CORRUPT).isNotNull()
-    reason = F.when(broken, "malformed json").when(bad_number, "bad number")
-    return parsed.withColumn("bad", reason).drop("m", CORRUPT)
+    for field in numeric:
+        raw = F.col(f"m.{field.name}")
+        bad_number = bad_number | (raw.isNotNull() & _whole_number(field.name).isNull())
+    reason = F.when(F.col("broken"), "malformed json").when(bad_number, "bad number")
+    return parsed.withColumn("bad", reason)
 
 
 def _field(field: T.StructField, now: Column | None = None) -> Column:
-    raw = F.col(field.name)
+    raw = F.col(f"m.{field.name}")
     if field.name == "is_bot":
         truthy = ~F.lower(F.trim(F.coalesce(raw, F.lit("")))).isin(FALSY)
         return truthy.cast("int").alias(field.name)
     if isinstance(field.dataType, T.StringType):
         return F.coalesce(raw, F.lit("")).alias(field.name)
     if isinstance(field.dataType, T.TimestampType):
-        return F.timestamp_seconds(F.coalesce(_whole_number(raw), now)).alias(field.name)
-    number = F.coalesce(_whole_number(raw), F.lit(0))
+        return F.timestamp_seconds(F.coalesce(_whole_number(field.name), now)).alias(field.name)
+    number = F.coalesce(_whole_number(field.name), F.lit(0))
     return number.cast(field.dataType).alias(field.name)
 
 

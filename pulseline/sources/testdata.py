@@ -12,7 +12,6 @@ from pyspark.sql import functions as F
 
 from pulseline.functions.text import BOT_KEYWORDS, host_of
 from pulseline.functions.timefn import LOCAL_TZ
-from pulseline.operators.paging import top_n
 from pulseline.schema import ACTIVITY_SCHEMA
 from pulseline.session import configure
 
@@ -47,12 +46,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.schema(SCHEMAS[name]).parquet(f"{sf_dir}/{name}.parquet")
 
 
-def spread(df: DataFrame, key: str) -> DataFrame:
-    """Use all cores for an input too small to be split; larger inputs stay as they are."""
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores, key) if df.rdd.getNumPartitions() < cores else df
-
-
 def events_between(events: DataFrame, first_day: int | None, last_day: int | None) -> DataFrame:
     """Events of a local-day range, as a bound on ``ts`` that reaches the scan."""
     if first_day:
@@ -134,20 +127,23 @@ def activity(
 ) -> DataFrame:
     configure(spark)
     events = events_between(table(spark, sf_dir, "events"), first_day, last_day)
-    events = spread(events.drop("value"), "event_id")
-    return to_activity(events, table(spark, sf_dir, "pages"))
+    return to_activity(events.drop("value"), table(spark, sf_dir, "pages"))
 
 
 def raw_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Heartbeat messages as JSON text; some are cut, mistyped, null or incomplete."""
+    """Heartbeat messages as JSON text; some are cut, mistyped, null, incomplete or trailed by text."""
     ua = activity(spark, sf_dir)
-    whole = F.to_json(F.struct(*ACTIVITY_SCHEMA.fieldNames()))
     kind = F.col("id") % 50
+    # Some senders do not flag crawlers.
+    ua = ua.withColumn("is_bot", F.when(kind == 6, 0).otherwise(F.col("is_bot")))
+    whole = F.to_json(F.struct(*ACTIVITY_SCHEMA.fieldNames()))
     return ua.select(
         F.when(kind == 0, F.concat(F.lit('{"id": '), F.col("id"), F.lit(', "url": "')))
         .when(kind == 1, F.concat(F.lit('{"id": "x'), F.col("id"), F.lit('"}')))
         .when(kind == 2, F.concat(F.lit('{"id": '), F.col("id"), F.lit(', "url": null, "is_bot": null, "timestamp": null}')))
         .when(kind == 3, F.concat(F.lit('{"id": "'), F.col("id"), F.lit('", "hostname": "h", "is_bot": true}')))
+        .when(kind == 4, F.concat(F.lit('{"id": '), F.col("id"), F.lit(', "url": "u"} junk')))
+        .when(kind == 5, F.concat(F.lit('{"id": "'), F.col("id"), F.lit('.9"}')))
         .otherwise(whole)
         .alias("value")
     )
@@ -169,6 +165,25 @@ def request_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def heartbeat_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Heartbeats as they reach the server; no browser flags itself as a crawler."""
+    ua = activity(spark, sf_dir)
+    kind = F.col("id") % 4
+    return ua.select(
+        "session_id",
+        "user_cookie",
+        "url",
+        "hostname",
+        F.when(F.col("referer") != "", F.col("referer")).alias("referer"),
+        "browser",
+        F.lit(0).alias("is_bot"),
+        F.when(kind == 0, F.col("ip_user")).when(kind == 1, "").alias("cf_connecting_ip"),
+        F.when(kind == 1, F.concat("ip_user", F.lit(", 198.51.100.7"))).alias("x_forwarded_for"),
+        F.when(kind >= 2, F.col("ip_user")).otherwise("127.0.0.1").alias("remote_addr"),
+        F.col("timestamp").alias("received_at"),
+    )
+
+
 def legacy_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Wide events of the older format as JSON text; every tenth has no times."""
     ua = activity(spark, sf_dir)
@@ -193,18 +208,22 @@ def legacy_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ua.select(F.to_json(message).alias("value"))
 
 
-def write_reports(threats: DataFrame, path: str, per_day: int = 300) -> None:
-    """One fenced verdict report per day, with a template row that means nothing."""
-    top = top_n(threats, per_day, [F.desc("score"), "ip"], per=["date_num"])
+def write_reports(threats: DataFrame, path: str) -> None:
+    """One fenced verdict report per day, with a template row that means nothing.
+
+    Reasons are quoted and go over two lines; forty columns that nobody reads come first.
+    """
+    top = threats
     cells = ["verdict", "score", "ip", "country", "isp", "threat_type", "reason", "solution"]
-    quoted = F.concat(F.lit('"'), F.col("reason"), F.lit(', checked"'))
+    quoted = F.concat(F.lit('"'), F.col("reason"), F.lit(',\nchecked"'))
+    unread = 40
     values = {"country": F.lit("US"), "isp": F.lit("Example Net"), "reason": quoted}
-    line = F.concat_ws(",", *[values.get(c, F.col(c).cast("string")) for c in cells])
+    line = F.concat_ws(",", F.lit("," * (unread - 1)), *[values.get(c, F.col(c).cast("string")) for c in cells])
     rows = top.select("date_num", F.lit(2).alias("part"), "ip", line.alias("value"))
     frame = F.array(
         F.struct(F.lit(0).alias("part"), F.lit("```csv").alias("value")),
-        F.struct(F.lit(1).alias("part"), F.lit(" verdict , score," + ",".join(cells[2:])).alias("value")),
-        F.struct(F.lit(3).alias("part"), F.lit("Critical,99,<IP>,US,X,<threat_type>,r,s").alias("value")),
+        F.struct(F.lit(1).alias("part"), F.lit(",".join(f"x{i}" for i in range(unread)) + ", verdict , score," + ",".join(cells[2:])).alias("value")),
+        F.struct(F.lit(3).alias("part"), F.lit("," * unread + "Critical,99,<IP>,US,X,<threat_type>,r,s").alias("value")),
         F.struct(F.lit(4).alias("part"), F.lit("```").alias("value")),
     )
     frames = top.select("date_num").distinct().select("date_num", F.explode(frame).alias("f"))
@@ -220,7 +239,12 @@ def write_reports(threats: DataFrame, path: str, per_day: int = 300) -> None:
 
 
 def write_alert_documents(alerts: DataFrame, path: str) -> None:
-    """Alert documents as JSON lines with a broken line for every critical one."""
+    """Alert documents as JSON lines with broken lines for every critical one.
+
+    The second kind of broken line is a whole document with text behind it.
+    """
     whole = alerts.select("verdict", F.to_json(F.struct(*alerts.columns)).alias("value"))
-    broken = whole.filter("verdict = 'Critical'").withColumn("value", F.lit('{"ip": '))
-    whole.unionByName(broken).select("value").write.text(path)
+    critical = whole.filter("verdict = 'Critical'")
+    broken = critical.withColumn("value", F.lit('{"ip": '))
+    trailing = critical.withColumn("value", F.concat("value", F.lit(" junk")))
+    whole.unionByName(broken).unionByName(trailing).select("value").write.text(path)

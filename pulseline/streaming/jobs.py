@@ -14,12 +14,24 @@ from pyspark.sql.streaming import StreamingQuery
 from pulseline.operators import ips, rollups
 from pulseline.operators.alerts import to_alerts
 from pulseline.operators.rollups import ROLLUP_HORIZON, SLOT_LOOKBACK
+from pulseline.schema import ACTIVITY_SCHEMA, HEARTBEAT_SCHEMA
 from pulseline.session import stored
-from pulseline.sources.ingest import APPEND_INTERVAL, normalize_events
+from pulseline.sources.ingest import (
+    APPEND_INTERVAL,
+    enrich_time,
+    mark_bots,
+    normalize_events,
+    resolve_ip,
+)
+from pulseline.sources.tables import write_activity
 
 SLOT_WINDOW = "10 minutes"
 WATERMARK = f"{SLOT_LOOKBACK} seconds"
 BATCH = "batch_id"
+#: Columns by which base tables are split into folders.
+DAYS = ("date_num", "first_date_num")
+#: Beside a base table: the last batch that it covers.
+MANIFEST = "_manifest"
 
 
 def _trigger(writer, interval: str | None):
@@ -30,20 +42,22 @@ def _trigger(writer, interval: str | None):
 
 
 def write_batch(df: DataFrame, path: str, batch_id: int, files: int | None = None) -> None:
-    """Write a micro-batch into its own folders, replacing an earlier attempt.
+    """Write a micro-batch into a folder of its own, which replaces an earlier attempt as a whole.
 
-    Rows with a day are also split by day, so that readers of a day skip the others.
+    Below it rows are split by day if they have one, so that readers of a day skip the others.
+    An earlier attempt leaves nothing behind, not even days that this one has no row of.
     ``files`` bounds the files per folder; small frequent batches want a small number.
     """
     df = df if files is None else df.coalesce(files)
-    days = ["date_num"] if "date_num" in df.columns else []
-    (
-        df.withColumn(BATCH, F.lit(batch_id).cast("bigint"))
-        .write.mode("overwrite")
-        .option("partitionOverwriteMode", "dynamic")
-        .partitionBy(*days, BATCH)
-        .parquet(path)
-    )
+    writer = df.write.mode("overwrite").option("partitionOverwriteMode", "static")
+    if "date_num" in df.columns:
+        writer = writer.partitionBy("date_num")
+    writer.parquet(f"{path}/{BATCH}={batch_id}")
+
+
+def day_column(df: DataFrame) -> str | None:
+    """The column that a table is split by, if it has one."""
+    return next((c for c in DAYS if c in df.columns), None)
 
 
 def _each_batch(
@@ -95,21 +109,55 @@ def ingest_messages(
 ) -> StreamingQuery:
     """JSON messages to an activity table, refused messages to a second table.
 
-    Both are written from one parse of the batch and replaced together on a replay.
+    Crawlers are flagged by their user agent, whatever the sender says. Each table's batch is
+    replaced as a whole on a replay.
     """
 
     def work(df: DataFrame, batch_id: int) -> None:
-        df = df.persist()
-        try:
-            good, bad = normalize_events(df)
-            write_batch(good, good_path, batch_id)
-            write_batch(bad, bad_path, batch_id)
-        finally:
-            df.unpersist()
+        good, bad = normalize_events(df)
+        write_batch(mark_bots(good), good_path, batch_id)
+        write_batch(bad, bad_path, batch_id)
 
     return _each_batch(messages, checkpoint, interval, work)
 
 
+def heartbeats(requests: DataFrame) -> DataFrame:
+    """Activity rows from requests: the heartbeat's fields, address headers and receive time.
+
+    The server's part of a heartbeat: client address, crawler flag, times, and the host's domain.
+    """
+    texts = {
+        f.name: F.coalesce(F.col(f.name).cast("string"), F.lit(""))
+        for f in HEARTBEAT_SCHEMA
+        if f.name != "is_bot"
+    }
+    rows = enrich_time(mark_bots(resolve_ip(requests.withColumns(texts))))
+    rows = rows.withColumn("domain", F.regexp_replace("hostname", r"^(www|m|blog)\.", ""))
+    return rows.select(*[F.col(f.name).cast(f.dataType) for f in ACTIVITY_SCHEMA])
+
+
+def ingest_heartbeats(
+    requests: DataFrame, path: str, checkpoint: str, interval: str | None = APPEND_INTERVAL
+) -> StreamingQuery:
+    """A stream of heartbeat requests to the activity table, one folder per micro-batch."""
+
+    def work(df: DataFrame, batch_id: int) -> None:
+        write_batch(heartbeats(df), path, batch_id)
+
+    return _each_batch(requests, checkpoint, interval, work)
+
+
+def settle_activity(spark: SparkSession, path: str, table_path: str, first: int, last: int) -> None:
+    """Rewrite the batches of the closed days ``first`` .. ``last`` into the clustered table.
+
+    Streams leave small unsorted files; this job, run once a day, replaces the days' folders of
+    ``table_path`` by a few files sorted by host and time. Run again it gives the same table.
+    """
+    rows = spark.read.parquet(path).drop(BATCH)
+    rows = rows.filter(F.col("date_num").between(first, last))
+    write_activity(rows, table_path, mode="overwrite")
+
+
 def keep_slots(
     stream, path, checkpoint, interval="30 seconds", approx=False, files=None
 ) -> StreamingQuery:
@@ -158,12 +206,16 @@ def read_states(spark: SparkSession, path: str, base_path: str | None = None) ->
 
 
 def _with_base(spark: SparkSession, path: str, base_path: str | None) -> DataFrame:
+    """Rows of the base and of the batches behind it; the base has no batch number."""
     batches = spark.read.parquet(path)
     if base_path is None:
         return batches
-    base = spark.read.parquet(base_path)
-    covered = base.select(F.max(BATCH)).scalar()
-    return batches.filter(F.col(BATCH) > covered).unionByName(base)
+    covered = spark.read.parquet(f"{base_path}/{MANIFEST}").first()
+    if covered.table != path:
+        raise ValueError(f"{base_path} was folded from {covered.table}, not from {path}")
+    base = spark.read.parquet(base_path).withColumn(BATCH, F.lit(None).cast("bigint"))
+    later = batches.filter(F.col(BATCH) > covered.batch)
+    return later.withColumn(BATCH, F.col(BATCH).cast("bigint")).unionByName(base)
 
 
 def compact(
@@ -177,11 +229,29 @@ def compact(
     """Fold the batches up to ``up_to`` and an earlier base into a new base table.
 
     ``fold`` merges states: ``merge_page_loads``, ``compact_states``, ``merge_first_seen``, or
-    ``DataFrame.distinct`` for slot keys. The old base and the batches stay readable until the
-    caller switches over; the folded batches may then be deleted.
+    ``DataFrame.distinct`` for slot keys. A base with days is split by day and clustered, so a
+    report of one day reads one folder of it. A manifest beside it says which table and
+    batches it covers; it is written last, so a base without one is unfinished. The old base and the
+    batches stay readable until the caller switches over; the folded batches may then be deleted.
+    """
+    rows = _with_base(spark, path, base_path)
+    rows = fold(rows.filter(F.coalesce(BATCH, F.lit(up_to)) <= up_to).drop(BATCH))
+    if day := day_column(rows):
+        keys = [day, *(c for c in ("hostname",) if c in rows.columns)]
+        rows = rows.repartitionByRange(*keys).sortWithinPartitions(*keys)
+        rows.write.mode("error").partitionBy(day).parquet(new_base)
+    else:
+        rows.write.mode("error").parquet(new_base)
+    covers = spark.createDataFrame([(path, up_to)], "table string, batch bigint")
+    covers.coalesce(1).write.mode("error").parquet(f"{new_base}/{MANIFEST}")
+
+
+def settled_first_seen(spark: SparkSession, base_path: str, first: int, last: int) -> DataFrame:
+    """New (cookie, host) of the days ``first`` .. ``last`` from a base of settled minima.
+
+    The compaction has made the base distinct, so the days' folders are the answer as they are.
     """
-    rows = _with_base(spark, path, base_path).filter(F.col(BATCH) <= up_to)
-    fold(rows.drop(BATCH)).withColumn(BATCH, F.lit(up_to).cast("bigint")).write.mode("error").parquet(new_base)
+    return spark.read.parquet(base_path).filter(F.col("first_date_num").between(first, last))
 
 
 def keep_first_seen(

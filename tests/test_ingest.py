@@ -103,3 +103,23 @@ def test_json_export_keeps_nulls(spark, tmp_path):
     df = spark.createDataFrame([(1, None)], "a int, b string")
     export.export_json(df, str(tmp_path / "j"))
     assert spark.read.text(str(tmp_path / "j")).first().value == '{"a":1,"b":null}'
+
+
+def test_messages_are_one_object_with_honest_numbers(spark):
+    lines = [
+        '{"id": 3, "url": "u"} junk',
+        '{"id": 3} {"id": 4}',
+        '{"id": 3}, {"id": 4}',
+        '[{"id": 3}]',
+        '{"id": "1.9"}',
+        '{"id": 1.9}',
+        '{"id": "7"}',
+        "",
+        "null",
+    ]
+    df = spark.createDataFrame([(x,) for x in lines], "value string")
+    good, bad = ingest.normalize_events(df)
+    assert sorted(r.id for r in good.collect()) == [1, 7]
+    reasons = {r.value: r.reason for r in bad.collect()}
+    assert len(reasons) == 7 and reasons['{"id": "1.9"}'] == "bad number"
+    assert {v for k, v in reasons.items() if k != '{"id": "1.9"}'} == {"malformed json"}

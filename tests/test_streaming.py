@@ -1,9 +1,11 @@
 """Streams give the batch result, however the input is cut, restarted or replayed."""
 
 import random
+import re
 
 import pytest
 from conftest import DAY_START, rows
+from pyspark.sql import functions as F
 
 from pulseline.operators import ips, rollups
 from pulseline.schema import ACTIVITY_SCHEMA
@@ -180,3 +182,61 @@ def test_abuse_watch_writes_alerts(spark, events, tmp_path):
         stream(spark, source), lambda: events, path, cp, interval=None, limits=limits_off
     ).awaitTermination()
     assert rows(spark.read.parquet(path), "ip") == want
+
+
+def test_a_replay_without_rows_leaves_nothing(spark, act, tmp_path):
+    path = str(tmp_path / "out")
+    one = act(dict(id=1))
+    jobs.write_batch(one, path, 0)
+    jobs.write_batch(act(dict(id=2, timestamp=DAY_START + 86400)), path, 1)
+    jobs.write_batch(one.filter("id = 9"), path, 0)
+    assert rows(spark.read.schema(ACTIVITY_SCHEMA).parquet(path), "id") == [(2,)]
+
+
+def test_base_is_split_by_day_and_knows_its_table(spark, events, tmp_path):
+    source, path, cp, base = (str(tmp_path / n) for n in ("in", "out", "cp", "base"))
+    write_files(events, source, 3)
+    jobs.keep_rollup(stream(spark, source), path, cp, interval=None).awaitTermination()
+    jobs.compact(spark, path, base, 1, rollups.merge_page_loads)
+    day = rows(events, "date_num")[0][0]
+    plan = jobs.read_loads(spark, path, base).filter(F.col("date_num") == day)
+    text = plan._jdf.queryExecution().executedPlan().toString()
+    scans = re.findall(r"PartitionFilters: \[([^\]]*)\]", text)
+    assert len(scans) == 2 and all("date_num" in scan for scan in scans)
+    with pytest.raises(ValueError, match="not from"):
+        jobs.read_loads(spark, str(tmp_path / "in"), base)
+    first_path, first_base = str(tmp_path / "first"), str(tmp_path / "first-base")
+    jobs.keep_first_seen(
+        stream(spark, source), first_path, cp + "2", interval=None
+    ).awaitTermination()
+    jobs.compact(spark, first_path, first_base, 2, rollups.merge_first_seen)
+    new = jobs.settled_first_seen(spark, first_base, day, day)
+    assert "PartitionFilters: [isnotnull(first_date_num" in new._jdf.queryExecution().executedPlan().toString()
+    assert rows(new) == rows(rollups.first_seen(events).filter(F.col("first_date_num") == day))
+
+
+def test_heartbeats_get_the_servers_part(spark):
+    request = dict(
+        session_id="s", user_cookie=None, url="http://www.a.example/p", hostname="www.a.example",
+        referer=None, browser="Googlebot/2.1", is_bot=0, cf_connecting_ip="", x_forwarded_for="1.2.3.4, 5.6.7.8",
+        remote_addr="127.0.0.1", received_at=1705248000,
+    )
+    schema = (
+        "session_id string, user_cookie string, url string, hostname string, referer string, browser string, "
+        "is_bot int, cf_connecting_ip string, x_forwarded_for string, remote_addr string, received_at long"
+    )
+    got = jobs.heartbeats(spark.createDataFrame([request], schema)).first()
+    assert (got.id, got.ip_user, got.is_bot, got.date_num) == (1705248000000, "1.2.3.4", 1, 20240115)
+    assert (got.user_cookie, got.referer, got.domain) == ("", "", "a.example")
+
+
+def test_settling_closed_days_can_be_repeated(spark, events, tmp_path):
+    path, table = str(tmp_path / "batches"), str(tmp_path / "table")
+    for i in range(3):
+        jobs.write_batch(events.filter(F.col("id") % 3 == i), path, i)
+    for _ in range(2):
+        jobs.settle_activity(spark, path, table, 0, 99991231)
+    names = ACTIVITY_SCHEMA.fieldNames()
+    assert rows(spark.read.parquet(table), *names) == rows(events, *names)
+    files = list((tmp_path / "table").glob("date_num=*/*.parquet"))
+    assert len(files) <= 4 * len(set(f.parent for f in files))

@@ -1,6 +1,7 @@
 import random
 from collections import Counter
 
+import pytest
 from conftest import DAY_START, rows
 from pyspark.sql import functions as F
 
@@ -247,3 +248,59 @@ def test_cluster_samples_and_referers(act):
     ua = act(dict(referer="", ip_user="1"), dict(referer="r", ip_user="2"), dict(url="http://h"))
     got = clusters.url_clusters(ua).orderBy(F.desc("path")).first()
     assert (got.path, got.distinct_ips, got.distinct_refs, got.ref_sample) == ("/p", 2, 1, "")
+
+
+def test_reports_with_line_breaks_and_many_columns(spark, tmp_path):
+    names = [f"x{i}" for i in range(33)] + ["verdict", "ip", "threat_type", "reason"]
+    cells = [""] * 33 + ["Critical", "1.1.1.1", "Scan", '"two\nlines, ""quoted"""']
+    (tmp_path / "r.csv").write_text("```csv\n" + ",".join(names) + "\n" + ",".join(cells) + "\n```\n")
+    (tmp_path / "empty.csv").write_text("")
+    got = tables.load_verdicts(spark, str(tmp_path)).collect()
+    assert [(r.verdict, r.ip, r.threat_type, r.reason, r.line_no) for r in got] == [
+        ("Critical", "1.1.1.1", "Scan", 'two\nlines, "quoted"', 1)
+    ]
+
+
+def test_alert_lines_count_whichever_columns_are_read(spark, tmp_path):
+    lines = ['{"ip": "1.1.1.1", "timestamp": 5}', '{"ip": "2.2.2.2", "timestamp": "x"}', '{"ip": ', '{"ip": "3"} junk']
+    (tmp_path / "a.json").write_text("\n".join(lines))
+    loaded = tables.load_alerts(spark, str(tmp_path))
+    assert rows(loaded.fillna(0), "ip", "timestamp") == [("1.1.1.1", 5), ("2.2.2.2", 0)]
+    assert loaded.count() == 2
+    assert [r.total_rows for r in alerts.alerts_page(loaded).collect()] == [2, 2]
+
+
+def test_public_and_mainstream_referers_are_safe(spark):
+    schema = "date_num int, referer string, ref_domain string, reqs long, reqs_elsewhere long, targets string, title string, description string"
+    hosts = ["tax.gov", "x.edu.vn", "www.bbc.co.uk", "shop.example.co.uk", "steel.example"]
+    data = [(1, f"http://{h}/", h, 900, 900, "t", "", "") for h in hosts]
+    got = referers.referer_threats(spark.createDataFrame(data, schema))
+    assert rows(got, "referer", "type") == [
+        ("http://shop.example.co.uk/", "Compromised Site"),
+        ("http://steel.example/", "Compromised Site"),
+    ]
+
+
+def test_all_targets_are_listed(act):
+    hosts = [f"h{i:02d}.example" for i in range(25)]
+    ua = act(*[dict(hostname=h, referer="http://r.example/x") for h in hosts])
+    pages = ua.sparkSession.createDataFrame([], "page_id long, url string, html string")
+    got = referers.referer_profile(ua, pages).first()
+    assert got.targets == ",".join(hosts) and got.target_hosts == 25
+
+
+@pytest.mark.parametrize(
+    "host,domain",
+    [
+        ("shop.example.co.uk", "example.co.uk"),
+        ("other.co.uk", "other.co.uk"),
+        ("co.uk", "co.uk"),
+        ("a.b.com.vn", "b.com.vn"),
+        ("a.b.example", "b.example"),
+        ("localhost", "localhost"),
+    ],
+)
+def test_registered_domain(spark, host, domain):
+    from pulseline.functions.text import registered_domain
+
+    assert spark.createDataFrame([(host,)], "h string").select(registered_domain("h")).first()[0] == domain
