@@ -85,3 +85,64 @@ def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op10_imatch(spark: SparkSession, sf_dir: str) -> DataFrame:
     return imatch.fingerprints(table(spark, sf_dir, "documents"))
+
+
+# SQL twins. The other operators learn models or follow a tokenizer, which SQL cannot express;
+# tests/llm holds those against plain versions, round trips and held-out labels.
+
+ORACLE["op3_mixing"] = r"""
+WITH sized AS (
+  SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS size,
+    len(regexp_extract_all(coalesce(text, ''), '\p{L}{2,}')) AS runs,
+    ('0x' || substr(md5('0:' || coalesce(CAST(doc_id AS VARCHAR), 'null')), 1, 13))::BIGINT AS bits
+  FROM documents),
+keyed AS (
+  SELECT doc_id, source, size, -ln((bits + 0.5) / 4503599627370496.0)
+    / greatest(0.1, least(1.0, runs / greatest(size, 1))) AS key FROM sized),
+sources AS (
+  SELECT source, CAST(sum(size) AS BIGINT) AS source_size,
+    [3.0, 1.0, 2.0][CAST((row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1 AS INTEGER)]::DOUBLE AS w
+  FROM keyed GROUP BY source),
+levels AS (
+  SELECT *, 2.0::DOUBLE * source_size AS cap, row_number() OVER fill AS place,
+    (sum(source_size) OVER () * 1.5::DOUBLE - coalesce(sum(2.0::DOUBLE * source_size) OVER (
+       ORDER BY 2.0::DOUBLE * source_size / w, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))
+    / sum(w) OVER (ORDER BY 2.0::DOUBLE * source_size / w, source NULLS LAST
+       ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS level
+  FROM sources WINDOW fill AS (ORDER BY 2.0::DOUBLE * source_size / w, source NULLS LAST)),
+final AS (SELECT arg_min(level, place) AS level FROM levels WHERE cap > w * level),
+targets AS (
+  SELECT source, source_size, CASE WHEN final.level IS NOT NULL AND cap > w * final.level
+    THEN w * final.level ELSE cap END AS target FROM levels LEFT JOIN final ON true),
+shares AS (
+  SELECT *, CASE WHEN source_size > 0 THEN CAST(floor(target / source_size) AS BIGINT) ELSE 0 END AS epochs FROM targets),
+summed AS (
+  SELECT k.doc_id, k.size, s.source_size, s.target, s.epochs,
+    CAST(round(s.target - s.epochs * s.source_size) AS BIGINT) AS rest,
+    sum(k.size) OVER (PARTITION BY k.source ORDER BY k.key, k.doc_id ROWS UNBOUNDED PRECEDING) - k.size AS before
+  FROM keyed k JOIN shares s ON k.source IS NOT DISTINCT FROM s.source)
+SELECT doc_id, size, source_size, target,
+  CAST(epochs * size + greatest(0, least(size, rest - before)) AS BIGINT) AS taken
+FROM summed
+"""
+
+ORACLE["op4_near_dedup"] = r"""
+WITH RECURSIVE words AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+    'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+sets AS (
+  SELECT doc_id, list_distinct(CASE WHEN len(w) >= 2
+    THEN list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]) ELSE w END) AS s FROM words),
+shingles AS (SELECT doc_id, len(s) AS n, unnest(s) AS g FROM sets),
+links AS (
+  SELECT a.doc_id AS x, b.doc_id AS y FROM shingles a JOIN shingles b
+    ON a.g = b.g AND a.doc_id < b.doc_id AND a.n * 100 >= 80 * b.n AND b.n * 100 >= 80 * a.n
+  GROUP BY a.doc_id, b.doc_id, a.n, b.n HAVING 100 * count(*) >= 80 * (a.n + b.n - count(*))),
+sides AS (SELECT x, y FROM links UNION ALL SELECT y, x FROM links),
+reach AS (
+  SELECT doc_id, doc_id AS label FROM documents
+  UNION SELECT s.y, r.label FROM reach r JOIN sides s ON s.x = r.doc_id),
+components AS (SELECT doc_id, min(label) AS component_id FROM reach GROUP BY doc_id)
+SELECT doc_id, CAST(len(s) AS BIGINT) AS n_shingles, component_id, doc_id = component_id AS kept
+FROM sets JOIN components USING (doc_id)
+"""
