@@ -173,7 +173,7 @@ def mix(
     table gives no rows. Input columns other than the three named ones are ignored.
     """
     rows = stored(keyed(docs, id_col, text_col, source_col, seed), "mixing")
-    cuts = source_cuts(rows, **shares)
+    cuts = stored(source_cuts(rows, **shares), "cuts")
     same = F.col("r.source").eqNullSafe(F.col("c.source"))
     both = rows.alias("r").join(cuts.alias("c"), same)
     size, key = F.col("r.size"), F.col("r.key")
@@ -197,7 +197,9 @@ def mixed(
     them. Other columns stay as they are; documents without words are not in the mix.
     """
     columns = docs.columns
-    cuts = source_cuts(stored(keyed(docs, id_col, text_col, source_col, seed), "mixing"), **shares)
+    rows = stored(keyed(docs, id_col, text_col, source_col, seed), "mixing")
+    # One row per source, stored so that its real size decides the join and no text is shuffled.
+    cuts = stored(source_cuts(rows, **shares), "cuts")
     names = {c: f"_mix_{c}" for c in cuts.columns}
     cuts = cuts.withColumnsRenamed(names)
     same = F.col(source_col).cast("string").eqNullSafe(F.col("_mix_source"))
