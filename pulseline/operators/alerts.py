@@ -66,10 +66,10 @@ def alerts_search(alerts: DataFrame, text: str | None = None) -> DataFrame:
 
 
 def alerts_page(alerts: DataFrame, text: str | None = None, limit: int = 20, offset: int = 0) -> DataFrame:
-    """One page of the matching alerts, newest first, with their number."""
+    """One page of the matching alerts, newest first, with the number of alerts and pages."""
     found = search(alerts, text, SEARCH_COLUMNS)
     order = [F.desc(F.coalesce("timestamp", F.lit(0))), "ip", "threat_type", "reason"]
-    return with_total(_shown(page(found, order, limit, offset)), found)
+    return with_total(_shown(page(found, order, limit, offset)), found, limit=limit)
 
 
 def alerts_dismiss(alerts: DataFrame, ips) -> DataFrame:

@@ -26,20 +26,21 @@ class ClusterThresholds:
     diverse_share: float = 0.2
 
 
-def url_clusters(ua: DataFrame) -> DataFrame:
+def url_clusters(ua: DataFrame, approx: bool = False) -> DataFrame:
     """Distinct addresses, agents and referers per day, host and path.
 
     Requests are folded per address, agent and referer first, which spreads a busy path.
+    ``approx`` counts distincts by sketches, which copies no row.
     """
     paths = ua.withColumn("path", path_of("url"))
     folded = aggs.fold(paths, *CLUSTER, "ip_user", "browser", "referer")
     return (
         folded.groupBy(*CLUSTER)
         .agg(
-            aggs.uniq("ip_user").alias("distinct_ips"),
+            aggs.uniq("ip_user", approx=approx).alias("distinct_ips"),
             F.sum("hits").alias("reqs"),
-            aggs.uniq("browser").alias("distinct_uas"),
-            aggs.uniq(F.nullif("referer", F.lit(""))).alias("distinct_refs"),
+            aggs.uniq("browser", approx=approx).alias("distinct_uas"),
+            aggs.uniq(F.nullif("referer", F.lit("")), approx=approx).alias("distinct_refs"),
             aggs.first_of("browser", "referer").alias("sample"),
         )
         .withColumns(

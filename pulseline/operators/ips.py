@@ -49,16 +49,19 @@ def _visits(ua: DataFrame, per) -> DataFrame:
     return aggs.fold(ua, *per, "ip_user", *VISIT)
 
 
-def ip_profile(ua: DataFrame, per=("date_num",)) -> DataFrame:
-    """One row per address and ``per`` columns, with its risk score."""
+def ip_profile(ua: DataFrame, per=("date_num",), approx: bool = False) -> DataFrame:
+    """One row per address and ``per`` columns, with its risk score.
+
+    ``approx`` counts distincts by sketches, which copies no row.
+    """
     visits = _visits(ua, per)
     rows = visits.groupBy(*per, "ip_user").agg(
-        aggs.uniq("user_cookie").alias("distinct_cookies"),
+        aggs.uniq("user_cookie", approx=approx).alias("distinct_cookies"),
         F.max(F.when(blank("user_cookie"), 0).otherwise(1)).alias("has_cookie"),
         aggs.first_of("browser").alias("first"),
         F.sum("hits").alias("total_requests"),
-        aggs.uniq("hostname").alias("distinct_hostnames"),
-        aggs.uniq("url").alias("distinct_urls"),
+        aggs.uniq("hostname", approx=approx).alias("distinct_hostnames"),
+        aggs.uniq("url", approx=approx).alias("distinct_urls"),
         F.sum(F.when(is_sensitive("url"), F.col("hits")).otherwise(0)).alias("sensitive_hits"),
         F.sum(F.when(is_attack("url"), F.col("hits")).otherwise(0)).alias("attack_hits"),
         aggs.last_of("referer").alias("last"),

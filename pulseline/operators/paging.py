@@ -7,14 +7,19 @@ RANK_LIMIT = "spark.sql.optimizer.windowGroupLimitThreshold"
 SALTS = 64
 
 
-def with_total(df: DataFrame, rows: DataFrame | None = None, name: str = "total_rows") -> DataFrame:
+def with_total(
+    df: DataFrame, rows: DataFrame | None = None, name: str = "total_rows", limit: int | None = None
+) -> DataFrame:
     """Append the row count of ``rows`` (default: of ``df``) as a scalar subquery.
 
+    With the ``limit`` of a page also ``total_pages``, the number of such pages.
+
     A window over everything would move every row to one task. Pass a narrower
     ``rows`` when the number of rows is known from fewer columns.
     """
     total = (df if rows is None else rows).select(F.count("*")).scalar()
-    return df.withColumn(name, total)
+    df = df.withColumn(name, total)
+    return df if limit is None else df.withColumn("total_pages", total_pages(F.col(name), limit))
 
 
 def page(df: DataFrame, order, limit: int, offset: int = 0) -> DataFrame:

@@ -37,7 +37,8 @@ def online_by_host(slots: DataFrame, as_of, minutes: int = ONLINE_SLOTS_MINUTES)
 
 def online_page(slots: DataFrame, as_of, minutes: int = ONLINE_SLOTS_MINUTES, limit: int = 20, offset: int = 0) -> DataFrame:
     rows = online_by_host(slots, as_of, minutes)
-    return with_total(page(rows, [F.desc("active_users"), "hostname"], limit, offset), rows.select("hostname"))
+    found = page(rows, [F.desc("active_users"), "hostname"], limit, offset)
+    return with_total(found, rows.select("hostname"), limit=limit)
 
 
 def _window(ua: DataFrame, as_of, minutes: int) -> DataFrame:
@@ -89,12 +90,16 @@ def window_devices(ua: DataFrame, as_of, minutes: int = 30) -> DataFrame:
     return device_breakdown(_window(ua, as_of, minutes), by="user_cookie", per=())
 
 
-def realtime_by_host(ua: DataFrame, as_of, minutes: int = 30, n: int = 100) -> DataFrame:
+def realtime_by_host(
+    ua: DataFrame, as_of, minutes: int = 30, n: int = 100, approx: bool = False
+) -> DataFrame:
     rows = _window(ua, as_of, minutes).groupBy("hostname").agg(
-        aggs.uniq("user_cookie").alias("active_users"), F.count("*").alias("hits")
+        aggs.uniq("user_cookie", approx=approx).alias("active_users"), F.count("*").alias("hits")
     )
     return top_n(rows, n, [F.desc("active_users"), "hostname"])
 
 
-def realtime_total(ua: DataFrame, as_of, minutes: int = 30) -> DataFrame:
-    return _window(ua, as_of, minutes).agg(aggs.uniq("user_cookie").alias("active_users"))
+def realtime_total(ua: DataFrame, as_of, minutes: int = 30, approx: bool = False) -> DataFrame:
+    return _window(ua, as_of, minutes).agg(
+        aggs.uniq("user_cookie", approx=approx).alias("active_users")
+    )

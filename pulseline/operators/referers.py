@@ -90,7 +90,10 @@ def referer_targets(ua: DataFrame) -> DataFrame:
 
 
 def referer_profile(
-    ua: DataFrame, pages: DataFrame, suffixes: list = TWO_LEVEL_SUFFIXES
+    ua: DataFrame,
+    pages: DataFrame,
+    suffixes: list = TWO_LEVEL_SUFFIXES,
+    approx: bool = False,
 ) -> DataFrame:
     """Per day and referer: domain, addresses, requests, targets, title, description.
 
@@ -106,7 +109,7 @@ def referer_profile(
     elsewhere = registered_domain("ref_domain", suffixes) != registered_domain("domain", suffixes)
     totals = hosts.groupBy(*REFERER).agg(
         F.max("ref_domain").alias("ref_domain"),
-        aggs.uniq("ip_user").alias("ips"),
+        aggs.uniq("ip_user", approx=approx).alias("ips"),
         F.sum("reqs").alias("reqs"),
         F.sum(F.when(elsewhere, F.col("reqs")).otherwise(0)).alias("reqs_elsewhere"),
     )

@@ -47,7 +47,7 @@ def session_page(ua: DataFrame, day: int, ip: str | None = None, limit: int = 50
     """One page of a day's sessions, newest first, with the number of sessions."""
     rows = session_detail(on_day(ua, day), ip)
     order = [F.desc("last_ts"), F.desc("session_id"), F.desc("user_cookie")]
-    return with_total(page(rows, order, limit, offset), _sessions(ua, day, ip), "total_count")
+    return with_total(page(rows, order, limit, offset), _sessions(ua, day, ip), "total_count", limit)
 
 
 def session_page_after(ua: DataFrame, day: int, cursor, ip: str | None = None, limit: int = 50) -> DataFrame:

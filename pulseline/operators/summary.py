@@ -65,7 +65,7 @@ def summary_page(ua: DataFrame, first: DataFrame, day: int, limit: int = 20, off
     today = on_day(ua, day)
     rows = summary_by_host(today, first.filter(F.col("first_date_num") == day))
     hosts = today.select("hostname").distinct()
-    return with_total(page(rows, [F.desc("users"), "hostname"], limit, offset), hosts)
+    return with_total(page(rows, [F.desc("users"), "hostname"], limit, offset), hosts, limit=limit)
 
 
 def _slice(ua: DataFrame, days) -> DataFrame:

@@ -23,14 +23,16 @@ def top_hosts(ua: DataFrame, n: int = 5) -> DataFrame:
     return _top(daily_rollup(ua, names=["users", "views", "bot_sessions"]), n, "users", "hostname")
 
 
-def _sources(ua: DataFrame, source) -> DataFrame:
-    return ua.groupBy(*DAY, source.alias("source")).agg(aggs.uniq("session_id").alias("sessions"))
+def _sources(ua: DataFrame, source, approx: bool = False) -> DataFrame:
+    return ua.groupBy(*DAY, source.alias("source")).agg(
+        aggs.uniq("session_id", approx=approx).alias("sessions")
+    )
 
 
-def top_sources_domain(ua: DataFrame, n: int = 3) -> DataFrame:
+def top_sources_domain(ua: DataFrame, n: int = 3, approx: bool = False) -> DataFrame:
     """Referring hosts by distinct sessions."""
     source = F.when(blank("referer"), DIRECT_SOURCE).otherwise(host_of("referer"))
-    return _top(_sources(ua, source), n, "sessions", "source")
+    return _top(_sources(ua, source, approx), n, "sessions", "source")
 
 
 def _hits(ua: DataFrame, key: str) -> DataFrame:
@@ -45,10 +47,10 @@ def top_ips(ua: DataFrame, n: int = 10) -> DataFrame:
     return _top(_hits(ua, "ip_user"), n, "hits", "ip_user")
 
 
-def hourly_trend(ua: DataFrame, tz: str = LOCAL_TZ) -> DataFrame:
+def hourly_trend(ua: DataFrame, tz: str = LOCAL_TZ, approx: bool = False) -> DataFrame:
     """Distinct users per local hour."""
     return ua.groupBy(*DAY, local_hour("timestamp", tz).alias("hour")).agg(
-        aggs.uniq("user_cookie").alias("users")
+        aggs.uniq("user_cookie", approx=approx).alias("users")
     )
 
 
@@ -63,10 +65,12 @@ def peak_hour(ua: DataFrame, tz: str = LOCAL_TZ) -> DataFrame:
     )
 
 
-def device_breakdown(ua: DataFrame, by: str = "session_id", per=("date_num",)) -> DataFrame:
+def device_breakdown(
+    ua: DataFrame, by: str = "session_id", per=("date_num",), approx: bool = False
+) -> DataFrame:
     """Distinct sessions (or cookies) on mobile and desktop."""
     return ua.groupBy(*per, device_of("browser").alias("device")).agg(
-        aggs.uniq(by).alias("visitors")
+        aggs.uniq(by, approx=approx).alias("visitors")
     )
 
 

@@ -269,7 +269,8 @@ twin("summary_by_host", "SELECT * FROM byhost", FIRST, NEW_HOST, BY_HOST)
 twin("stream_summary_by_host", "SELECT * FROM byhost", FIRST, NEW_HOST, BY_HOST)
 twin(
     "summary_page",
-    f"""SELECT *, (SELECT count(*) FROM byhost WHERE date_num = {DAY}) AS total_rows FROM byhost
+    f"""SELECT *, (SELECT count(*) FROM byhost WHERE date_num = {DAY}) AS total_rows,
+  CAST(ceil((SELECT count(*) FROM byhost WHERE date_num = {DAY}) / 10.0) AS BIGINT) AS total_pages FROM byhost
 WHERE date_num = {DAY} ORDER BY users DESC, hostname LIMIT 10 OFFSET 10""",
     FIRST,
     NEW_HOST,
@@ -291,7 +292,8 @@ _NEWEST = "ORDER BY last_ts DESC, session_id DESC, user_cookie DESC"
 twin("session_detail", "SELECT * FROM detail", _sessions())
 twin(
     "session_page",
-    f"SELECT *, (SELECT count(*) FROM detail) AS total_count FROM detail {_NEWEST} LIMIT 50 OFFSET 20",
+    f"SELECT *, (SELECT count(*) FROM detail) AS total_count,
+  CAST(ceil((SELECT count(*) FROM detail) / 50.0) AS BIGINT) AS total_pages FROM detail {_NEWEST} LIMIT 50 OFFSET 20",
     _sessions(f"date_num = {DAY} AND contains(ip_user, '10.0')"),
 )
 twin(
@@ -305,7 +307,7 @@ FROM slots, latest WHERE slot_start >= as_of - {MINUTES * 60} AND slot_start <=
 twin("online_by_host", "SELECT * FROM online", SLOTS, ONLINE)
 twin(
     "online_page",
-    "SELECT *, (SELECT count(*) FROM online) AS total_rows FROM online ORDER BY active_users DESC, hostname LIMIT 20",
+    "SELECT *, (SELECT count(*) FROM online) AS total_rows, CAST(ceil((SELECT count(*) FROM online) / 20.0) AS BIGINT) AS total_pages FROM online ORDER BY active_users DESC, hostname LIMIT 20",
     SLOTS,
     ONLINE,
 )
@@ -744,7 +746,8 @@ def _matching(text: str) -> str:
 twin("alerts_search", f"SELECT *, {_SHOWN} FROM alerts WHERE {_matching('attack')}", *THREATS, ALERTS)
 twin(
     "alerts_page",
-    f"""SELECT *, {_SHOWN}, (SELECT count(*) FROM alerts WHERE {_matching("scan")}) AS total_rows
+    f"""SELECT *, {_SHOWN}, (SELECT count(*) FROM alerts WHERE {_matching("scan")}) AS total_rows,
+  CAST(ceil((SELECT count(*) FROM alerts WHERE {_matching("scan")}) / 20.0) AS BIGINT) AS total_pages
 FROM alerts WHERE {_matching("scan")}
 ORDER BY timestamp DESC, ip, threat_type, reason LIMIT 20 OFFSET 20""",
     *THREATS,
