@@ -292,8 +292,7 @@ _NEWEST = "ORDER BY last_ts DESC, session_id DESC, user_cookie DESC"
 twin("session_detail", "SELECT * FROM detail", _sessions())
 twin(
     "session_page",
-    f"SELECT *, (SELECT count(*) FROM detail) AS total_count,
-  CAST(ceil((SELECT count(*) FROM detail) / 50.0) AS BIGINT) AS total_pages FROM detail {_NEWEST} LIMIT 50 OFFSET 20",
+    f"SELECT *, (SELECT count(*) FROM detail) AS total_count, CAST(ceil((SELECT count(*) FROM detail) / 50.0) AS BIGINT) AS total_pages FROM detail {_NEWEST} LIMIT 50 OFFSET 20",
     _sessions(f"date_num = {DAY} AND contains(ip_user, '10.0')"),
 )
 twin(
