@@ -97,28 +97,26 @@ def _train(size: int, samples: list[bytes], segment: int) -> bytes:
         return b"".join(samples)[-size:]
 
 
-def _grams(word: str) -> set[str]:
+def _grams(word: str) -> list[str]:
     marked = f" {word} "
-    return {marked[i : i + n] for n in GRAMS for i in range(len(marked) - n + 1)}
+    return [marked[i : i + n] for n in GRAMS for i in range(len(marked) - n + 1)]
 
 
 def typical_words(toxic: list[str], ordinary: list[str]) -> list[bytes]:
     """For each toxic text, its words with an n-gram typical of toxic texts."""
-    by_word: dict[str, set[str]] = {}
 
-    def shares(texts: list[str]) -> Counter:
+    def shares(texts: list[str], known: Counter | None = None) -> Counter:
         count: Counter = Counter()
         for text in texts:
-            found: set[str] = set()
-            for word in set(text.lower().split()):
-                if word not in by_word:
-                    by_word[word] = _grams(word)
-                found |= by_word[word]
-            count.update(found)
+            found = {g for word in set(text.lower().split()) for g in _grams(word)}
+            count.update(found if known is None else found.intersection(known))
         return count
 
-    inside, outside = shares(toxic), shares(ordinary)
     chance = len(toxic) / max(1, len(toxic) + len(ordinary))
+    # Rarer n-grams could not be significant even if no ordinary text had them.
+    rarest = GRAM_GAIN / -np.log(chance) if 0 < chance < 1 else 1.0
+    inside = Counter({g: n for g, n in shares(toxic).items() if n >= rarest})
+    outside = shares(ordinary, inside)
 
     def gain(n: int, other: int) -> float:
         total = n + other
@@ -133,7 +131,7 @@ def typical_words(toxic: list[str], ordinary: list[str]) -> list[bytes]:
     }
     out = []
     for text in toxic:
-        kept = [w for w in text.lower().split() if not by_word[w].isdisjoint(typical)]
+        kept = [w for w in text.lower().split() if not typical.isdisjoint(_grams(w))]
         if kept:
             out.append(f" {' '.join(kept)} ".encode("utf-8", "surrogatepass"))
     return out
