@@ -28,7 +28,7 @@ WORD_SHARE = 1e-5
 GRAM_SHARE = 1e-4
 LONGEST = 5
 #: Distinct words that a task or worker holds before it hands them on or starts anew.
-HELD_WORDS = 200_000
+HELD_WORDS = 300_000
 
 _LETTERS = re.compile(r"[^\W\d_]+")
 
@@ -97,31 +97,47 @@ def gram_counts(counted: DataFrame) -> DataFrame:
 
 
 class Model:
-    """Log frequencies per language of known words and n-grams."""
+    """Log frequencies per language of known words and n-grams.
 
-    def __init__(self, langs: list[str], tables: list[dict[str, dict[int, float]]]):
-        self.langs = langs
-        # By n-gram size, words at 0: term -> scores of all languages.
-        self.tables = [
-            {t: self._scores(by_lang, floor) for t, by_lang in table.items()}
-            for table, floor in tables
-        ]
-
-    def _scores(self, by_lang: dict[int, float], floor: float) -> np.ndarray:
-        out = np.full(len(self.langs), floor, np.float32)
-        for i, share in by_lang.items():
-            out[i] = math.log(share)
-        return out
+    ``places`` has a table from term to row per n-gram size, words at 0; ``scores`` has a row per term
+    and a column per language.
+    """
 
-    def word_scores(self, word: str) -> np.ndarray:
-        """Scores of a word, or of the longest of its n-grams that are known; mean over these."""
-        if (known := self.tables[0].get(word)) is not None:
-            return known
+    def __init__(self, langs: list[str], tables: list[tuple[dict[str, dict[int, float]], float]]):
+        self.langs = langs
+        self.places: list[dict[str, int]] = []
+        rows = []
+        for table, floor in tables:
+            self.places.append({term: len(rows) + i for i, term in enumerate(table)})
+            for by_lang in table.values():
+                row = [floor] * len(langs)
+                for i, share in by_lang.items():
+                    row[i] = math.log(share)
+                rows.append(row)
+        self.scores = np.array(rows, np.float32).reshape(len(rows), len(langs))
+
+    def rows_of(self, word: str) -> list[int]:
+        """The row of a known word, or those of the longest of its n-grams that are known."""
+        if (known := self.places[0].get(word)) is not None:
+            return [known]
         for n in range(LONGEST, 0, -1):
-            found = [s for g in grams(word, n) if (s := self.tables[n].get(g)) is not None]
-            if found:
-                return np.mean(found, axis=0, dtype=np.float32)
-        return np.zeros(len(self.langs), np.float32)
+            place = self.places[n]
+            if found := [place[g] for g in grams(word, n) if g in place]:
+                return found
+        return []
+
+    def word_scores(self, new: list[str]) -> np.ndarray:
+        """Scores of words: means over their rows, zero where there are none."""
+        rows = [self.rows_of(w) for w in new]
+        sizes = np.array([len(r) for r in rows])
+        out = np.zeros((len(new), len(self.langs)), np.float32)
+        some = np.flatnonzero(sizes)
+        if len(some):
+            flat = np.fromiter((i for r in rows for i in r), np.int64, int(sizes.sum()))
+            starts = np.r_[0, np.cumsum(sizes[some])[:-1]]
+            sums = np.add.reduceat(self.scores[flat], starts, axis=0)
+            out[some] = sums / sizes[some, None]
+        return out
 
 
 def train(
@@ -156,31 +172,32 @@ def train(
 
 
 class Scorer:
-    """Predicts texts; remembers the scores of words by number, up to a fixed count."""
+    """Predicts texts; remembers the scores of words, up to a fixed number."""
 
     def __init__(self, model: Model):
         self.model = model
         self._reset()
 
     def _reset(self):
-        self.rows: dict[str, int] = {}
-        self.scores = np.zeros((HELD_WORDS + 1, len(self.model.langs)), np.float32)
-
-    def predict(self, text: str | None) -> tuple[str, float]:
-        found = words(text) if text else []
+        self.places: dict[str, int] = {}
+        self.scores = np.zeros((0, len(self.model.langs)), np.float32)
+
+    def predict(self, texts: list[str | None]) -> list[tuple[str, float]]:
+        found = [words(t) if t else [] for t in texts]
+        if len(self.places) > HELD_WORDS:
+            self._reset()
+        new = list(set().union(*found).difference(self.places))
+        if new and self.model.langs:
+            self.places |= zip(new, range(len(self.places), len(self.places) + len(new)))
+            self.scores = np.concatenate([self.scores, self.model.word_scores(new)])
+        return [self._one(f) for f in found]
+
+    def _one(self, found: list[str]) -> tuple[str, float]:
         if not found or not self.model.langs:
             return "und", 0.0
-        counts = Counter(found)
-        total = np.zeros(len(self.model.langs))
-        for word, n in counts.items():
-            if (row := self.rows.get(word)) is None:
-                if len(self.rows) >= HELD_WORDS:
-                    self._reset()
-                row = self.rows[word] = len(self.rows)
-                self.scores[row] = self.model.word_scores(word)
-            total += n * self.scores[row]
+        rows = np.fromiter(map(self.places.__getitem__, found), np.int64, len(found))
         # The words' scores depend on one another, so their sum is damped.
-        total = total / math.sqrt(len(found))
+        total = self.scores[rows].sum(axis=0, dtype=np.float64) / math.sqrt(len(found))
         best = int(total.argmax())
         return self.model.langs[best], float(1 / np.exp(total - total[best]).sum())
 
@@ -197,7 +214,7 @@ def predict(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = Scorer(shared.value)
         for batch in batches:
-            got = [scorer.predict(t) for t in batch.column("text").to_pylist()]
+            got = scorer.predict(batch.column("text").to_pylist())
             yield pa.RecordBatch.from_arrays(
                 [
                     batch.column("doc_id"),
