@@ -6,10 +6,10 @@ must share t values share one among the rarest (size - t + 1) values of each, so
 enter the lists, and shingles of passages that many documents share stay out. The sketch of two
 sketches' union estimates the similarity and filters; the full shingle sets of what is left decide.
 
-Lists are not expanded into pairs. First every class is held against three members of each of its
-lists, and the links found are joined into components. Only where a list still holds members of
-different components are these compared with one another, in blocks, on their sketches; two
-members of one component need no comparison, since the result is the components.
+Lists are not expanded into pairs. First every class is held against a few members of its lists, and the
+links found are joined into components; two members of one component need no comparison any
+more, since the result is the components. This is repeated with other members for the lists that still
+hold several components, and what is then left is compared with one another, in blocks, on the sketches.
 """
 
 from __future__ import annotations
@@ -29,8 +29,15 @@ from pulseline.llm.common import stored
 SKETCH, SHARED = 64, 36
 #: Estimates this far below the threshold still go to the exact test (4 deviations).
 MARGIN = 0.2
-#: Members of a list that are compared with one another in one go.
-BLOCK = 256
+#: Members of a list that all others are held against, round by round. In a group of which
+#: 40 % of all pairs are linked, 3 + 6 members leave one in a hundred for the blocks.
+STARS = (3, 6)
+#: Members of a list that are compared with one another in one go, and the sketch for that: most sets are
+#: smaller and thus compared whole.
+BLOCK, FINE = 2048, 256
+#: Pairs, columns of the table of frequent values, and pairs of owners of rare ones in one step of it;
+#: a value is frequent from so many sets on.
+STEP_PAIRS, STEP_VALUES, STEP_RARE, OFTEN = 10_000, 4096, 4_000_000, 64
 #: Words whose hashes a worker keeps.
 HELD_WORDS = 400_000
 
@@ -105,7 +112,9 @@ def prefix_postings(classes: DataFrame, sketch: int, shared: int, similarity: fl
     # Every class has at most ``sketch`` values here, so the list is bounded.
     length = kept - needed + 1 - (kept - F.size("values"))
     ranked = ranked.withColumn("values", F.slice("values", 1, F.greatest(length, F.lit(0)).cast("int")))
-    return ranked.select("rep", "n", F.explode("values").alias("v")).select("v.value", "rep", "n")
+    return ranked.select("rep", "n", F.posexplode("values").alias("place", "v")).select(
+        "v.value", "rep", "n", "place", "v.times"
+    )
 
 
 def estimate(a: str, b: str, sketch: int):
@@ -115,27 +124,42 @@ def estimate(a: str, b: str, sketch: int):
     return F.size(both) / F.size(union)
 
 
-def star_pairs(lists: DataFrame) -> DataFrame:
-    """Each class with the best of the smallest, the largest and one more member of its lists.
+def labelled(lists: DataFrame, labels: DataFrame | None) -> DataFrame:
+    """Lists with their members' components, those that hold a single component left out."""
+    if labels is None:
+        rows = lists.withColumn("label", F.col("rep"))
+    else:
+        known = labels.select(F.col("node").alias("rep"), "label")
+        rows = lists.join(known, "rep", "left").withColumn("label", F.coalesce("label", "rep"))
+    ends = rows.groupBy("value").agg(F.min("label").alias("_low"), F.max("label").alias("_high"))
+    return rows.join(ends.filter("_low <> _high").select("value"), "value", "left_semi")
+
+
+def star_pairs(lists: DataFrame, members: int, first: int) -> DataFrame:
+    """Each class with the best of every choice of one member of its lists (a, b).
 
-    ``overlap`` counts the lists in which the two meet.
+    ``lists`` have labels. The choices are by hashes numbered from ``first``, of the member alone, so that
+    the lists of a group choose the same; the best is the one that meets in most lists. Members
+    of the same component are no pair.
     """
-    turn = F.xxhash64("rep")
-    ends = lists.groupBy("value").agg(
-        F.min("rep").alias("low"),
-        F.max("rep").alias("high"),
-        F.min_by("rep", turn).alias("other"),
-        F.count(F.lit(1)).alias("members"),
+    choices = [
+        F.min_by(F.struct("rep", "label"), F.xxhash64("rep", F.lit(i))).alias(f"c{i}")
+        for i in range(first, first + members)
+    ]
+    chosen = lists.groupBy("value").agg(*choices)
+    each = F.array(
+        *[
+            F.struct(F.lit(i).alias("kind"), F.col(f"c{i}").alias("to"))
+            for i in range(first, first + members)
+        ]
     )
-    ends = ends.filter("members > 1").drop("members")
-    met = lists.join(ends, "value").select(
-        "rep",
-        F.explode(
-            F.array(*[F.struct(F.lit(i).alias("kind"), F.col(c).alias("to")) for i, c in enumerate(ends.columns[1:])])
-        ).alias("e"),
+    met = lists.join(chosen.select("value", each.alias("each")), "value").select(
+        "rep", "label", F.explode("each").alias("e")
+    )
+    met = met.filter("label <> e.to.label")
+    counted = met.groupBy("rep", F.col("e.kind").alias("kind"), F.col("e.to.rep").alias("to")).agg(
+        F.count(F.lit(1)).alias("overlap")
     )
-    met = met.select("rep", "e.kind", "e.to").filter("rep <> to")
-    counted = met.groupBy("rep", "kind", "to").agg(F.count(F.lit(1)).alias("overlap"))
     best = counted.groupBy("rep", "kind").agg(F.max_by("to", F.struct("overlap", "to")).alias("to"))
     return best.select(F.least("rep", "to").alias("a"), F.greatest("rep", "to").alias("b")).distinct()
 
@@ -148,11 +172,11 @@ def likely(pairs: DataFrame, classes: DataFrame, sketch: int, floor: float) -> D
     return both.filter(estimate("_sa", "_sb", sketch) >= floor).select("a", "b").distinct()
 
 
-def verified(pairs: DataFrame, docs: DataFrame, words: int, similarity: float) -> DataFrame:
-    """The pairs (a, b) of document ids whose full shingle sets are similar enough."""
-    ids = pairs.select(F.explode(F.array("a", "b")).alias("_id")).distinct()
-    # Only the documents of the pairs; the side of the ids is the one to be hashed.
-    rows = docs.join(ids.hint("shuffle_hash"), F.col("doc_id") == F.col("_id"), "left_semi")
+def shingle_sets(docs: DataFrame, ids: DataFrame, words: int) -> DataFrame:
+    """doc_id and full shingle set of the documents whose id is in ``ids`` (rep)."""
+    keys = ids.select(F.col("rep").alias("_id")).distinct()
+    # The side of the ids is the one to be hashed; texts are neither sorted nor held.
+    rows = docs.join(keys.hint("shuffle_hash"), F.col("doc_id") == F.col("_id"), "left_semi")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingler = Shingler(words)
@@ -161,7 +185,11 @@ def verified(pairs: DataFrame, docs: DataFrame, words: int, similarity: float) -
             arrays = [batch.column("doc_id"), pa.array(sets, pa.list_(pa.int64()))]
             yield pa.RecordBatch.from_arrays(arrays, ["doc_id", "set"])
 
-    sets = stored(rows.mapInArrow(run, "doc_id long, set array<long>"), "sets")
+    return rows.mapInArrow(run, "doc_id long, set array<long>")
+
+
+def verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """The pairs (a, b) of document ids whose full shingle sets are similar enough."""
     one = sets.select(F.col("doc_id").alias("a"), F.col("set").alias("_a"))
     two = sets.select(F.col("doc_id").alias("b"), F.col("set").alias("_b"))
     both = F.size(F.array_intersect("_a", "_b"))
@@ -170,38 +198,48 @@ def verified(pairs: DataFrame, docs: DataFrame, words: int, similarity: float) -
     return pairs.join(one, "a").join(two, "b").filter(fits).select("a", "b").distinct()
 
 
-def components(links: DataFrame) -> DataFrame:
+def _follow(point: DataFrame) -> DataFrame:
+    """Pointers (node, to) moved on to where their ends point; ``moved`` if that is elsewhere."""
+    ahead = point.select(F.col("node").alias("_n"), F.col("to").alias("_t"))
+    both = point.join(ahead, F.col("to") == F.col("_n"))
+    return both.select("node", F.col("_t").alias("to"), (F.col("_t") != F.col("to")).alias("moved"))
+
+
+def components(links: DataFrame, known: DataFrame | None = None) -> DataFrame:
     """node and label (the smallest node reachable) of all nodes of links (a, b).
 
-    Every round points each node to its smallest neighbour, follows the pointers to their ends and
+    With ``known`` labels the links join what these have joined, and all their nodes are returned too. Every round points each node to its smallest neighbour, follows the pointers to their ends and
     contracts the links; the number of rounds grows with the logarithm of the nodes. Rounds are
     written to the shared folder, so nothing long is ever recomputed.
     """
-    edges = stored(links.select("a", "b").filter("a <> b").distinct(), "links")
-    labels = None
+    edges = links.select("a", "b").filter("a <> b")
+    labels = known
+    if known is not None:
+        for end in ("a", "b"):
+            step = known.select(F.col("node").alias("_n"), "label")
+            edges = edges.join(step, F.col(end) == F.col("_n"), "left")
+            edges = edges.withColumn(end, F.coalesce("label", end)).drop("_n", "label")
+    edges = stored(edges.filter("a <> b").distinct(), "links")
     while not edges.isEmpty():
         ends = edges.select("a", "b").union(edges.select("b", "a"))
         point = ends.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("to"))
         point = stored(point.select(F.col("a").alias("node"), "to"), "pointers")
         while True:
-            ahead = point.select(F.col("node").alias("_n"), F.col("to").alias("_t"))
-            point = stored(
-                point.join(ahead, F.col("to") == F.col("_n")).select(
-                    "node", F.col("_t").alias("to"), (F.col("_t") != F.col("to")).alias("moved")
-                ),
-                "pointers",
-            )
+            # Two doublings a job: four steps along the pointers.
+            ahead = _follow(_follow(point))
+            point = stored(ahead, "pointers")
             if point.filter("moved").isEmpty():
                 break
-            point = point.drop("moved")
-        point = point.drop("moved")
+        step = point.select(F.col("node").alias("_n"), "to")
         if labels is None:
-            labels = point.withColumnRenamed("to", "label")
+            labels = point.select("node", F.col("to").alias("label"))
         else:
-            step = point.select(F.col("node").alias("_n"), "to")
-            labels = labels.join(step, F.col("label") == F.col("_n"), "left").select(
-                "node", F.coalesce("to", "label").alias("label")
+            labels = (
+                labels.join(step, F.col("label") == F.col("_n"), "full")
+                .select(F.coalesce("node", "_n").alias("node"), F.coalesce("to", "label").alias("label"))
             )
+            # A node that had no label may be the label of others.
+            labels = labels.groupBy("node").agg(F.min("label").alias("label"))
         labels = stored(labels, "labels")
         one = point.select(F.col("node").alias("a"), F.col("to").alias("ta"))
         two = point.select(F.col("node").alias("b"), F.col("to").alias("tb"))
@@ -212,25 +250,84 @@ def components(links: DataFrame) -> DataFrame:
     return labels
 
 
+def _overlaps(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
+    """Number of values that every left and every right set share.
+
+    Frequent values are columns of a table whose halves are multiplied; for the others their few pairs
+    of owners are counted.
+    """
+    shape = (len(left), len(right))
+    sizes = [len(x) for x in left], [len(x) for x in right]
+    values, place, times = np.unique(
+        np.concatenate([*left, *right]), return_inverse=True, return_counts=True
+    )
+    split = sum(sizes[0])
+    owners = [np.repeat(np.arange(n), k) for n, k in zip(shape, sizes)]
+    places = [place[:split], place[split:]]
+    out = np.zeros(shape, np.float32)
+    often = times >= OFTEN
+    column = np.cumsum(often) - 1
+    for start in range(0, int(often.sum()), STEP_VALUES):
+        tables = []
+        for n, owner, at in zip(shape, owners, places):
+            part = often[at] & (column[at] >= start) & (column[at] < start + STEP_VALUES)
+            table = np.zeros((n, STEP_VALUES), np.float32)
+            table[owner[part], column[at[part]] - start] = 1
+            tables.append(table)
+        out += tables[0] @ tables[1].T
+    # Owners of each other value on the right stand together.
+    rare = [~often[at] & (times[at] > 1) for at in places]
+    order = np.argsort(places[1][rare[1]], kind="stable")
+    there, at = owners[1][rare[1]][order], places[1][rare[1]][order]
+    mine, wanted = owners[0][rare[0]], places[0][rare[0]]
+    first = np.searchsorted(at, wanted, side="left")
+    count = np.searchsorted(at, wanted, side="right") - first
+    ends = np.cumsum(count)
+    for low in range(0, int(ends[-1]) if len(ends) else 0, STEP_RARE):
+        i = np.searchsorted(ends, low, side="right")
+        j = np.searchsorted(ends, low + STEP_RARE, side="right") + 1
+        some = count[i:j]
+        inside = np.arange(int(some.sum())) - np.repeat(np.cumsum(some) - some, some)
+        met = inside + np.repeat(ends[i:j] - some, some)
+        met = (met >= low) & (met < low + STEP_RARE)
+        pair = np.repeat(mine[i:j], some) * shape[1] + there[np.repeat(first[i:j], some) + inside]
+        out += np.bincount(pair[met], minlength=shape[0] * shape[1]).reshape(shape)
+    return out
+
+
+def _estimates(a: np.ndarray, b: np.ndarray, sketch: int) -> np.ndarray:
+    """Similarities of padded sketches row by row, from the sketch of their union."""
+    both = np.sort(np.concatenate([a, b], axis=1), axis=1)
+    again = np.zeros(both.shape, bool)
+    again[:, 1:] = (both[:, 1:] == both[:, :-1]) & (both[:, 1:] < _PAD)
+    rank = np.cumsum(~again & (both < _PAD), axis=1)
+    shared = (again & (rank <= sketch)).sum(axis=1)
+    return shared / np.minimum(sketch, np.maximum(1, rank[:, -1]))
+
+
+_PAD = np.iinfo(np.int32).max
+
+
 def open_pairs(
-    lists: DataFrame, labels: DataFrame, classes: DataFrame, sketch: int, similarity: float
+    lists: DataFrame, sets: DataFrame, similarity: float, sketch: int, shared: int
 ) -> DataFrame:
-    """Pairs (a, b) of one list, of different components, whose estimate and sizes fit.
+    """Pairs (a, b) of one list, of different components, whose sizes and estimate fit.
 
-    A list is cut into blocks by a hash of its members and every two blocks meet in a task of
-    their own, so a hot list is spread over many tasks; a task holds two blocks.
+    Sets of up to ``FINE`` shingles are compared whole, by the upper 31 bits of their hashes; larger ones by
+    their ``FINE`` smallest, with four deviations of margin. The exact test follows. A list is cut into blocks by a hash of its members and every two blocks meet in a task of
+    their own, so a hot list is spread over many tasks; a task holds two blocks. A pair that meets in several
+    lists is looked at in the rarest of them only.
     """
-    known = labels.select(F.col("node").alias("rep"), "label")
-    rows = lists.join(known, "rep", "left").withColumn("label", F.coalesce("label", "rep"))
-    size = rows.groupBy("value").agg(
-        F.count(F.lit(1)).alias("members"),
-        F.min("label").alias("_low"),
-        F.max("label").alias("_high"),
-    )
-    size = size.filter("_low <> _high").withColumn("blocks", F.ceil(F.col("members") / BLOCK))
-    rows = rows.join(size.select("value", "blocks"), "value")
-    own = F.pmod(F.xxhash64("rep", "value"), F.col("blocks"))
-    rows = rows.withColumn("own", own)
+    size = lists.groupBy("value").agg(F.count(F.lit(1)).alias("members"))
+    size = size.withColumn("blocks", F.ceil(F.col("members") / BLOCK))
+    order = F.array_sort(F.collect_list(F.struct("times", "value")))
+    # The values of a class that are in lists, at most as many as the sketch has.
+    own_lists = lists.groupBy("rep").agg(F.transform(order, lambda x: x["value"]).alias("values"))
+    smallest = F.transform(F.slice("set", 1, FINE), lambda x: F.shiftright(x, 32).cast("int"))
+    fine = sets.select(F.col("doc_id").alias("rep"), smallest.alias("sketch"))
+    extra = own_lists.join(fine, "rep")
+    rows = lists.join(size, "value").join(extra, "rep")
+    rows = rows.withColumn("own", F.pmod(F.xxhash64("rep", "value"), F.col("blocks")))
     other = F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))
     rows = rows.withColumn("other", other)
     rows = rows.select(
@@ -241,27 +338,55 @@ def open_pairs(
         "rep",
         "n",
         "label",
+        "sketch",
+        # The values of the lists before this one.
+        F.slice("values", 1, F.array_position("values", F.col("value")).cast("int") - 1).alias("before"),
     )
-    rows = rows.join(classes.select(F.col("rep"), "sketch"), "rep")
-    floor = similarity - MARGIN
+    floor = similarity - 4 * (similarity * (1 - similarity) / FINE) ** 0.5
 
     def run(key: tuple[pa.Scalar, ...], cell: pa.Table) -> pa.Table:
         left, right = key[1].as_py(), key[2].as_py()
-        cell = cell.sort_by([("rep", "ascending")])
         own = cell.column("own").to_numpy()
         rep, label = cell.column("rep").to_numpy(), cell.column("label").to_numpy()
         n = cell.column("n").to_numpy()
-        sketches = [np.asarray(s, np.int64) for s in cell.column("sketch").to_pylist()]
-        out = []
-        for i in np.flatnonzero(own == left):
-            fits = (label != label[i]) & (n >= similarity * n[i]) & (n * similarity <= n[i])
-            fits &= (rep > rep[i]) if left == right else (own == right)
-            for j in np.flatnonzero(fits):
-                union = np.union1d(sketches[i], sketches[j])[:sketch]
-                both = np.intersect1d(sketches[i], sketches[j], assume_unique=True)
-                if np.isin(union, both, assume_unique=True).sum() >= floor * len(union):
-                    out.append((min(rep[i], rep[j]), max(rep[i], rep[j])))
-        a, b = zip(*out) if out else ((), ())
+        sketches = [np.unique(x.values.to_numpy()) for x in cell.column("sketch")]
+        before = [x.values.to_numpy() for x in cell.column("before")]
+        i, j = np.flatnonzero(own == left), np.flatnonzero(own == right)
+        pick = lambda what, at: [what[k] for k in at]
+        fits = label[i][:, None] != label[j][None, :]
+        small, large = np.minimum(n[i][:, None], n[j]), np.maximum(n[i][:, None], n[j])
+        fits &= small >= similarity * large
+        if left == right:
+            fits &= rep[i][:, None] < rep[j][None, :]
+        if fits.any():
+            fits &= _overlaps(pick(before, i), pick(before, j)) == 0
+        good = np.zeros(0, bool)
+        x = y = np.zeros(0, np.int64)
+        if fits.any():
+            # First the small sketches, then the fine ones of what is left.
+            rough = [x[:sketch] for x in sketches]
+            least = np.where(large <= sketch, similarity * large - 1, shared)
+            fits &= _overlaps(pick(rough, i), pick(rough, j)) >= least
+            rows, columns = fits.any(axis=1), fits.any(axis=0)
+            i, j, fits = i[rows], j[columns], fits[np.ix_(rows, columns)]
+        if fits.any():
+            large = np.maximum(n[i][:, None], n[j])
+            both = _overlaps(pick(sketches, i), pick(sketches, j))
+            # Two hashes may agree in their upper bits by chance, once in many sets.
+            whole = both + 1 >= similarity * (n[i][:, None] + n[j] - both)
+            fits &= np.where(large <= FINE, whole, both >= floor * np.minimum(FINE, large))
+            x, y = np.nonzero(fits)
+            x, y = i[x], j[y]
+            good = np.maximum(n[x], n[y]) <= FINE
+            rest = np.flatnonzero(~good)
+            for start in range(0, len(rest), STEP_PAIRS):
+                at = rest[start : start + STEP_PAIRS]
+                padded = np.full((2, len(at), FINE), _PAD, np.int32)
+                for side, ends in enumerate((x[at], y[at])):
+                    for row, k in enumerate(ends.tolist()):
+                        padded[side, row, : len(sketches[k])] = sketches[k]
+                good[at] = _estimates(padded[0], padded[1], FINE) >= floor
+        a, b = np.minimum(rep[x], rep[y])[good], np.maximum(rep[x], rep[y])[good]
         return pa.Table.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
 
     met = rows.groupBy("value", "left", "right").applyInArrow(run, "a long, b long")
@@ -300,17 +425,27 @@ def near_duplicates(
     classes = stored(classes, "classes")
     lists = stored(prefix_postings(classes, sketch, shared, similarity), "lists")
     floor = similarity - MARGIN
-    first = stored(likely(star_pairs(lists), classes, sketch, floor), "pairs")
-    links = stored(verified(first, rows, words, similarity), "verified")
+    sets = stored(shingle_sets(rows, lists, words), "sets")
     # A document with several texts joins their classes.
     member = some.join(classes.select("set_hash", "rep"), "set_hash").select("doc_id", "rep")
     joined = member.groupBy("doc_id").agg(F.min("rep").alias("a"), F.max("rep").alias("_high"))
     joined = joined.filter("a <> _high").select("doc_id", "a").join(member.distinct(), "doc_id")
-    links = links.union(joined.select("a", F.col("rep").alias("b")))
+    links = stored(joined.select("a", F.col("rep").alias("b")), "links")
     labels = components(links)
-    more = stored(open_pairs(lists, labels, classes, sketch, similarity), "pairs")
-    if not more.isEmpty():
-        labels = components(links.union(verified(more, rows, words, similarity)))
+    left = stored(labelled(lists, labels), "open")
+    for turn, members in enumerate([*STARS, None]):
+        if left.isEmpty():
+            break
+        if members is None:
+            pairs = open_pairs(left, sets, similarity, sketch, shared)
+        else:
+            pairs = likely(star_pairs(left, members, sum(STARS[:turn])), classes, sketch, floor)
+        more = stored(verified(stored(pairs, "pairs"), sets, similarity), "verified")
+        if not more.isEmpty():
+            # Components that are known already shrink to their label.
+            labels = components(more, labels)
+            if members is not None:
+                left = stored(labelled(lists, labels), "open")
     found = classes.select("set_hash", "rep").join(
         labels.select(F.col("node").alias("rep"), "label"), "rep", "left"
     )
