@@ -32,8 +32,8 @@ MARGIN = 0.2
 #: Members of a list that all others are held against, round by round. In a group of which
 #: 40 % of all pairs are linked, 3 + 6 members leave one in a hundred for the blocks.
 STARS = (3, 6)
-#: Members of a list that are compared with one another in one go, and the sketch for that: most sets are
-#: smaller and thus compared whole.
+#: Members of a list that are compared with one another in one go, and the sketch for that: smaller sets
+#: are compared whole.
 BLOCK, FINE = 2048, 256
 #: Pairs, columns of the table of frequent values, and pairs of owners of rare ones in one step of it;
 #: a value is frequent from so many sets on.
