@@ -20,10 +20,12 @@ from pyspark.sql import functions as F
 
 from pulseline.llm.common import stored
 
-#: Projections, and the share of them in which a candidate must collide.
-PROJECTIONS, COLLIDE = 64, 0.6
+#: Projections (at most 255, for collisions are counted in bytes), and the share of them in which
+#: a candidate must collide. Many projections and a high share order the candidates by distance
+#: well enough that the share below has nearly all true neighbours, also where no vector is near.
+PROJECTIONS, COLLIDE = 128, 0.8
 #: Half width of the first window in standard deviations of the projection, and its growth.
-FIRST, GROWTH = 0.8, 1.15
+FIRST, GROWTH = 1.0, 1.15
 #: A query stops widening once this share of a block is verified, and so many candidates for each
 #: neighbour asked for.
 VERIFY, VERIFY_EACH = 0.2, 16

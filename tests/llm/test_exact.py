@@ -11,7 +11,7 @@ import pytest
 from tokenizers import Tokenizer
 
 import corpus_pipeline
-from pulseline.llm import near_dedup, packing, secret_scan, token_counts
+from pulseline.llm import ann, near_dedup, packing, secret_scan, token_counts
 from pulseline.llm.common import table
 from pulseline.llm.mixing import mix, mixed
 from pulseline.llm.queries import QUERIES, TOKENIZER
@@ -62,6 +62,29 @@ def test_search_recall_and_order(spark):
     assert hits >= 0.9 * len(got)
 
 
+def search_recall(spark, x, asked):
+    rows = [(i, v.tolist()) for i, v in enumerate(x)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    queries = df.filter(df.vec_id.isin([int(q) for q in asked]))
+    got = ann.search(df, queries, k=20).toPandas().groupby("query_id").vec_id.apply(set)
+    scores = x[asked] @ x.T
+    scores[np.arange(len(asked)), asked] = -np.inf
+    best = np.argsort(-scores, axis=1, kind="stable")[:, :20]
+    return np.mean([len(got[q] & set(b.tolist())) / 20 for q, b in zip(asked, best)])
+
+
+def test_search_recall_on_larger_tables(spark):
+    x = np.stack(pd.read_parquet("/root/testdata/sf0.1/embeddings.parquet").embedding).astype(float)
+    assert search_recall(spark, x, np.arange(0, len(x), 20)) >= 0.95
+    draw = np.random.default_rng(3)
+    # Several blocks without any structure, and vectors of very different lengths.
+    wide = draw.standard_normal((3 * ann.BLOCK, 64))
+    wide /= np.linalg.norm(wide, axis=1, keepdims=True)
+    assert search_recall(spark, wide, np.arange(0, len(wide), 400)) >= 0.95
+    uneven = wide[:2000] * np.exp(0.3 * draw.standard_normal((2000, 1)))
+    assert search_recall(spark, uneven, np.arange(0, 2000, 20)) >= 0.9
+
+
 def plain_targets(sizes):
     """Shares with the excess given on, step by step."""
     names = sorted(sizes, key=lambda s: (s is None, s))
