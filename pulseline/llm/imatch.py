@@ -1,14 +1,16 @@
 """I-Match fingerprints: hashes of a document's terms over randomised parts of a lexicon.
 
-The lexicon holds the terms whose inverse document frequency lies in a chosen band. A document
-keeps its distinct terms in the lexicon, sorted. A randomised sub-lexicon keeps a fixed share of all terms;
+The lexicon holds the terms whose inverse document frequency lies in a chosen band, counted over
+distinct texts. A document keeps its distinct terms in the lexicon, sorted. Where these are less
+than a share of its terms, those nearest the band fill up, so that near copies that are a large part of
+all texts, whose terms lie above the band, still keep terms in common with their edits. A randomised sub-lexicon keeps a fixed share of all terms;
 its signature is the hash of the document's terms in it. The fingerprint has the signatures of many
 sub-lexicons at three neighbouring shares, chosen by the number of the document's terms so
 that a signature covers a few terms: one over hundreds of terms would change with any edit.
 
 The lexicon goes to every task. Its size has a bound that does not depend on the number of
-documents: a term in the band is in at least ``low`` of all documents, so there are at most
-(mean distinct terms of a document) / ``low`` such terms.
+documents: a term in or above the band is in at least ``low`` of all distinct texts, so there are at
+most (mean distinct terms of a text) / ``low`` such terms.
 """
 
 from __future__ import annotations
@@ -25,8 +27,13 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: The band of document frequencies (shares of all documents): rarer and more frequent terms go.
+#: The band of document frequencies (shares of all distinct texts): rarer and more frequent terms go.
 LOW, HIGH = 0.001, 0.2
+#: The share of its terms that a document keeps at least, and the distance from the band (in logs of the
+#: frequency) that stands for all rarer terms.
+KEPT, RARE = 0.5, 1.0
+#: Buckets of text hashes that tell which texts may have copies.
+BUCKETS = 1 << 21
 #: Sub-lexicons of each share.
 SUBSETS = 24
 #: Terms in a signature, about, at the three shares.
@@ -52,8 +59,25 @@ def terms(text: str) -> set[str]:
     return {t for c in set(text.lower().split()) if (t := term(c))}
 
 
-def document_frequencies(texts: DataFrame) -> DataFrame:
-    """term and df over all rows of texts (text); counted in each task before the shuffle."""
+def document_frequencies(texts: DataFrame) -> tuple[int, DataFrame]:
+    """The number of distinct texts (text), and term and df over them.
+
+    Counted in each task before the shuffle. Only texts whose hash shares a bucket with that of a
+    repeated one are compared; all others are counted where they are.
+    """
+    rows = texts.select("text", F.xxhash64("text").alias("hash"))
+    groups = rows.groupBy("hash").agg(F.count(F.lit(1)).alias("n"))
+    bucket = F.pmod("hash", F.lit(BUCKETS)).alias("bucket")
+    again = groups.filter("n > 1").select(bucket).distinct().collect()  # at most BUCKETS
+    n = groups.count()
+    marked = np.zeros(BUCKETS, bool)
+    marked[[r.bucket for r in again]] = True
+    shared = texts.sparkSession.sparkContext.broadcast(np.packbits(marked))
+
+    def part(batch: pa.RecordBatch, repeated: bool) -> list[str]:
+        at = batch.column("hash").to_numpy() % BUCKETS
+        is_marked = (shared.value[at >> 3] >> (7 - (at & 7))) & 1 == 1
+        return batch.column("text").filter(pa.array(is_marked == repeated)).to_pylist()
 
     def emit(counts: Counter) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays(
@@ -61,10 +85,10 @@ def document_frequencies(texts: DataFrame) -> DataFrame:
             ["term", "df"],
         )
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def count(chunks: Iterator[list[str]]) -> Iterator[pa.RecordBatch]:
         counts: Counter = Counter()
-        for batch in batches:
-            for text in batch.column("text").to_pylist():
+        for chunk in chunks:
+            for text in chunk:
                 if text:
                     counts.update(terms(text))
                 if len(counts) > HELD_TERMS:
@@ -72,24 +96,50 @@ def document_frequencies(texts: DataFrame) -> DataFrame:
                     counts = Counter()
         yield emit(counts)
 
-    each = texts.select("text").mapInArrow(run, "term string, df long")
-    return each.groupBy("term").agg(F.sum("df").alias("df"))
+    def single(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from count(part(b, False) for b in batches)
 
-
-def lexicon(texts: DataFrame, low: float = LOW, high: float = HIGH) -> np.ndarray:
-    """Sorted 64-bit hashes of the terms in the band, over all texts."""
-    n = texts.count()
-    found = document_frequencies(texts)
-    band = found.filter((F.col("df") >= low * n) & (F.col("df") <= high * n))
-    rows = band.select("term").collect()  # bounded by ``low``
-    return np.array(sorted(xxhash.xxh3_64_intdigest(r.term) for r in rows), np.uint64)
+    def candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[bytes] = set()
+        for batch in batches:
+            out = {}
+            for text in part(batch, True):
+                digest = hashlib.sha256(text.encode("utf-8", "surrogatepass")).digest()
+                if digest not in seen:
+                    out[digest] = text
+            if len(seen) > HELD_TERMS:
+                seen.clear()
+            seen.update(out)
+            arrays = [pa.array(list(out), pa.binary()), pa.array(list(out.values()), pa.string())]
+            yield pa.RecordBatch.from_arrays(arrays, ["digest", "text"])
+
+    def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from count(b.column("text").to_pylist() for b in batches)
+
+    kinds = "term string, df long"
+    copies = rows.mapInArrow(candidates, "digest binary, text string").dropDuplicates(["digest"])
+    each = rows.mapInArrow(single, kinds)
+    if again:
+        each = each.unionByName(copies.select("text").mapInArrow(whole, kinds))
+    return n, each.groupBy("term").agg(F.sum("df").alias("df"))
+
+
+def lexicon(texts: DataFrame, low: float = LOW, high: float = HIGH) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted 64-bit hashes of the terms in and above the band, and their distance from it."""
+    n, found = document_frequencies(texts)
+    rows = found.filter(F.col("df") >= low * n).collect()  # bounded by ``low``
+    known = np.array([xxhash.xxh3_64_intdigest(r.term) for r in rows], np.uint64)
+    shares = np.array([r.df for r in rows], float) / max(1, n)
+    away = np.log(np.maximum(shares / high, 1.0))
+    order = np.argsort(known)
+    return known[order], away[order]
 
 
 class Fingerprinter:
     """Fingerprints of texts by one lexicon."""
 
-    def __init__(self, known: np.ndarray):
-        self.known = known
+    def __init__(self, known: np.ndarray, away: np.ndarray):
+        self.known, self.away = known, away
         self._memo: dict[str, int] = {}
 
     def _hashes(self, text: str) -> np.ndarray:
@@ -104,17 +154,25 @@ class Fingerprinter:
         hashes.discard(0)
         return np.sort(np.fromiter(hashes, np.uint64, len(hashes)))
 
+    def _kept(self, hashes: np.ndarray) -> np.ndarray:
+        """The hashes that count, sorted."""
+        away = np.full(len(hashes), RARE)
+        if len(self.known):
+            at = np.searchsorted(self.known, hashes)
+            at[at == len(self.known)] = 0
+            away = np.where(self.known[at] == hashes, self.away[at], RARE)
+        inside, least = int((away == 0).sum()), int(np.ceil(KEPT * len(hashes)))
+        if inside >= least:
+            return hashes[away == 0]
+        return np.sort(hashes[np.argsort(away, kind="stable")[:least]])
+
     def signatures(self, text: str) -> tuple[int, np.ndarray]:
         """The first share's exponent and one signature per share and sub-lexicon; 0 is empty.
 
-        Texts without a term in the lexicon use all their terms; texts without any have none.
+        Texts keep their terms in the band, and at least the share ``KEPT`` of all their terms: those
+        nearest the band, equal ones by hash. Texts without a term have none.
         """
-        hashes = self._hashes(text)
-        if len(self.known):
-            at = np.searchsorted(self.known, hashes)
-            at[at == len(self.known)] = 0
-            kept = hashes[self.known[at] == hashes]
-            hashes = kept if len(kept) else hashes
+        hashes = self._kept(self._hashes(text))
         if not len(hashes):
             return 0, np.zeros((len(TERMS), SUBSETS), np.uint64)
         draw = (hashes[:, None] * _SEEDS[None, :]) ^ (hashes[:, None] >> np.uint64(29))
@@ -223,7 +281,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     types = [pa.int64(), pa.int64(), *[pa.string()] * 3, *[pa.float64()] * 2]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        maker = Fingerprinter(shared.value)
+        maker = Fingerprinter(*shared.value)
         held = None  # the last row: range, edge, id, text, signatures
         for batch in batches:
             out = []

@@ -11,7 +11,7 @@ import pytest
 from tokenizers import Tokenizer
 
 import corpus_pipeline
-from pulseline.llm import ann, near_dedup, packing, secret_scan, token_counts
+from pulseline.llm import ann, imatch, near_dedup, packing, secret_scan, token_counts
 from pulseline.llm.common import table
 from pulseline.llm.mixing import mix, mixed
 from pulseline.llm.queries import QUERIES, TOKENIZER
@@ -334,6 +334,39 @@ def test_fingerprints_of_edited_and_next(spark, documents):
     assert got.near_edited.mean() > 0.25 > 0.05 > got.near_next.mean()
 
 
+@pytest.mark.parametrize("changed", [0, 5])
+def test_fingerprints_where_a_third_are_copies(spark, changed):
+    docs = pd.read_parquet(f"{SMALL}/documents.parquet")[["doc_id", "text"]]
+    draw = np.random.default_rng(5)
+    own = max(docs.text, key=lambda t: len(set(t.split()[:1000]))).split()[:1000]
+    other = " ".join(docs.text).split()
+    hit = np.arange(len(docs)) % 3 == 0
+    for i in np.flatnonzero(hit):
+        words = list(own)
+        for j in draw.integers(0, len(words), changed):
+            words[j] = other[draw.integers(len(other))]
+        docs.loc[i, "text"] = " ".join(words)
+    got = imatch.fingerprints(spark.createDataFrame(docs)).toPandas().set_index("doc_id")
+    group = got.loc[docs.doc_id[hit]]
+    assert group.near_edited.mean() > 0.2
+
+    def parsed(line):
+        top, *rows = line.split(":")
+        return int(top), np.array([[int(r[i : i + 8], 16) for i in range(0, len(r), 8)] for r in rows])
+
+    prints = [parsed(line) for line in group.fingerprint]
+    assert np.mean([imatch.likeness(a, b) for a, b in zip(prints, prints[1:])]) > 0.8
+
+
+def test_document_frequencies_count_a_text_once(spark):
+    texts = ["a b", "a c", "", None, "d"] + ["a b"] * 5 + [f"e x{i}" for i in range(40)] * 2
+    df = spark.createDataFrame([(t,) for t in texts], "text string").repartition(4)
+    n, found = imatch.document_frequencies(df)
+    assert n == len(set(texts))
+    counts = {r.term: r.df for r in found.collect()}
+    assert [counts[t] for t in ("a", "b", "c", "d", "e", "x7")] == [2, 1, 1, 1, 40, 1]
+
+
 def test_ranges_follow_the_order(spark):
     from pulseline.llm import imatch
 
