@@ -26,10 +26,12 @@ ASSIGN_VALUE, ACCESS_LENGTH, HEX_LENGTH = 6, 20, 24
 KINDS = ("assign", "access", "hex", "markov")
 
 #: Tokens that the models score, and those that show ordinary identifiers.
-CANDIDATE = r"[A-Za-z0-9+/_=-]{16,}"
+CANDIDATE = r"[A-Za-z0-9+/_=-]{8,}"
 ORDINARY = r"\b[A-Za-z]{10,}\b"
 #: Least mean log-likelihood ratio per character pair, in nats.
 THRESHOLD = 0.3
+#: Shorter tokens need the whole ratio that one of this length has at the threshold.
+FULL_LENGTH = 16
 #: The characters of candidates; all that the models know.
 ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-"
 
@@ -173,17 +175,20 @@ def mean_ratio(value: Column, model: Column) -> Column:
 
 
 def markov_spans(text: Column, model: Column, base: Column, threshold: float) -> Column:
-    """Candidates outside the base spans whose mean ratio reaches the threshold.
+    """Candidates with a letter outside the base spans whose mean ratio reaches the threshold.
 
-    A candidate shows digits beside letters, as all but a vanishing part of random strings of
-    16 and more characters do.
+    Below ``FULL_LENGTH`` the threshold grows with the pairs that are missing, so that short ordinary words
+    with a few odd pairs stay.
     """
-    spans = _spans(text, CANDIDATE, 3, lambda m: m.rlike("[0-9]") & m.rlike("[A-Za-z]"))
+
+    def random(m):
+        least = F.greatest(F.lit(1.0), (FULL_LENGTH - 1) / (F.length(m) - 1))
+        return m.rlike("[A-Za-z]") & (mean_ratio(m, model) >= threshold * least)
+
+    spans = _spans(text, CANDIDATE, 3, random)
 
     def fits(s):
-        free = ~F.exists(base, lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"]))
-        value = F.substr(text, s["start"] + 1, s["end"] - s["start"])
-        return free & (mean_ratio(value, model) >= threshold)
+        return ~F.exists(base, lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"]))
 
     return F.filter(spans, fits)
 

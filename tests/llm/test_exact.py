@@ -305,6 +305,29 @@ def test_models_find_random_strings_and_leave_identifiers(spark):
     assert all(rows[140 + i] == "" for i in range(3))
 
 
+def test_models_find_random_strings_without_digits_and_short_ones(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")
+    rng = np.random.default_rng(5)
+    letters = np.array(list(secret_scan.ALPHABET[:62]))
+    planted = {}
+    for length, pool in ((20, letters[:52]), (16, letters[:52]), (12, letters[:52]), (8, letters)):
+        for _ in range(50):
+            planted[-1 - len(planted)] = "".join(rng.choice(pool, length))
+    extra = spark.createDataFrame([(i, f"see {v} there") for i, v in planted.items()], "doc_id long, text string")
+    found = secret_scan.span_counts(secret_scan.find_secrets(docs.unionByName(extra))).toPandas()
+    spans = found.set_index("doc_id").spans
+    hit = np.array([spans[i] == f"markov:4:{4 + len(v)}" for i, v in planted.items()]).reshape(4, 50)
+    assert (hit.mean(axis=1) >= [0.9, 0.9, 0.7, 0.7]).all()
+    texts = docs.toPandas().set_index("doc_id").text
+    marked = [
+        texts[i][int(a) : int(b)]
+        for i, line in spans[spans.index >= 0].items()
+        for kind, a, b in (x.split(":") for x in line.split(",") if x)
+        if kind == "markov"
+    ]
+    assert not [m for m in marked if m.isalpha() and m.lower() == m]
+
+
 def test_masking_leaves_no_span(spark):
     df = spark.createDataFrame([(i, t, 7) for i, t in enumerate(SECRETS)], "doc_id long, text string, start int")
     out = secret_scan.mask_secrets(df).toPandas()
