@@ -5,24 +5,29 @@ from __future__ import annotations
 import os
 import pathlib
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pulseline.session import configure, stored, work_dir
 
-__all__ = ["WORDS", "held_out", "prepare", "stored", "table", "work_dir"]
+__all__ = ["WORDS", "each_of", "held_out", "matrix", "prepare", "stored", "table", "work_dir"]
 
 #: A word: everything between ASCII blanks (space, tab, line feed, VT, FF, CR).
 WORDS = r"[^\x20\x09-\x0D]+"
 
 
+#: Bytes of a batch that goes to a Python worker, about; a single longer text is a batch of its own.
+BATCH_BYTES = 8 << 20
+
 ROOT = str(pathlib.Path(__file__).resolve().parents[2])
 
 
 def prepare(spark: SparkSession) -> SparkSession:
     """Session settings of the operators.
 
-    Arrow batches are small, because texts can be long. Python workers look for this package
+    Arrow batches are bounded by rows and by bytes, because texts can be long. Python workers look for this package
     where the driver found it; a cluster without that path gets it with ``--py-files``.
     """
     configure(spark)
@@ -31,6 +36,7 @@ def prepare(spark: SparkSession) -> SparkSession:
     if ROOT not in paths:
         env["PYTHONPATH"] = os.pathsep.join([*paths, ROOT])
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "512")
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
     return spark
 
 
@@ -42,3 +48,14 @@ def held_out(key: str, modulus: int, remainder: int) -> Column:
     """True where crc32 of the key as text leaves ``remainder``; false for a null key."""
     rest = F.crc32(F.col(key).cast("string").cast("binary")) % modulus
     return F.coalesce(rest == remainder, F.lit(False))
+
+
+def each_of(n: int) -> Column:
+    """One row for each number below ``n``."""
+    return F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long")))
+
+
+def matrix(rows: pa.Table, column: str, dim: int) -> np.ndarray:
+    """A column of lists of ``dim`` numbers as one array."""
+    flat = rows.column(column).combine_chunks().flatten()
+    return flat.to_numpy(zero_copy_only=False).reshape(-1, dim)
