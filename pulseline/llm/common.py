@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from pulseline.session import configure, stored, work_dir
 
-__all__ = ["WORDS", "each_of", "held_out", "matrix", "prepare", "stored", "table", "work_dir"]
+__all__ = ["WORDS", "bucketed", "each_of", "held_out", "matrix", "prepare", "stored", "table", "work_dir"]
 
 #: A word: everything between ASCII blanks (space, tab, line feed, VT, FF, CR).
 WORDS = r"[^\x20\x09-\x0D]+"
@@ -44,6 +44,20 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return prepare(spark).read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
+def bucketed(df: DataFrame, name: str, key: str) -> DataFrame:
+    """``df`` written to the work folder in buckets by ``key`` and read back.
+
+    Joins on the key then bring the other side to the buckets and leave this one where it is. Rows should already be dealt by
+    the key, or every task writes a file for every bucket.
+    """
+    spark = df.sparkSession
+    path = work_dir(spark, name)
+    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    title = f"{name}_{path.rsplit('-', 1)[1]}"
+    df.write.format("parquet").bucketBy(buckets, key).option("path", path).saveAsTable(title)
+    return spark.table(title)
+
+
 def held_out(key: str, modulus: int, remainder: int) -> Column:
     """True where crc32 of the key as text leaves ``remainder``; false for a null key."""
     rest = F.crc32(F.col(key).cast("string").cast("binary")) % modulus

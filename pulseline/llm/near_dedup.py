@@ -9,7 +9,12 @@ sketches' union estimates the similarity and filters; the full shingle sets of w
 Lists are not expanded into pairs. First every class is held against a few members of its lists, and the
 links found are joined into components; two members of one component need no comparison any
 more, since the result is the components. This is repeated with other members for the lists that still
-hold several components, and what is then left is compared with one another, in blocks, on the sketches.
+hold several components. The lists left are bundled by one member that they choose alike, so that a group of near copies is one
+bundle and not a list for each value it shares, and what is not in a bundle's main component is compared with all of it,
+in blocks.
+
+Full sets are needed of the members of lists only. They are kept in buckets by document, so that pairs go to
+them and not they to the pairs; per pair one set moves.
 """
 
 from __future__ import annotations
@@ -22,19 +27,20 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pulseline.llm.common import stored
+from pulseline.llm.common import bucketed, stored
 
 #: Sketch size, and the values that sketches of linked documents share at least: 51 are expected at
-#: a similarity of 0.8, with a deviation of 3.2, so fewer than 36 come once in a million links.
-SKETCH, SHARED = 64, 36
-#: Estimates this far below the threshold still go to the exact test (4 deviations).
+#: a similarity of 0.8, with a deviation of 3.2, so fewer than 34 come three times in ten million links.
+SKETCH, SHARED = 64, 34
+#: Estimates of pairs with a chosen member that are this far below the threshold still go to the exact test
+#: (4 deviations); pairs lost here are met again in the blocks.
 MARGIN = 0.2
 #: Members of a list that all others are held against, round by round. In a group of which
 #: 40 % of all pairs are linked, 3 + 6 members leave one in a hundred for the blocks.
 STARS = (3, 6)
-#: Members of a list that are compared with one another in one go, and the sketch for that: smaller sets
-#: are compared whole.
-BLOCK, FINE = 2048, 256
+#: Members of a bundle on either side of one comparison, and the sketch for that: smaller sets are compared whole,
+#: larger ones may be estimated so many deviations below the threshold.
+BLOCK, FINE, DEVIATIONS = 2048, 512, 5.5
 #: Pairs, columns of the table of frequent values, and pairs of owners of rare ones in one step of it;
 #: a value is frequent from so many sets on.
 STEP_PAIRS, STEP_VALUES, STEP_RARE, OFTEN = 10_000, 4096, 4_000_000, 64
@@ -135,15 +141,15 @@ def labelled(lists: DataFrame, labels: DataFrame | None) -> DataFrame:
     return rows.join(ends.filter("_low <> _high").select("value"), "value", "left_semi")
 
 
-def star_pairs(lists: DataFrame, members: int, first: int) -> DataFrame:
-    """Each class with the best of every choice of one member of its lists (a, b).
+def star_pairs(lists: DataFrame, members: int, first: int, similarity: float) -> DataFrame:
+    """Each class (a) with the best of every choice of one member of its lists (b).
 
     ``lists`` have labels. The choices are by hashes numbered from ``first``, of the member alone, so that
     the lists of a group choose the same; the best is the one that meets in most lists. Members
-    of the same component are no pair.
+    of the same component are no pair, nor are sets of too different sizes.
     """
     choices = [
-        F.min_by(F.struct("rep", "label"), F.xxhash64("rep", F.lit(i))).alias(f"c{i}")
+        F.min_by(F.struct("rep", "label", "n"), F.xxhash64("rep", F.lit(i))).alias(f"c{i}")
         for i in range(first, first + members)
     ]
     chosen = lists.groupBy("value").agg(*choices)
@@ -153,27 +159,39 @@ def star_pairs(lists: DataFrame, members: int, first: int) -> DataFrame:
             for i in range(first, first + members)
         ]
     )
-    met = lists.join(chosen.select("value", each.alias("each")), "value").select(
-        "rep", "label", F.explode("each").alias("e")
+    held = lists.join(chosen.select("value", each.alias("each")), "value").select(
+        "rep", "label", "n", F.explode("each").alias("e")
     )
-    met = met.filter("label <> e.to.label")
-    counted = met.groupBy("rep", F.col("e.kind").alias("kind"), F.col("e.to.rep").alias("to")).agg(
+    sizes = F.least("n", "e.to.n") * 100 >= F.greatest("n", "e.to.n") * round(100 * similarity)
+    held = held.filter("label <> e.to.label").filter(sizes)
+    counted = held.groupBy("rep", F.col("e.kind").alias("kind"), F.col("e.to.rep").alias("to")).agg(
         F.count(F.lit(1)).alias("overlap")
     )
     best = counted.groupBy("rep", "kind").agg(F.max_by("to", F.struct("overlap", "to")).alias("to"))
-    return best.select(F.least("rep", "to").alias("a"), F.greatest("rep", "to").alias("b")).distinct()
+    return best.select(F.col("rep").alias("a"), F.col("to").alias("b")).distinct()
+
+
+def met(pairs: DataFrame, sets: DataFrame, first: int | None = None) -> DataFrame:
+    """Pairs (a, b) with the full sets ``_a`` and ``_b`` of both, or the smallest values of them.
+
+    A pair goes to the bucket of ``a``; from there the set goes on to ``b``, which may be in any number of
+    pairs: that join has no bucket in it, so a hot partition of it can be split.
+    """
+    values = F.col("set") if first is None else F.slice("set", 1, first)
+    one = sets.select(F.col("doc_id").alias("a"), values.alias("_a"))
+    ends = pairs.select(F.col("b").alias("doc_id")).distinct()
+    two = stored(sets.join(ends, "doc_id", "left_semi").select(F.col("doc_id").alias("b"), values.alias("_b")), "ends")
+    return pairs.join(one, "a").join(two, "b")
 
 
-def likely(pairs: DataFrame, classes: DataFrame, sketch: int, floor: float) -> DataFrame:
+def likely(pairs: DataFrame, sets: DataFrame, sketch: int, floor: float) -> DataFrame:
     """The pairs (a, b) whose estimate reaches the floor."""
-    one = classes.select(F.col("rep").alias("a"), F.col("sketch").alias("_sa"))
-    two = classes.select(F.col("rep").alias("b"), F.col("sketch").alias("_sb"))
-    both = pairs.join(one, "a").join(two, "b")
-    return both.filter(estimate("_sa", "_sb", sketch) >= floor).select("a", "b").distinct()
+    both = met(pairs, sets, sketch)
+    return both.filter(estimate("_a", "_b", sketch) >= floor).select("a", "b").distinct()
 
 
 def shingle_sets(docs: DataFrame, ids: DataFrame, words: int) -> DataFrame:
-    """doc_id and full shingle set of the documents whose id is in ``ids`` (rep)."""
+    """doc_id and full shingle set of the documents whose id is in ``ids`` (rep), in buckets by doc_id."""
     keys = ids.select(F.col("rep").alias("_id")).distinct()
     # The side of the ids is the one to be hashed; texts are neither sorted nor held.
     rows = docs.join(keys.hint("shuffle_hash"), F.col("doc_id") == F.col("_id"), "left_semi")
@@ -185,17 +203,29 @@ def shingle_sets(docs: DataFrame, ids: DataFrame, words: int) -> DataFrame:
             arrays = [batch.column("doc_id"), pa.array(sets, pa.list_(pa.int64()))]
             yield pa.RecordBatch.from_arrays(arrays, ["doc_id", "set"])
 
-    return rows.mapInArrow(run, "doc_id long, set array<long>")
+    return bucketed(rows.mapInArrow(run, "doc_id long, set array<long>"), "sets", "doc_id")
 
 
 def verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
     """The pairs (a, b) of document ids whose full shingle sets are similar enough."""
-    one = sets.select(F.col("doc_id").alias("a"), F.col("set").alias("_a"))
-    two = sets.select(F.col("doc_id").alias("b"), F.col("set").alias("_b"))
     both = F.size(F.array_intersect("_a", "_b"))
     percent = round(100 * similarity)
     fits = both * 100 >= (F.size("_a") + F.size("_b") - both) * percent
-    return pairs.join(one, "a").join(two, "b").filter(fits).select("a", "b").distinct()
+    return met(pairs, sets).filter(fits).select("a", "b").distinct()
+
+
+def oriented(pairs: DataFrame) -> DataFrame:
+    """The pairs (a, b), each with the end that is in fewer pairs as ``a``.
+
+    No id is then the first of more pairs than the root of twice their number.
+    """
+    ends = pairs.select(F.explode(F.array("a", "b")).alias("_end")).groupBy("_end").count()
+    for end in ("a", "b"):
+        count = ends.select(F.col("_end").alias(end), F.col("count").alias(f"_{end}"))
+        pairs = pairs.join(count, end)
+    straight = (F.col("_a") < F.col("_b")) | ((F.col("_a") == F.col("_b")) & (F.col("a") < F.col("b")))
+    one, two = F.when(straight, F.col("a")), F.when(straight, F.col("b"))
+    return pairs.select(one.otherwise(F.col("b")).alias("a"), two.otherwise(F.col("a")).alias("b"))
 
 
 def _follow(point: DataFrame) -> DataFrame:
@@ -308,56 +338,86 @@ def _estimates(a: np.ndarray, b: np.ndarray, sketch: int) -> np.ndarray:
 _PAD = np.iinfo(np.int32).max
 
 
+def bundles(lists: DataFrame) -> DataFrame:
+    """Lists with labels as bundles: bundle, rep, n, label, members, main, others.
+
+    Lists that choose the same member by its hash are one bundle. ``main`` is the label of most members, ``others`` the number
+    of members with another one; bundles without are left out.
+    """
+    chosen = lists.groupBy("value").agg(F.min_by("rep", F.xxhash64("rep", F.lit(0))).alias("bundle"))
+    rows = lists.join(chosen, "value").groupBy("bundle", "rep").agg(
+        F.any_value("n").alias("n"), F.any_value("label").alias("label")
+    )
+    rows = stored(rows, "bundles")
+    labels = rows.groupBy("bundle", "label").agg(F.count(F.lit(1)).alias("times"))
+    facts = labels.groupBy("bundle").agg(
+        F.sum("times").alias("members"),
+        F.max_by("label", F.struct("times", "label")).alias("main"),
+        (F.sum("times") - F.max("times")).alias("others"),
+    )
+    return rows.join(facts.filter("others > 0"), "bundle")
+
+
 def open_pairs(
     lists: DataFrame, sets: DataFrame, similarity: float, sketch: int, shared: int
 ) -> DataFrame:
     """Pairs (a, b) of one list, of different components, whose sizes and estimate fit.
 
     Sets of up to ``FINE`` shingles are compared whole, by the upper 31 bits of their hashes; larger ones by
-    their ``FINE`` smallest, with four deviations of margin. The exact test follows. A list is cut into blocks by a hash of its members and every two blocks meet in a task of
-    their own, so a hot list is spread over many tasks; a task holds two blocks. A pair that meets in several
-    lists is looked at in the rarest of them only.
+    their ``FINE`` smallest, with a margin. The exact test follows. Members of a bundle outside its main component are cut into
+    blocks by a hash, and so are all its members; every two blocks of the two kinds meet in a task of their own, so a hot bundle is
+    spread over many tasks and its main component moves once where the others are few. A pair that
+    meets in several bundles is looked at in the smallest of them only.
     """
-    size = lists.groupBy("value").agg(F.count(F.lit(1)).alias("members"))
-    size = size.withColumn("blocks", F.ceil(F.col("members") / BLOCK))
-    order = F.array_sort(F.collect_list(F.struct("times", "value")))
-    # The values of a class that are in lists, at most as many as the sketch has.
-    own_lists = lists.groupBy("rep").agg(F.transform(order, lambda x: x["value"]).alias("values"))
+    rows = stored(bundles(lists), "bundled")
+    order = F.array_sort(F.collect_list(F.struct("members", "bundle")))
+    # As many as the sketch has values, at most.
+    own = rows.groupBy("rep").agg(F.transform(order, lambda x: x["bundle"]).alias("every"))
     smallest = F.transform(F.slice("set", 1, FINE), lambda x: F.shiftright(x, 32).cast("int"))
     fine = sets.select(F.col("doc_id").alias("rep"), smallest.alias("sketch"))
-    extra = own_lists.join(fine, "rep")
-    rows = lists.join(size, "value").join(extra, "rep")
-    rows = rows.withColumn("own", F.pmod(F.xxhash64("rep", "value"), F.col("blocks")))
-    other = F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))
-    rows = rows.withColumn("other", other)
-    rows = rows.select(
-        "value",
-        F.least("own", "other").alias("left"),
-        F.greatest("own", "other").alias("right"),
-        "own",
+    each = own.join(fine, "rep")
+    hashed = F.xxhash64("rep", "bundle")
+    others, members = (F.ceil(F.col(c) / BLOCK) for c in ("others", "members"))
+    count = lambda n: F.sequence(F.lit(0).cast("long"), n - 1)
+    # As one of the others against all blocks, and as one of all against all blocks of others.
+    sides = [F.transform(
+        count(others),
+        lambda i: F.struct(F.lit(False).alias("left"), i.alias("i"), F.pmod(hashed, members).alias("j")),
+    )]
+    sides.append(F.transform(
+        F.when(F.col("label") != F.col("main"), count(members)).otherwise(F.array().cast("array<bigint>")),
+        lambda j: F.struct(F.lit(True).alias("left"), F.pmod(hashed, others).alias("i"), j.alias("j")),
+    ))
+    placed = rows.withColumn("side", F.explode(F.concat(*sides)))
+    placed = placed.join(each, "rep").select(
+        "bundle",
+        "side.i",
+        "side.j",
+        "side.left",
         "rep",
         "n",
         "label",
+        (F.col("label") != F.col("main")).alias("other"),
         "sketch",
-        # The values of the lists before this one.
-        F.slice("values", 1, F.array_position("values", F.col("value")).cast("int") - 1).alias("before"),
+        # The bundles before this one.
+        F.slice("every", 1, F.array_position("every", F.col("bundle")).cast("int") - 1).alias("before"),
     )
-    floor = similarity - 4 * (similarity * (1 - similarity) / FINE) ** 0.5
+    floor = similarity - DEVIATIONS * (similarity * (1 - similarity) / FINE) ** 0.5
 
     def run(key: tuple[pa.Scalar, ...], cell: pa.Table) -> pa.Table:
-        left, right = key[1].as_py(), key[2].as_py()
-        own = cell.column("own").to_numpy()
+        side = cell.column("left").to_numpy(zero_copy_only=False)
+        other = cell.column("other").to_numpy(zero_copy_only=False)
         rep, label = cell.column("rep").to_numpy(), cell.column("label").to_numpy()
         n = cell.column("n").to_numpy()
         sketches = [np.unique(x.values.to_numpy()) for x in cell.column("sketch")]
         before = [x.values.to_numpy() for x in cell.column("before")]
-        i, j = np.flatnonzero(own == left), np.flatnonzero(own == right)
+        i, j = np.flatnonzero(side), np.flatnonzero(~side)
         pick = lambda what, at: [what[k] for k in at]
         fits = label[i][:, None] != label[j][None, :]
         small, large = np.minimum(n[i][:, None], n[j]), np.maximum(n[i][:, None], n[j])
         fits &= small >= similarity * large
-        if left == right:
-            fits &= rep[i][:, None] < rep[j][None, :]
+        # Two of the others meet twice.
+        fits &= ~other[j][None, :] | (rep[i][:, None] < rep[j][None, :])
         if fits.any():
             fits &= _overlaps(pick(before, i), pick(before, j)) == 0
         good = np.zeros(0, bool)
@@ -389,8 +449,8 @@ def open_pairs(
         a, b = np.minimum(rep[x], rep[y])[good], np.maximum(rep[x], rep[y])[good]
         return pa.Table.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
 
-    met = rows.groupBy("value", "left", "right").applyInArrow(run, "a long, b long")
-    return met.filter("a <> b").distinct()
+    found = placed.groupBy("bundle", "i", "j").applyInArrow(run, "a long, b long")
+    return oriented(stored(found.filter("a <> b").distinct(), "found"))
 
 
 def near_duplicates(
@@ -425,7 +485,7 @@ def near_duplicates(
     classes = stored(classes, "classes")
     lists = stored(prefix_postings(classes, sketch, shared, similarity), "lists")
     floor = similarity - MARGIN
-    sets = stored(shingle_sets(rows, lists, words), "sets")
+    sets = shingle_sets(rows, lists, words)
     # A document with several texts joins their classes.
     member = some.join(classes.select("set_hash", "rep"), "set_hash").select("doc_id", "rep")
     joined = member.groupBy("doc_id").agg(F.min("rep").alias("a"), F.max("rep").alias("_high"))
@@ -439,7 +499,8 @@ def near_duplicates(
         if members is None:
             pairs = open_pairs(left, sets, similarity, sketch, shared)
         else:
-            pairs = likely(star_pairs(left, members, sum(STARS[:turn])), classes, sketch, floor)
+            stars = stored(star_pairs(left, members, sum(STARS[:turn]), similarity), "stars")
+            pairs = likely(stars, sets, sketch, floor)
         more = stored(verified(stored(pairs, "pairs"), sets, similarity), "verified")
         if not more.isEmpty():
             # Components that are known already shrink to their label.
