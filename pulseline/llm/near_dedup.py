@@ -26,6 +26,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from pulseline.llm.common import bucketed, stored
 
@@ -373,86 +374,116 @@ def open_pairs(
     order = F.array_sort(F.collect_list(F.struct("members", "bundle")))
     # As many as the sketch has values, at most.
     own = rows.groupBy("rep").agg(F.transform(order, lambda x: x["bundle"]).alias("every"))
-    smallest = F.transform(F.slice("set", 1, FINE), lambda x: F.shiftright(x, 32).cast("int"))
-    fine = sets.select(F.col("doc_id").alias("rep"), smallest.alias("sketch"))
-    each = own.join(fine, "rep")
     hashed = F.xxhash64("rep", "bundle")
     others, members = (F.ceil(F.col(c) / BLOCK) for c in ("others", "members"))
     count = lambda n: F.sequence(F.lit(0).cast("long"), n - 1)
+    is_other = F.col("label") != F.col("main")
     # As one of the others against all blocks, and as one of all against all blocks of others.
-    sides = [F.transform(
+    one = F.transform(
+        F.when(is_other, count(members)).otherwise(F.array().cast("array<bigint>")),
+        lambda j: F.struct(F.lit(True).alias("left"), F.pmod(hashed, others).alias("i"), j.alias("j")),
+    )
+    all_ = F.transform(
         count(others),
         lambda i: F.struct(F.lit(False).alias("left"), i.alias("i"), F.pmod(hashed, members).alias("j")),
-    )]
-    sides.append(F.transform(
-        F.when(F.col("label") != F.col("main"), count(members)).otherwise(F.array().cast("array<bigint>")),
-        lambda j: F.struct(F.lit(True).alias("left"), F.pmod(hashed, others).alias("i"), j.alias("j")),
-    ))
-    placed = rows.withColumn("side", F.explode(F.concat(*sides)))
-    placed = placed.join(each, "rep").select(
-        "bundle",
-        "side.i",
-        "side.j",
-        "side.left",
-        "rep",
-        "n",
-        "label",
-        (F.col("label") != F.col("main")).alias("other"),
-        "sketch",
-        # The bundles before this one.
-        F.slice("every", 1, F.array_position("every", F.col("bundle")).cast("int") - 1).alias("before"),
     )
-    floor = similarity - DEVIATIONS * (similarity * (1 - similarity) / FINE) ** 0.5
+    # The bundles before this one.
+    before = F.slice("every", 1, F.array_position("every", F.col("bundle")).cast("int") - 1)
+    placed = rows.withColumn("side", F.explode(F.concat(one, all_))).withColumn("other", is_other)
 
-    def run(key: tuple[pa.Scalar, ...], cell: pa.Table) -> pa.Table:
-        side = cell.column("left").to_numpy(zero_copy_only=False)
-        other = cell.column("other").to_numpy(zero_copy_only=False)
-        rep, label = cell.column("rep").to_numpy(), cell.column("label").to_numpy()
-        n = cell.column("n").to_numpy()
-        sketches = [np.unique(x.values.to_numpy()) for x in cell.column("sketch")]
-        before = [x.values.to_numpy() for x in cell.column("before")]
-        i, j = np.flatnonzero(side), np.flatnonzero(~side)
-        pick = lambda what, at: [what[k] for k in at]
-        fits = label[i][:, None] != label[j][None, :]
-        small, large = np.minimum(n[i][:, None], n[j]), np.maximum(n[i][:, None], n[j])
-        fits &= small >= similarity * large
-        # Two of the others meet twice.
-        fits &= ~other[j][None, :] | (rep[i][:, None] < rep[j][None, :])
-        if fits.any():
-            fits &= _overlaps(pick(before, i), pick(before, j)) == 0
-        good = np.zeros(0, bool)
-        x = y = np.zeros(0, np.int64)
-        if fits.any():
-            # First the small sketches, then the fine ones of what is left.
-            rough = [x[:sketch] for x in sketches]
-            least = np.where(large <= sketch, similarity * large - 1, shared)
-            fits &= _overlaps(pick(rough, i), pick(rough, j)) >= least
-            rows, columns = fits.any(axis=1), fits.any(axis=0)
-            i, j, fits = i[rows], j[columns], fits[np.ix_(rows, columns)]
-        if fits.any():
-            large = np.maximum(n[i][:, None], n[j])
-            both = _overlaps(pick(sketches, i), pick(sketches, j))
-            # Two hashes may agree in their upper bits by chance, once in many sets.
-            whole = both + 1 >= similarity * (n[i][:, None] + n[j] - both)
-            fits &= np.where(large <= FINE, whole, both >= floor * np.minimum(FINE, large))
-            x, y = np.nonzero(fits)
-            x, y = i[x], j[y]
-            good = np.maximum(n[x], n[y]) <= FINE
-            rest = np.flatnonzero(~good)
-            for start in range(0, len(rest), STEP_PAIRS):
-                at = rest[start : start + STEP_PAIRS]
-                padded = np.full((2, len(at), FINE), _PAD, np.int32)
-                for side, ends in enumerate((x[at], y[at])):
-                    for row, k in enumerate(ends.tolist()):
-                        padded[side, row, : len(sketches[k])] = sketches[k]
-                good[at] = _estimates(padded[0], padded[1], FINE) >= floor
-        a, b = np.minimum(rep[x], rep[y])[good], np.maximum(rep[x], rep[y])[good]
+    def with_sketch(cells: DataFrame, first: int) -> DataFrame:
+        smallest = F.transform(F.slice("set", 1, first), lambda x: F.shiftright(x, 32).cast("int"))
+        return cells.join(sets.select(F.col("doc_id").alias("rep"), smallest.alias("sketch")), "rep")
+
+    placed = with_sketch(placed.join(own, "rep"), sketch).select(
+        "bundle", "side.i", "side.j", "side.left", "rep", "n", "label", "other", before.alias("before"), "sketch"
+    )
+    kept = [f for f in placed.schema if f.name != "sketch"]
+
+    def rough(cell: pa.Table) -> pa.Table:
+        cell_ = _Cell(cell, similarity)
+        i, j, _ = cell_.rough(sketch, shared)
+        return cell.take(pa.array(np.concatenate([i, j]))).select([f.name for f in kept])
+
+    # What no member of its cell resembles by the small sketch goes no further.
+    schema = StructType(kept)
+    near = stored(placed.groupBy("bundle", "i", "j").applyInArrow(rough, schema), "cells")
+
+    def run(cell: pa.Table) -> pa.Table:
+        a, b = _Cell(cell, similarity).alike(sketch, shared)
         return pa.Table.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
 
-    found = placed.groupBy("bundle", "i", "j").applyInArrow(run, "a long, b long")
+    found = with_sketch(near, FINE).groupBy("bundle", "i", "j").applyInArrow(run, "a long, b long")
     return oriented(stored(found.filter("a <> b").distinct(), "found"))
 
 
+class _Cell:
+    """Two blocks of a bundle: the members on the left, of which all are others, and on the right."""
+
+    def __init__(self, cell: pa.Table, similarity: float):
+        self.cell, self.similarity = cell, similarity
+        self.rep, self.n = cell.column("rep").to_numpy(), cell.column("n").to_numpy()
+        label = cell.column("label").to_numpy()
+        left = cell.column("left").to_numpy(zero_copy_only=False)
+        other = cell.column("other").to_numpy(zero_copy_only=False)
+        self.i, self.j = i, j = np.flatnonzero(left), np.flatnonzero(~left)
+        fits = label[i][:, None] != label[j][None, :]
+        fits &= np.minimum(self.n[i][:, None], self.n[j]) >= similarity * self._larger()
+        # Two of the others meet twice.
+        fits &= ~other[j][None, :] | (self.rep[i][:, None] < self.rep[j][None, :])
+        self._keep(fits)
+        if len(self.i):
+            before = self._lists("before")
+            self._keep(self.fits & (_overlaps(*before) == 0))
+
+    def _keep(self, fits: np.ndarray) -> None:
+        """Only members with a partner stay."""
+        rows, columns = fits.any(axis=1), fits.any(axis=0)
+        self.i, self.j, self.fits = self.i[rows], self.j[columns], fits[np.ix_(rows, columns)]
+
+    def _larger(self) -> np.ndarray:
+        return np.maximum(self.n[self.i][:, None], self.n[self.j])
+
+    def _lists(self, column: str, first: int | None = None) -> tuple[list[np.ndarray], list[np.ndarray]]:
+        values = self.cell.column(column).combine_chunks()
+        flat, ends = values.values.to_numpy(), values.offsets.to_numpy()
+        one = lambda k: np.unique(flat[ends[k] : ends[k + 1]][:first])
+        return [one(k) for k in self.i.tolist()], [one(k) for k in self.j.tolist()]
+
+    def rough(self, sketch: int, shared: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Members on either side, and which pairs share enough of the small sketch."""
+        if len(self.i):
+            larger = self._larger()
+            least = np.where(larger <= sketch, self.similarity * larger - 1, shared)
+            self._keep(self.fits & (_overlaps(*self._lists("sketch", sketch)) >= least))
+        return self.i, self.j, self.fits
+
+    def alike(self, sketch: int, shared: int) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of the pairs that stay, the smaller first, by whole small sets or fine sketches."""
+        self.rough(sketch, shared)
+        if not len(self.i):
+            return np.zeros(0, np.int64), np.zeros(0, np.int64)
+        n, rep, similarity = self.n, self.rep, self.similarity
+        floor = similarity - DEVIATIONS * (similarity * (1 - similarity) / FINE) ** 0.5
+        larger, sketches = self._larger(), self._lists("sketch")
+        both = _overlaps(*sketches)
+        # Two hashes may agree in their upper bits by chance, once in many sets.
+        whole = both + 1 >= similarity * (n[self.i][:, None] + n[self.j] - both)
+        fits = self.fits & np.where(larger <= FINE, whole, both >= floor * np.minimum(FINE, larger))
+        x, y = np.nonzero(fits)
+        good = np.maximum(n[self.i[x]], n[self.j[y]]) <= FINE
+        rest = np.flatnonzero(~good)
+        for start in range(0, len(rest), STEP_PAIRS):
+            at = rest[start : start + STEP_PAIRS]
+            padded = np.full((2, len(at), FINE), _PAD, np.int32)
+            for side, ends in enumerate((x[at], y[at])):
+                for row, k in enumerate(ends.tolist()):
+                    padded[side, row, : len(sketches[side][k])] = sketches[side][k]
+            good[at] = _estimates(padded[0], padded[1], FINE) >= floor
+        x, y = rep[self.i[x]][good], rep[self.j[y]][good]
+        return np.minimum(x, y), np.maximum(x, y)
+
+
 def near_duplicates(
     docs: DataFrame,
     words: int = 5,
