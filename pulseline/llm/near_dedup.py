@@ -19,6 +19,7 @@ them and not they to the pairs; per pair one set moves.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -104,7 +105,8 @@ def prefix_postings(classes: DataFrame, sketch: int, shared: int, similarity: fl
     """value, rep and n of the sketch values that enter the lists, from classes (rep, n, sketch).
 
     Values of one class only lead nowhere but fill up its rare places, so they are counted, not
-    kept. Sets whose partners all have full sketches must share their exact overlap.
+    kept; nor is a class in a list in which no other one is of a size that fits. Sets whose partners all have full sketches must share
+    their exact overlap.
     """
     each = classes.select("rep", "n", F.explode("sketch").alias("value"))
     count = each.groupBy("value").agg(F.count(F.lit(1)).alias("times")).filter("times > 1")
@@ -119,9 +121,12 @@ def prefix_postings(classes: DataFrame, sketch: int, shared: int, similarity: fl
     # Every class has at most ``sketch`` values here, so the list is bounded.
     length = kept - needed + 1 - (kept - F.size("values"))
     ranked = ranked.withColumn("values", F.slice("values", 1, F.greatest(length, F.lit(0)).cast("int")))
-    return ranked.select("rep", "n", F.posexplode("values").alias("place", "v")).select(
-        "v.value", "rep", "n", "place", "v.times"
-    )
+    lists = ranked.select("rep", "n", F.explode("values").alias("v")).select("v.value", "rep", "n")
+    # Sizes that fit one another are in the same class of sizes or in neighbouring ones.
+    size = F.floor(F.log("n") / (math.log(1 / similarity) + 1e-9))
+    each = lists.withColumn("size", F.explode(F.array(size, size + 1)))
+    met = each.groupBy("value", "size").agg(F.count(F.lit(1)).alias("met")).filter("met > 1")
+    return each.join(met, ["value", "size"], "left_semi").select("value", "rep", "n").distinct()
 
 
 def estimate(a: str, b: str, sketch: int):
