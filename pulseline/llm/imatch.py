@@ -1,15 +1,17 @@
 """I-Match fingerprints: hashes of a document's terms over randomised parts of a lexicon.
 
-The lexicon holds the terms whose inverse document frequency lies in a chosen band, counted over
-distinct texts. A document keeps its distinct terms in the lexicon, sorted. Where these are less
-than a share of its terms, those nearest the band fill up, so that near copies that are a large part of
-all texts, whose terms lie above the band, still keep terms in common with their edits. A randomised sub-lexicon keeps a fixed share of all terms;
-its signature is the hash of the document's terms in it. The fingerprint has the signatures of many
-sub-lexicons at three neighbouring shares, chosen by the number of the document's terms so
-that a signature covers a few terms: one over hundreds of terms would change with any edit.
+The lexicon holds the terms whose inverse document frequency lies in a chosen band. A document keeps its distinct terms
+in the lexicon, sorted. Where these are less than a share of its terms, those nearest the band fill up, so that near copies
+that are a large part of all texts, whose terms lie above the band, still keep terms in common with their edits.
+
+Sub-lexicons are fixed for the corpus: ``DRAWS`` random ones at each of the shares 1/2, 1/4, and so on, chosen by hashes of the
+terms alone. A signature is the hash of all kept terms of a document in one of them: large sub-lexicons tell texts apart that differ in a
+few terms, small ones are still equal after larger edits. A signature of share p changes unless none of the
+terms that differ is in its sub-lexicon, which has the odds (1 - p)^d for d such terms; the shares at which signatures agree
+thus tell how many differ, and with the numbers of kept terms how alike two texts are.
 
 The lexicon goes to every task. Its size has a bound that does not depend on the number of
-documents: a term in or above the band is in at least ``low`` of all distinct texts, so there are at
+documents: a term in or above the band is in at least ``low`` of all texts, so there are at
 most (mean distinct terms of a text) / ``low`` such terms.
 """
 
@@ -17,36 +19,42 @@ from __future__ import annotations
 
 import hashlib
 import re
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: The band of document frequencies (shares of all distinct texts): rarer and more frequent terms go.
+#: The band of document frequencies (shares of all texts): rarer and more frequent terms go.
 LOW, HIGH = 0.001, 0.2
+#: Texts with at least this share of all rows count once in the frequencies, and copies of the others as they occur: no
+#: text can push its terms out of the band, and at most 1 / COPIES texts have to be known to every task.
+COPIES = 1e-5
 #: The share of its terms that a document keeps at least, and the distance from the band (in logs of the
 #: frequency) that stands for all rarer terms.
 KEPT, RARE = 0.5, 1.0
-#: Buckets of text hashes that tell which texts may have copies.
-BUCKETS = 1 << 21
-#: Sub-lexicons of each share.
-SUBSETS = 24
-#: Terms in a signature, about, at the three shares.
-TERMS = (1, 0.5, 0.25)
-#: Documents of a range in id order, on average, and the most ranges.
-RANGE_DOCS, RANGES = 4096, 65_536
+#: Random sub-lexicons of each share, and the number of shares: 1/2, 1/4, and so on.
+DRAWS, SHARES = 16, 10
+#: Documents of a range in id order, on average, and the most ranges: beyond them ranges grow, whose rows stream through their tasks.
+RANGE_DOCS, RANGES = 8192, 1 << 20
 #: Distinct terms that a task holds before it hands their counts on.
 HELD_TERMS = 300_000
 
 _ENDS = re.compile(r"^\W+|\W+$")
-# Odd multipliers of the sub-lexicons, and one for the terms' own hashes.
-_SEEDS = np.random.default_rng(20240115).integers(1, 2**63, SUBSETS, dtype=np.uint64) * 2 + 1
+# Odd multipliers of the draws, and one for the terms' own hashes.
+_SEEDS = np.random.default_rng(20240115).integers(1, 2**63, DRAWS, dtype=np.uint64) * 2 + 1
 _MIX = np.uint64(0x9E3779B97F4A7C15)
+# Draws of 53 bits below these limits are in the sub-lexicons of each share.
+_LIMITS = np.array([2 ** (53 - 1 - e) for e in range(SHARES)], np.uint64)
+# Differing terms for which odds are held against the agreements: each step is 4 % wider.
+_STEPS = np.unique(np.round(1.04 ** np.arange(0, 420)))
+_STEPS = np.concatenate([[0.0], _STEPS])
+_STAY = np.clip((1 - 0.5 ** np.arange(1, SHARES + 1))[None, :] ** _STEPS[:, None], 1e-300, 1.0)
+_LOG_STAY, _LOG_GO = np.log(_STAY), np.log(np.maximum(1 - _STAY, 1e-300))
 
 
 def term(chunk: str) -> str:
@@ -54,108 +62,105 @@ def term(chunk: str) -> str:
     return chunk if chunk.isalnum() else _ENDS.sub("", chunk)
 
 
-def terms(text: str) -> set[str]:
-    """Distinct terms in lower case."""
-    return {t for c in set(text.lower().split()) if (t := term(c))}
+class Terms:
+    """64-bit hashes of texts' distinct terms in lower case."""
 
+    def __init__(self) -> None:
+        self._memo: dict[str, int] = {}
 
-def document_frequencies(texts: DataFrame) -> tuple[int, DataFrame]:
-    """The number of distinct texts (text), and term and df over them.
+    def hashes(self, text: str) -> set[int]:
+        memo, found = self._memo, set(text.lower().split())
+        if len(memo) > HELD_TERMS:
+            memo.clear()
+        for c in found.difference(memo):
+            t = term(c)
+            memo[c] = xxhash.xxh3_64_intdigest(t) if t else 0
+        hashes = set(map(memo.__getitem__, found))
+        hashes.discard(0)
+        return hashes
 
-    Counted in each task before the shuffle. Only texts whose hash shares a bucket with that of a
-    repeated one are compared; all others are counted where they are.
+
+def document_frequencies(texts: DataFrame, copies: float = COPIES) -> tuple[float, DataFrame]:
+    """The number of texts (text), and term (its hash) and df, with frequent copies counted once.
+
+    Each row of a text that has ``copies`` of all rows or more counts as one by its number of rows. Counted in each task before the
+    shuffle; texts do not move, and which are frequent is told by their hashes.
     """
     rows = texts.select("text", F.xxhash64("text").alias("hash"))
     groups = rows.groupBy("hash").agg(F.count(F.lit(1)).alias("n"))
-    bucket = F.pmod("hash", F.lit(BUCKETS)).alias("bucket")
-    again = groups.filter("n > 1").select(bucket).distinct().collect()  # at most BUCKETS
-    n = groups.count()
-    marked = np.zeros(BUCKETS, bool)
-    marked[[r.bucket for r in again]] = True
-    shared = texts.sparkSession.sparkContext.broadcast(np.packbits(marked))
-
-    def part(batch: pa.RecordBatch, repeated: bool) -> list[str]:
-        at = batch.column("hash").to_numpy() % BUCKETS
-        is_marked = (shared.value[at >> 3] >> (7 - (at & 7))) & 1 == 1
-        return batch.column("text").filter(pa.array(is_marked == repeated)).to_pylist()
-
-    def emit(counts: Counter) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays(
-            [pa.array(list(counts), pa.string()), pa.array(list(counts.values()), pa.int64())],
-            ["term", "df"],
-        )
-
-    def count(chunks: Iterator[list[str]]) -> Iterator[pa.RecordBatch]:
-        counts: Counter = Counter()
-        for chunk in chunks:
-            for text in chunk:
-                if text:
-                    counts.update(terms(text))
-                if len(counts) > HELD_TERMS:
-                    yield emit(counts)
-                    counts = Counter()
-        yield emit(counts)
-
-    def single(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        yield from count(part(b, False) for b in batches)
-
-    def candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: set[bytes] = set()
+    total = rows.count()
+    often = groups.filter((F.col("n") > 1) & (F.col("n") >= copies * total)).collect()  # at most 1 / copies
+    known = np.sort(np.array([r.hash for r in often], np.int64))
+    times = {r.hash: r.n for r in often}
+    weights = np.array([1 / times[h] for h in known.tolist()])
+    n = total - sum(times.values()) + len(times)
+    shared = texts.sparkSession.sparkContext.broadcast((known, weights))
+
+    def emit(held: np.ndarray, sums: np.ndarray) -> pa.RecordBatch:
+        arrays = [pa.array(held.view(np.int64)), pa.array(sums)]
+        return pa.RecordBatch.from_arrays(arrays, ["term", "df"])
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known, weights = shared.value
+        maker, parts, size = Terms(), [], 0
+
+        def summed() -> tuple[np.ndarray, np.ndarray]:
+            every = np.concatenate([p for p, _ in parts])
+            each = np.repeat([w for _, w in parts], [len(p) for p, _ in parts])
+            held, place = np.unique(every, return_inverse=True)
+            return held, np.bincount(place, each, len(held))
+
         for batch in batches:
-            out = {}
-            for text in part(batch, True):
-                digest = hashlib.sha256(text.encode("utf-8", "surrogatepass")).digest()
-                if digest not in seen:
-                    out[digest] = text
-            if len(seen) > HELD_TERMS:
-                seen.clear()
-            seen.update(out)
-            arrays = [pa.array(list(out), pa.binary()), pa.array(list(out.values()), pa.string())]
-            yield pa.RecordBatch.from_arrays(arrays, ["digest", "text"])
-
-    def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        yield from count(b.column("text").to_pylist() for b in batches)
-
-    kinds = "term string, df long"
-    copies = rows.mapInArrow(candidates, "digest binary, text string").dropDuplicates(["digest"])
-    each = rows.mapInArrow(single, kinds)
-    if again:
-        each = each.unionByName(copies.select("text").mapInArrow(whole, kinds))
-    return n, each.groupBy("term").agg(F.sum("df").alias("df"))
+            own = batch.column("hash").to_numpy()
+            weight = np.ones(len(own))
+            if len(known):
+                at = np.minimum(np.searchsorted(known, own), len(known) - 1)
+                weight = np.where(known[at] == own, weights[at], 1.0)
+            for text, w in zip(batch.column("text").to_pylist(), weight.tolist()):
+                found = maker.hashes(text or "")
+                parts.append((np.fromiter(found, np.uint64, len(found)), w))
+                size += len(found)
+            if size > 8 * HELD_TERMS:
+                yield emit(*summed())
+                parts, size = [], 0
+        if size:
+            yield emit(*summed())
+
+    each = rows.mapInArrow(count, "term long, df double")
+    # Rounded, for sums of shares depend on their order in the last digits.
+    return float(n), each.groupBy("term").agg(F.round(F.sum("df"), 3).alias("df"))
 
 
 def lexicon(texts: DataFrame, low: float = LOW, high: float = HIGH) -> tuple[np.ndarray, np.ndarray]:
     """Sorted 64-bit hashes of the terms in and above the band, and their distance from it."""
     n, found = document_frequencies(texts)
     rows = found.filter(F.col("df") >= low * n).collect()  # bounded by ``low``
-    known = np.array([xxhash.xxh3_64_intdigest(r.term) for r in rows], np.uint64)
-    shares = np.array([r.df for r in rows], float) / max(1, n)
+    known = np.array([r.term for r in rows], np.int64).view(np.uint64)
+    shares = np.array([r.df for r in rows], float) / max(1.0, n)
     away = np.log(np.maximum(shares / high, 1.0))
     order = np.argsort(known)
     return known[order], away[order]
 
 
+def in_sublexicons(hashes: np.ndarray) -> np.ndarray:
+    """Whether each term (rows) is in each sub-lexicon: share (columns) and draw (layers)."""
+    draw = (hashes[:, None] * _SEEDS[None, :]) ^ (hashes[:, None] >> np.uint64(29))
+    draw = (draw * _MIX) >> np.uint64(11)
+    return draw[:, None, :] < _LIMITS[None, :, None]
+
+
 class Fingerprinter:
     """Fingerprints of texts by one lexicon."""
 
     def __init__(self, known: np.ndarray, away: np.ndarray):
         self.known, self.away = known, away
-        self._memo: dict[str, int] = {}
+        self._terms = Terms()
 
-    def _hashes(self, text: str) -> np.ndarray:
-        """Sorted distinct hashes of the terms."""
-        memo, found = self._memo, set(text.lower().split())
-        if len(memo) > HELD_TERMS:
-            memo.clear()
-        for c in found.difference(memo):
-            t = term(c)
-            memo[c] = xxhash.xxh3_64_intdigest(t) if t else 0
-        hashes = set(map(memo.__getitem__, found))
-        hashes.discard(0)
-        return np.sort(np.fromiter(hashes, np.uint64, len(hashes)))
-
-    def _kept(self, hashes: np.ndarray) -> np.ndarray:
-        """The hashes that count, sorted."""
+    def kept(self, text: str) -> np.ndarray:
+        """Sorted hashes of the terms that count: those in the band, and at least the share ``KEPT`` of
+        all terms, the nearest to the band first, equal ones by hash."""
+        found = self._terms.hashes(text)
+        hashes = np.sort(np.fromiter(found, np.uint64, len(found)))
         away = np.full(len(hashes), RARE)
         if len(self.known):
             at = np.searchsorted(self.known, hashes)
@@ -167,52 +172,37 @@ class Fingerprinter:
         return np.sort(hashes[np.argsort(away, kind="stable")[:least]])
 
     def signatures(self, text: str) -> tuple[int, np.ndarray]:
-        """The first share's exponent and one signature per share and sub-lexicon; 0 is empty.
-
-        Texts keep their terms in the band, and at least the share ``KEPT`` of all their terms: those
-        nearest the band, equal ones by hash. Texts without a term have none.
-        """
-        hashes = self._kept(self._hashes(text))
-        if not len(hashes):
-            return 0, np.zeros((len(TERMS), SUBSETS), np.uint64)
-        draw = (hashes[:, None] * _SEEDS[None, :]) ^ (hashes[:, None] >> np.uint64(29))
-        draw = (draw * _MIX) >> np.uint64(11)
+        """The number of kept terms and one signature per share and draw; 0 where no term is kept."""
+        hashes = self.kept(text)
         value = (hashes ^ (hashes >> np.uint64(32))) * _MIX
         value ^= value >> np.uint64(29)
-        out = np.zeros((len(TERMS), SUBSETS), np.uint64)
-        top = max(0, int(round(np.log2(len(hashes) / TERMS[0]))))
-        for level in range(len(TERMS)):
-            # A sub-lexicon of share 2^-e holds the terms whose draw starts with e zero bits.
-            inside = draw < np.uint64(2 ** (53 - top - level))
-            # The sum over the sorted distinct terms stands for the hash of their sequence.
-            total = np.where(inside, value[:, None], np.uint64(0)).sum(axis=0, dtype=np.uint64)
-            total ^= total >> np.uint64(31)
-            out[level] = (total * _MIX) >> np.uint64(32)
-        return top, out
+        # The sum over the sorted distinct terms stands for the hash of their sequence.
+        out = np.where(in_sublexicons(hashes), value[:, None, None], np.uint64(0)).sum(axis=0, dtype=np.uint64)
+        out ^= out >> np.uint64(31)
+        return len(hashes), (out * _MIX) >> np.uint64(32)
 
 
-def text_of(top: int, signatures: np.ndarray) -> str:
-    rows = ["".join(f"{int(x):08x}" for x in row) for row in signatures]
-    return f"{top}:" + ":".join(rows)
+def text_of(size: int, signatures: np.ndarray) -> str:
+    rows = ["".join(f"{x:08x}" for x in row) for row in signatures.tolist()]
+    return f"{size}:" + ":".join(rows)
 
 
 def likeness(a: tuple[int, np.ndarray], b: tuple[int, np.ndarray]) -> float:
-    """Equal signatures among those that are not empty on both sides, over shares in common.
+    """Kept terms in common over all kept terms, as estimated from the signatures that agree.
 
-    1 for two texts without terms; 0 where no share is in common.
+    1 if all agree, as for two texts without terms. The number of differing terms is the one that
+    makes the agreements at all shares likeliest; it is at least the difference of the numbers of terms.
     """
-    if not a[1].any() and not b[1].any():
+    agree = (a[1] == b[1]).sum(axis=1)
+    both = a[0] + b[0]
+    if a[0] == b[0] and agree.sum() == SHARES * DRAWS:
         return 1.0
-    by_share = [
-        {top + i: rows[i] for i in range(len(rows))} for top, rows in (a, b)
-    ]
-    equal = full = 0
-    for share in by_share[0].keys() & by_share[1].keys():
-        x, y = by_share[0][share], by_share[1][share]
-        some = (x != 0) | (y != 0)
-        full += int(some.sum())
-        equal += int((some & (x == y)).sum())
-    return equal / full if full else 0.0
+    odds = _LOG_STAY @ agree + _LOG_GO @ (DRAWS - agree)
+    low, high = np.searchsorted(_STEPS, [max(1, abs(a[0] - b[0])), both])
+    best = low + int(np.argmax(odds[low:high])) if low < high else high
+    # The largest step stands for all terms.
+    differ = float(both) if best >= high - 1 else float(_STEPS[best])
+    return max(0.0, (both - differ) / (both + differ))
 
 
 #: Stands for a null id in the order: below all others.
@@ -222,7 +212,7 @@ _NULL_ID = -(2**63)
 def in_ranges(rows: DataFrame, range_docs: int = RANGE_DOCS, ranges: int = RANGES) -> DataFrame:
     """Deal rows (doc_id, text) into ranges of falling ids, each with the first row of the next.
 
-    Adds ``range`` and ``edge``; sorted within a range, the row behind every row is the next one, because
+    Gives doc_id, range, edge and the text's compressed bytes, ``packed``; sorted within a range, the row behind every row is the next one, because
     the first row of the following range (of the first range, for the last) is there once more as
     edge. Texts are shuffled once; only bounds and edges, one per range, pass the driver.
     """
@@ -256,10 +246,20 @@ def in_ranges(rows: DataFrame, range_docs: int = RANGE_DOCS, ranges: int = RANGE
         out = [[r, follows[k]] if k in follows else [r] for k, r in zip(v.tolist(), own)]
         return pd.Series(out, dtype=object)
 
-    dealt = rows.select("doc_id", "text", F.posexplode(ranges_of(order)).alias("edge", "range"))
-    tie = F.xxhash64("text")
+    def squeeze(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        squeezer = zstandard.ZstdCompressor(level=1)
+        for batch in batches:
+            texts = [squeezer.compress(t.encode("utf-8", "surrogatepass")) for t in batch.column("text").to_pylist()]
+            names = [n for n in batch.schema.names if n != "text"]
+            arrays = [*(batch.column(n) for n in names), pa.array(texts, pa.binary())]
+            yield pa.RecordBatch.from_arrays(arrays, [*names, "packed"])
+
+    tie = F.xxhash64("text").alias("tie")
+    dealt = rows.select("doc_id", "text", tie, F.posexplode(ranges_of(order)).alias("edge", "range"))
+    # Texts are compressed one by one before they move: the exchange would do it worse.
+    dealt = dealt.mapInArrow(squeeze, "doc_id long, tie long, edge int, range int, packed binary")
     return dealt.repartition("range").sortWithinPartitions(
-        "range", "edge", F.desc_nulls_last("doc_id"), tie
+        "range", "edge", F.desc_nulls_last("doc_id"), "tie"
     )
 
 
@@ -282,11 +282,13 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         maker = Fingerprinter(*shared.value)
+        unpack = zstandard.ZstdDecompressor().decompress
         held = None  # the last row: range, edge, id, text, signatures
         for batch in batches:
             out = []
-            columns = ("range", "edge", "doc_id", "text")
-            for place, edge, key, text in zip(*(batch.column(c).to_pylist() for c in columns)):
+            columns = ("range", "edge", "doc_id", "packed")
+            for place, edge, key, packed in zip(*(batch.column(c).to_pylist() for c in columns)):
+                text = unpack(packed).decode("utf-8", "surrogatepass")
                 now = (place, edge, key, text, maker.signatures(text))
                 if held is not None and held[0] == place and not held[1]:
                     _, _, key, text, own = held
