@@ -48,8 +48,6 @@ _ENDS = re.compile(r"^\W+|\W+$")
 # Odd multipliers of the draws, and one for the terms' own hashes.
 _SEEDS = np.random.default_rng(20240115).integers(1, 2**63, DRAWS, dtype=np.uint64) * 2 + 1
 _MIX = np.uint64(0x9E3779B97F4A7C15)
-# Draws of 53 bits below these limits are in the sub-lexicons of each share.
-_LIMITS = np.array([2 ** (53 - 1 - e) for e in range(SHARES)], np.uint64)
 # Differing terms for which odds are held against the agreements: each step is 4 % wider.
 _STEPS = np.unique(np.round(1.04 ** np.arange(0, 420)))
 _STEPS = np.concatenate([[0.0], _STEPS])
@@ -142,11 +140,12 @@ def lexicon(texts: DataFrame, low: float = LOW, high: float = HIGH) -> tuple[np.
     return known[order], away[order]
 
 
-def in_sublexicons(hashes: np.ndarray) -> np.ndarray:
-    """Whether each term (rows) is in each sub-lexicon: share (columns) and draw (layers)."""
+def sublexicons(hashes: np.ndarray) -> np.ndarray:
+    """For each term (rows) and draw (columns) in how many sub-lexicons it is: those of the largest shares."""
     draw = (hashes[:, None] * _SEEDS[None, :]) ^ (hashes[:, None] >> np.uint64(29))
     draw = (draw * _MIX) >> np.uint64(11)
-    return draw[:, None, :] < _LIMITS[None, :, None]
+    # 53 bits: each leading zero is one more share.
+    return np.minimum(53 - np.frexp(draw.astype(float))[1], SHARES)
 
 
 class Fingerprinter:
@@ -175,15 +174,18 @@ class Fingerprinter:
         """The number of kept terms and one signature per share and draw; 0 where no term is kept."""
         hashes = self.kept(text)
         value = (hashes ^ (hashes >> np.uint64(32))) * _MIX
-        value ^= value >> np.uint64(29)
-        # The sum over the sorted distinct terms stands for the hash of their sequence.
-        out = np.where(in_sublexicons(hashes), value[:, None, None], np.uint64(0)).sum(axis=0, dtype=np.uint64)
+        value = ((value ^ (value >> np.uint64(29))) >> np.uint64(24)).astype(float)
+        # The sum over the sorted distinct terms stands for the hash of their sequence. Terms are added at
+        # the smallest share that has them, and carried on to the larger ones.
+        place = sublexicons(hashes) * DRAWS + np.arange(DRAWS)
+        total = np.bincount(place.ravel(), np.repeat(value, DRAWS), (SHARES + 1) * DRAWS)
+        out = np.cumsum(total.reshape(SHARES + 1, DRAWS)[:0:-1], axis=0)[::-1].astype(np.uint64)
         out ^= out >> np.uint64(31)
         return len(hashes), (out * _MIX) >> np.uint64(32)
 
 
 def text_of(size: int, signatures: np.ndarray) -> str:
-    rows = ["".join(f"{x:08x}" for x in row) for row in signatures.tolist()]
+    rows = [row.tobytes().hex() for row in signatures.astype(">u4")]
     return f"{size}:" + ":".join(rows)
 
 

@@ -411,7 +411,8 @@ def test_fingerprints_equal_brute_force(spark, documents):
     prints = [parsed(x) for x in got.sort_values("doc_id").fingerprint]
     assert [p[0] for p in prints] == [len(k) for k in kept]
     words = sorted(set().union(*kept))
-    inside = imatch.in_sublexicons(np.array(words, np.uint64))
+    depth = imatch.sublexicons(np.array(words, np.uint64))
+    inside = depth[:, None, :] > np.arange(imatch.SHARES)[None, :, None]
     rates = inside.mean(axis=(0, 2))
     assert np.allclose(rates, 0.5 ** np.arange(1, imatch.SHARES + 1), rtol=0.2, atol=1e-3)
     for share_, draw in [(0, 0), (2, 3), (5, 7), (8, 15)]:
