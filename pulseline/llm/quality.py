@@ -191,7 +191,11 @@ class Field:
 
 
 def fit(texts: pa.Array, labels: np.ndarray) -> Field:
-    """Fit a field to documents with labels 0 and 1 by penalised likelihood."""
+    """Fit a field to documents with labels 0 and 1 by penalised likelihood.
+
+    Lines count by their length in the gradient of their features; links count once each. The two halves
+    of the gradient thus weigh a line differently, on purpose: a link is between two lines of any length.
+    """
     table, length, first = line_table(texts)
     owner = np.repeat(np.arange(len(labels)), np.diff(first))
     mean, scale = table.mean(axis=0), table.std(axis=0) + 1e-3
@@ -233,7 +237,8 @@ def sample(docs: DataFrame, labels: DataFrame, label: str, modulus: int, remaind
     their id, so it is the same in every run and bounded whatever the input.
     """
     known = labels.select(F.col("doc_id").alias("_id"), F.col(label).cast("int").alias("label"))
-    known = known.filter(F.col("label").isin(0, 1)).dropDuplicates(["_id"])
+    # An id with both labels is bad.
+    known = known.filter(F.col("label").isin(0, 1)).groupBy("_id").agg(F.min("label").alias("label"))
     rows = docs.select("doc_id", "text").filter(
         ~held_out("doc_id", modulus, remainder) & (F.octet_length("text") <= SAMPLE_BYTES)
     )
@@ -245,7 +250,8 @@ def sample(docs: DataFrame, labels: DataFrame, label: str, modulus: int, remaind
         chosen = part if chosen is None else chosen.unionByName(part)
     # At most 2 x SAMPLE_DOCS ids.
     picked = rows.join(F.broadcast(chosen.select("_id", "label")), F.col("doc_id") == F.col("_id"))
-    picked = picked.select("doc_id", "text", "label").dropDuplicates(["doc_id"])
+    # The first of several texts of an id.
+    picked = picked.groupBy("doc_id", "label").agg(F.min("text").alias("text"))
     return picked.toArrow().sort_by("doc_id")
 
 

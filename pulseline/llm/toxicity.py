@@ -146,7 +146,7 @@ def dictionaries(toxic: list[str], ordinary: list[str]) -> tuple[bytes, bytes]:
         for i in range(0, len(data), 256)
     ]
     return (
-        _train(ORDINARY_BYTES, pieces[:20_000], 64),
+        _train(ORDINARY_BYTES, pieces, 64),
         _train(TOXIC_BYTES, typical_words(toxic, ordinary), 16),
     )
 
@@ -201,7 +201,8 @@ def sample(docs: DataFrame, labels: DataFrame, modulus: int, remainder: int) ->
     so the sample is bounded whatever the input and the same in every run.
     """
     known = labels.select(F.col("doc_id").alias("_id"), F.col("toxic").cast("int").alias("label"))
-    known = known.filter(F.col("label").isin(0, 1)).dropDuplicates(["_id"])
+    # An id with both labels is toxic.
+    known = known.filter(F.col("label").isin(0, 1)).groupBy("_id").agg(F.max("label").alias("label"))
     rows = docs.select("doc_id", "text").filter(
         ~held_out("doc_id", modulus, remainder) & (F.octet_length("text") <= SAMPLE_BYTES)
     )
@@ -213,7 +214,8 @@ def sample(docs: DataFrame, labels: DataFrame, modulus: int, remainder: int) ->
     ]
     chosen = parts[0].unionByName(parts[1]).select("_id", "label")
     picked = rows.join(F.broadcast(chosen), F.col("doc_id") == F.col("_id"))
-    return picked.select("doc_id", "text", "label").dropDuplicates(["doc_id"])
+    # The first of several texts of an id.
+    return picked.groupBy("doc_id", "label").agg(F.min("text").alias("text"))
 
 
 def learn(docs: DataFrame, labels: DataFrame, modulus: int = 3, remainder: int = 1) -> Model:
