@@ -19,6 +19,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -30,12 +31,15 @@ LONGEST = 5
 #: Distinct words that a task or worker holds before it hands them on or starts anew.
 HELD_WORDS = 300_000
 
-_LETTERS = re.compile(r"[^\W\d_]+")
+# Letters and the marks on them; numbers that are written as one sign are neither.
+_LETTERS = regex.compile(r"\p{L}[\p{L}\p{M}]*")
+_ASCII = re.compile(r"[a-z]+")
 
 
 def words(text: str) -> list[str]:
-    """Letter runs in lower case."""
-    return _LETTERS.findall(text.lower())
+    """Runs of letters with their marks, in lower case."""
+    low = text.lower()
+    return (_ASCII if low.isascii() else _LETTERS).findall(low)
 
 
 def grams(word: str, n: int) -> list[str]:
