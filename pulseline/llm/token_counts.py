@@ -8,7 +8,6 @@ counts are appended to the cache and joined back.
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -17,15 +16,14 @@ from pyspark.sql import functions as F
 from pyspark.sql.utils import AnalysisException
 
 from pulseline.llm.common import stored
-from pulseline.llm.tokens import encoder
+from pulseline.llm.tokens import encoder, file_digest
 
 CACHE = "content string, tokenizer string, n_tokens long"
 
 
 def tokenizer_version(path: str) -> str:
     """Digest of a tokenizer file, read where the driver runs."""
-    with open(path, "rb") as f:
-        return hashlib.sha256(f.read()).hexdigest()
+    return file_digest(path)
 
 
 def content_digest(text: Column) -> Column:
@@ -96,7 +94,8 @@ def count_tokens(
         "append"
     ).parquet(cache_dir)
     counts = spark.read.schema(CACHE).parquet(cache_dir).filter(F.col("tokenizer") == version)
-    counts = counts.groupBy("content").agg(F.min("n_tokens").alias("n_tokens"))
+    # Stored, so that a content with many copies is split over tasks where it is joined.
+    counts = stored(counts.groupBy("content").agg(F.min("n_tokens").alias("n_tokens")), "counts")
     return keys.join(counts, "content").select(
         "doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit")
     )

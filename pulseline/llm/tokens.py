@@ -7,6 +7,7 @@ fixed number, and has the library encode the new ones of a batch together.
 
 from __future__ import annotations
 
+import hashlib
 import os
 import re
 
@@ -25,6 +26,10 @@ _PARTS = re.compile(
 )
 
 
+#: Digest of the tokenizer file whose texts are encoded chunk by chunk (word_bpe_49k.json).
+CHUNKED = "53fa9d558ea625daafcd57cd61e7be7b3c7043ea584b22d09575cf5ea9131b0a"
+
+
 def _byte_letters() -> dict[int, str]:
     """The byte-level alphabet: printable bytes stand for themselves, others follow from 256."""
     shown = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
@@ -32,6 +37,12 @@ def _byte_letters() -> dict[int, str]:
     return {b: chr(b) for b in shown} | {b: chr(256 + i) for i, b in enumerate(hidden)}
 
 
+def file_digest(path: str) -> str:
+    """sha256 of a tokenizer file."""
+    with open(path, "rb") as f:
+        return hashlib.sha256(f.read()).hexdigest()
+
+
 def chunks(text: str) -> list[str]:
     """The text between ASCII blanks; blanks in a row leave empty chunks."""
     for blank in "\t\n\x0b\x0c\r":
@@ -47,9 +58,9 @@ class ChunkEncoder:
         from tokenizers import Tokenizer, pre_tokenizers
 
         self._whole = Tokenizer.from_file(path)
-        # The short cut repeats what this file's normaliser and splitter do; any other
+        # The short cut repeats what the normaliser and splitter of one file do; any other
         # tokenizer file takes the whole way for every text.
-        self._by_chunk = os.path.basename(path) == "word_bpe_49k.json"
+        self._by_chunk = file_digest(path) == CHUNKED
         self._letters = _byte_letters()
         self._memo: dict[str, bytes] = {}
         if self._by_chunk:
