@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from pulseline.session import configure, stored, work_dir
 
-__all__ = ["WORDS", "bucketed", "each_of", "held_out", "matrix", "prepare", "stored", "table", "work_dir"]
+__all__ = ["WORDS", "bucketed", "each_of", "held_out", "matrix", "prepare", "stored", "table", "whole_row", "work_dir"]
 
 #: A word: everything between ASCII blanks (space, tab, line feed, VT, FF, CR).
 WORDS = r"[^\x20\x09-\x0D]+"
@@ -44,6 +44,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return prepare(spark).read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
+def whole_row(df: DataFrame) -> Column:
+    """All columns of ``df`` as one, ``row``: what is computed beside it cannot clash with their names."""
+    return F.struct(*[F.col(f"`{c.replace('`', '``')}`") for c in df.columns]).alias("row")
+
+
 def bucketed(df: DataFrame, name: str, key: str) -> DataFrame:
     """``df`` written to the work folder in buckets by ``key`` and read back.
 

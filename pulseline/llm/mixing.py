@@ -17,10 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from pulseline.llm.common import WORDS, stored
-
-#: Documents per key range, on average.
-RANGE_DOCS = 4096
+from pulseline.llm.common import WORDS, stored, whole_row
 
 
 def word_count(text: str) -> Column:
@@ -76,19 +73,27 @@ def source_targets(
     return rows.select("source", "source_size", "docs", target.alias("target"))
 
 
-def keyed(docs: DataFrame, id_col: str, text_col: str, source_col: str, seed: int) -> DataFrame:
+def keyed(
+    docs: DataFrame, id_col: str, text_col: str, source_col: str, seed: int, weight: Column | None
+) -> DataFrame:
     """doc_id, source, size and key of every row."""
     sized = docs.select(
         F.col(id_col).alias("doc_id"),
         F.col(source_col).cast("string").alias("source"),
         F.col(text_col).alias("_text"),
         word_count(text_col).alias("size"),
+        (F.lit(None).cast("double") if weight is None else weight).alias("weight"),
     )
-    weight = quality_weight("_text", F.col("size"))
-    key = sample_key(F.col("doc_id"), weight, seed)
+    own = quality_weight("_text", F.col("size")) if weight is None else _bounded(F.col("weight"))
+    key = sample_key(F.col("doc_id"), own, seed)
     return sized.select("doc_id", "source", "size", key.alias("key"))
 
 
+def _bounded(weight: Column) -> Column:
+    """A given weight within 0.1 and 1; that of a missing one is 0.1."""
+    return F.greatest(F.lit(0.1), F.least(F.lit(1.0), F.coalesce(weight.cast("double"), F.lit(0.1))))
+
+
 def source_cuts(rows: DataFrame, **shares) -> DataFrame:
     """One row per source of keyed rows: size, target, epochs and the end of the selection.
 
@@ -106,12 +111,11 @@ def source_cuts(rows: DataFrame, **shares) -> DataFrame:
         "rest",
         F.round(F.col("target") - F.col("epochs") * F.col("source_size")).cast("long"),
     )
-    targets = stored(targets.withColumn("ranges", F.ceil(F.col("docs") / RANGE_DOCS)), "targets")
-    same = F.col("s.source").eqNullSafe(F.col("t.source"))
-    place = F.floor((1 - F.exp(-F.col("s.key"))) * F.col("t.ranges"))
-    placed = rows.alias("s").join(targets.alias("t"), same).select(
-        "s.source", "s.size", "s.key", place.alias("range")
-    )
+    targets = stored(targets, "targets")
+    # Rows of a key are one; keys are dealt into ranges of the source's own, whatever their distribution.
+    keys = rows.groupBy("source", "key").agg(F.sum("size").alias("size"))
+    placed = keys.repartitionByRange("source", "key").withColumn("range", F.spark_partition_id())
+    placed = stored(placed, "ranges")
     up_to = W.partitionBy("source").orderBy("range")
     sums = placed.groupBy("source", "range").agg(F.sum("size").alias("words"))
     sums = sums.withColumn("before", F.sum("words").over(up_to) - F.col("words"))
@@ -126,8 +130,7 @@ def source_cuts(rows: DataFrame, **shares) -> DataFrame:
     ties = (
         placed.alias("p")
         .join(last.alias("l"), same & (F.col("p.range") == F.col("l.range")))
-        .groupBy("p.source", "p.key", "l.before", "l.rest")
-        .agg(F.sum("p.size").alias("cut_size"))
+        .select("p.source", "p.key", "l.before", "l.rest", F.col("p.size").alias("cut_size"))
     )
     up_to = W.partitionBy("source").orderBy("key")
     ties = ties.withColumn(
@@ -162,6 +165,7 @@ def mix(
     text_col: str = "text",
     source_col: str = "source",
     seed: int = 0,
+    weight: Column | None = None,
     **shares,
 ) -> DataFrame:
     """How much of every document the mix takes.
@@ -170,9 +174,10 @@ def mix(
     source), epochs (whole copies) and taken (words, copies counted). Null and empty texts have
     size 0 and are never taken; a null source is a source of its own; rows that tie on the key
     (the same id repeated) share the end of the budget in proportion to their size; an empty
-    table gives no rows. Input columns other than the three named ones are ignored.
+    table gives no rows. ``weight`` is a quality weight of the rows, such as a model's score; without one it is the
+    share of letter runs among the words. Input columns other than the three named ones are ignored.
     """
-    rows = stored(keyed(docs, id_col, text_col, source_col, seed), "mixing")
+    rows = stored(keyed(docs, id_col, text_col, source_col, seed, weight), "mixing")
     cuts = stored(source_cuts(rows, **shares), "cuts")
     same = F.col("r.source").eqNullSafe(F.col("c.source"))
     both = rows.alias("r").join(cuts.alias("c"), same)
@@ -189,35 +194,36 @@ def mixed(
     text_col: str = "text",
     source_col: str = "source",
     seed: int = 0,
+    weight: Column | None = None,
     **shares,
 ) -> DataFrame:
     """The mix itself: the input's columns, whole copies repeated and the last one cut.
 
     A document at the end of its source's budget keeps its first words only, with the blanks before
-    them. Other columns stay as they are; documents without words are not in the mix.
+    them. Other columns stay as they are, whatever their names; documents without words are not in the mix. Null sources, ids and
+    repeated rows count as in ``mix``; an empty table gives no rows.
     """
-    columns = docs.columns
-    rows = stored(keyed(docs, id_col, text_col, source_col, seed), "mixing")
+    rows = stored(keyed(docs, id_col, text_col, source_col, seed, weight), "mixing")
     # One row per source, stored so that its real size decides the join and no text is shuffled.
-    cuts = stored(source_cuts(rows, **shares), "cuts")
-    names = {c: f"_mix_{c}" for c in cuts.columns}
-    cuts = cuts.withColumnsRenamed(names)
-    same = F.col(source_col).cast("string").eqNullSafe(F.col("_mix_source"))
+    cuts = stored(source_cuts(rows, **shares), "cuts").withColumnRenamed("source", "cut_of")
     size = word_count(text_col)
-    weight = quality_weight(text_col, size)
-    rows = docs.withColumn("_mix_size", size)
-    rows = rows.withColumn("_mix_key", sample_key(F.col(id_col), weight, seed)).join(cuts, same)
-    extra = extra_words(F.col("_mix_size"), F.col("_mix_key"), "_mix_")
-    rows = rows.withColumn("_mix_extra", extra)
-    copies = F.array_repeat(F.col("_mix_size"), F.col("_mix_epochs").cast("int"))
-    last = F.when(F.col("_mix_extra") > 0, F.array("_mix_extra")).otherwise(
-        F.array().cast("array<bigint>")
+    own = quality_weight(text_col, size) if weight is None else _bounded(weight)
+    # The input's columns in one, so that no name can clash.
+    given = docs.select(
+        whole_row(docs),
+        F.col(text_col).alias("text"),
+        F.col(source_col).cast("string").alias("source"),
+        size.alias("size"),
+        sample_key(F.col(id_col), own, seed).alias("key"),
     )
-    rows = rows.withColumn("_mix_words", F.explode(F.concat(copies, last)))
-    rows = rows.filter(F.col("_mix_words") > 0)
+    rows = given.join(cuts, F.col("source").eqNullSafe(F.col("cut_of")))
+    extra = extra_words(F.col("size"), F.col("key"))
+    copies = F.array_repeat(F.col("size"), F.col("epochs").cast("int"))
+    last = F.when(extra > 0, F.array(extra)).otherwise(F.array().cast("array<bigint>"))
+    rows = rows.withColumn("words", F.explode(F.concat(copies, last))).filter(F.col("words") > 0)
     pieces = F.regexp_extract_all(
-        F.col(text_col), F.lit(r"[\x20\x09-\x0D]*[^\x20\x09-\x0D]+"), F.lit(0)
+        F.col("text"), F.lit(r"[\x20\x09-\x0D]*[^\x20\x09-\x0D]+"), F.lit(0)
     )
-    cut = F.array_join(F.slice(pieces, 1, F.col("_mix_words").cast("int")), "")
-    text = F.when(F.col("_mix_words") < F.col("_mix_size"), cut).otherwise(F.col(text_col))
-    return rows.withColumn(text_col, text).select(*columns)
+    cut = F.array_join(F.slice(pieces, 1, F.col("words").cast("int")), "")
+    text = F.when(F.col("words") < F.col("size"), cut).otherwise(F.col("text"))
+    return rows.select(F.col("row").withField(text_col, text).alias("row")).select("row.*")

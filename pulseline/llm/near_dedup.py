@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from pulseline.llm.common import bucketed, stored
+from pulseline.llm.common import bucketed, stored, whole_row
 
 #: Sketch size, and the values that sketches of linked documents share at least: 51 are expected at
 #: a similarity of 0.8, with a deviation of 3.2, so fewer than 34 come three times in ten million links.
@@ -562,12 +562,13 @@ def one_of_each(docs: DataFrame, id_col: str = "doc_id", **options) -> DataFrame
     Rows that share an id are one document; one of them stays. Rows with a null id all stay.
     """
     found = stored(near_duplicates(docs, id_col=id_col, **options), "near")
-    gone = found.filter(~F.col("kept")).select(F.col("doc_id").alias("_gone")).distinct()
-    left = docs.join(gone.hint("shuffle_hash"), F.col(id_col) == F.col("_gone"), "left_anti")
+    # The input's columns in one, so that no name can clash.
+    rows = docs.select(whole_row(docs), F.col(id_col).cast("long").alias("id"))
+    gone = found.filter(~F.col("kept")).select(F.col("doc_id").alias("gone")).distinct()
+    left = rows.join(gone.hint("shuffle_hash"), F.col("id") == F.col("gone"), "left_anti")
     again = found.filter("doc_id is not null").groupBy("doc_id").count().filter("count > 1")
-    if again.isEmpty():
-        return left
-    again = again.select(F.col("doc_id").alias("_again"))
-    many = F.col(id_col) == F.col("_again")
-    once = left.join(again, many, "left_semi").dropDuplicates([id_col])
-    return left.join(again, many, "left_anti").unionByName(once)
+    if not again.isEmpty():
+        many = F.col("id") == F.col("doc_id")
+        once = left.join(again, many, "left_semi").dropDuplicates(["id"])
+        left = left.join(again, many, "left_anti").unionByName(once)
+    return left.select("row.*")

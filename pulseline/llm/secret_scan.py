@@ -1,11 +1,11 @@
 """Secrets in texts: fixed patterns, and character Markov models of random strings.
 
 Three patterns give the base spans. The method adds to them: tokens without a known form are
-scored by two first-order character models, one of random strings and one of ordinary
-identifiers, and count as secrets where the log-likelihood ratio per character pair is high. The
-models are trained on labelled samples from all texts: values of base spans are the random strings, long
-words of letters the ordinary identifiers. Everything is DataFrame expressions; the models
-end as one array over at most 67 x 67 character pairs, whatever the input.
+cut at their separators, and each piece is scored by two first-order character models, one of random strings and one of ordinary
+identifiers. A token counts as secret where a piece has a high log-likelihood ratio per character pair. The
+models are trained on labelled samples from all texts: values of base spans are the random strings; long
+words of letters, written as names are (camel case, capitals, with digits before or behind), the ordinary identifiers.
+Everything is DataFrame expressions; the models end as one array over at most 62 x 62 character pairs, whatever the input.
 """
 
 from __future__ import annotations
@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pulseline.llm.common import stored
+from pulseline.llm.common import stored, whole_row
 
 # The three base patterns and their least lengths.
 ASSIGN = (
@@ -25,15 +25,18 @@ ASSIGN_VALUE, ACCESS_LENGTH, HEX_LENGTH = 6, 20, 24
 #: In the order of spans that start together.
 KINDS = ("assign", "access", "hex", "markov")
 
-#: Tokens that the models score, and those that show ordinary identifiers.
-CANDIDATE = r"[A-Za-z0-9+/_=-]{8,}"
+#: Tokens that are looked at, what cuts them into pieces, and the least length of a piece that the models score.
+CANDIDATE, CUT, PIECE = r"[A-Za-z0-9+/_=-]{8,}", r"[+/_=-]+", 8
+#: Words that show ordinary identifiers.
 ORDINARY = r"\b[A-Za-z]{10,}\b"
+#: Identifiers by their form: UUIDs are random and no secrets.
+UUID = r"^[0-9A-Fa-f]{8}(-[0-9A-Fa-f]{4}){3}-[0-9A-Fa-f]{12}$"
 #: Least mean log-likelihood ratio per character pair, in nats.
-THRESHOLD = 0.3
-#: Shorter tokens need the whole ratio that one of this length has at the threshold.
+THRESHOLD = 0.45
+#: Shorter pieces need the whole ratio that one of this length has at the threshold.
 FULL_LENGTH = 16
-#: The characters of candidates; all that the models know.
-ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-"
+#: The characters of pieces; all that the models know.
+ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"
 
 SPAN = "struct<kind:int,start:int,end:int>"
 
@@ -108,6 +111,8 @@ def pair_model(strings: DataFrame) -> DataFrame:
     ``strings`` (value, random, n) are the labelled samples. The ratio is log P(second | first)
     among random strings minus the same among ordinary ones, with add-one smoothing.
     """
+    written = F.when(F.col("random"), F.split("value", CUT)).otherwise(as_names(F.col("value")))
+    strings = strings.select("random", "n", F.explode(written).alias("value"))
     each = strings.select("random", "n", F.explode(pairs(F.col("value"))).alias("pair"))
     counts = each.groupBy("pair").agg(
         F.sum(F.when(F.col("random"), F.col("n")).otherwise(0)).alias("r"),
@@ -133,6 +138,23 @@ def pair_model(strings: DataFrame) -> DataFrame:
     return rows.agg(F.transform(ordered, lambda x: x["ratio"]).alias("model"))
 
 
+def as_names(word: Column) -> Column:
+    """A word as it stands in names: by itself, in camel case, in capitals, and with digits at its ends."""
+    low = F.lower(word)
+    first = F.initcap(low)
+    digits = F.lpad(F.pmod(F.xxhash64(low), F.lit(10_000)).cast("string"), 4, "0")
+    return F.array(
+        word,
+        low,
+        F.concat(low, first),
+        F.concat(first, first),
+        F.upper(word),
+        F.concat(low, F.substring(digits, 1, 2), low),
+        F.concat(first, digits),
+        F.concat(digits, first, F.substring(digits, 1, 1), low),
+    )
+
+
 def labelled_strings(rows: DataFrame) -> DataFrame:
     """Random and ordinary strings of texts with base spans (text, base): value, random, n.
 
@@ -162,7 +184,7 @@ def labelled_strings(rows: DataFrame) -> DataFrame:
 
 
 def mean_ratio(value: Column, model: Column) -> Column:
-    """Mean log-likelihood ratio per character pair of a candidate."""
+    """Mean log-likelihood ratio per character pair of a piece."""
 
     letters = F.lit(ALPHABET)
 
@@ -175,15 +197,19 @@ def mean_ratio(value: Column, model: Column) -> Column:
 
 
 def markov_spans(text: Column, model: Column, base: Column, threshold: float) -> Column:
-    """Candidates with a letter outside the base spans whose mean ratio reaches the threshold.
+    """Candidates outside the base spans with a piece whose mean ratio reaches the threshold.
 
-    Below ``FULL_LENGTH`` the threshold grows with the pairs that are missing, so that short ordinary words
+    Pieces need a letter. Below ``FULL_LENGTH`` the threshold grows with the pairs that are missing, so that short ordinary words
     with a few odd pairs stay.
     """
 
+    def odd(piece):
+        least = F.greatest(F.lit(1.0), (FULL_LENGTH - 1) / (F.length(piece) - 1))
+        some = (F.length(piece) >= PIECE) & piece.rlike("[A-Za-z]")
+        return some & (mean_ratio(piece, model) >= threshold * least)
+
     def random(m):
-        least = F.greatest(F.lit(1.0), (FULL_LENGTH - 1) / (F.length(m) - 1))
-        return m.rlike("[A-Za-z]") & (mean_ratio(m, model) >= threshold * least)
+        return F.exists(F.split(m, CUT), odd) & ~m.rlike(UUID)
 
     spans = _spans(text, CANDIDATE, 3, random)
 
@@ -266,10 +292,14 @@ def masked(text: Column, spans: Column) -> Column:
 
 
 def mask_secrets(docs: DataFrame, text_col: str = "text", threshold: float = THRESHOLD):
-    """The input's rows with every secret in the text replaced by its kind in brackets."""
-    names = docs.columns
-    rows = docs.withColumn("_whole", F.coalesce(F.col(text_col).cast("string"), F.lit("")))
-    rows = _with_spans(rows, "_whole", threshold)
-    clean = masked(F.col("_whole"), F.col("_spans"))
-    text = F.when(F.size("_spans") > 0, clean).otherwise(F.col(text_col))
-    return rows.withColumn(text_col, text).select(*names)
+    """The input's rows with every secret in the text replaced by its kind in brackets.
+
+    Null and empty texts and all other columns stay as they are, whatever their names; every input row gives one row, repeated ones
+    and those with null ids too; an empty table gives none.
+    """
+    # The input's columns in one, so that no name can clash.
+    whole = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
+    rows = _with_spans(docs.select(whole_row(docs), whole.alias("whole")), "whole", threshold)
+    clean = masked(F.col("whole"), F.col("_spans"))
+    text = F.when(F.size("_spans") > 0, clean).otherwise(F.col("row")[text_col])
+    return rows.select(F.col("row").withField(text_col, text).alias("row")).select("row.*")

@@ -1,7 +1,9 @@
 """Nulls, empty and very long texts, ties, repeated rows, empty tables, clashing column names."""
 
 import numpy as np
+import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from pulseline.llm import (
@@ -16,13 +18,15 @@ from pulseline.llm import (
     token_counts,
     toxicity,
 )
+from pulseline.llm.common import BATCH_BYTES, prepare
 from pulseline.llm.queries import TOKENIZER
 from pulseline.session import work_dir
 
 LONG = "alpha beta gamma delta, epsilon zeta. " * 4000
 CLASH = (
     "size key value rep label score range edge batch content target taken word spans held_out "
-    "source_size epochs cut_key text_ id vector block n a b x node base model sketch"
+    "source_size epochs cut_key text_ id vector block n a b x node base model sketch "
+    "_whole _base _model _spans _mix_size _mix_key _gone _again _id _at _text row whole gone words extra value_"
 ).split()
 ROWS = [
     (1, None, None, None),
@@ -218,6 +222,63 @@ def test_search(spark):
     assert [r.vec_id for r in tied] == [1, 2, 3, 4, 5]
 
 
+LETTERS = {
+    "½ ① ² Ⅷ 12 _": "und",
+    "\u0301\u0302": "und",
+    "हिन्दी भाषा": "hi",
+    "one two": "en",
+    "Ⅷ two": "en",
+    "e\u0301te\u0301": "fr",
+}
+
+
+def test_letters_of_languages(spark):
+    assert language_id.words("हिन्दी½x²") == ["हिन्दी", "x"]
+    learn = [(f"{i}", t, lang) for i in range(9) for t, lang in (
+        ("यह हिन्दी भाषा है", "hi"), ("one two three", "en"), ("e\u0301te\u0301 de la", "fr"))]
+    model = language_id.train(spark.createDataFrame(learn, "id string, text string, lang string"))
+    asked = spark.createDataFrame(list(enumerate(LETTERS)), "doc_id long, text string")
+    got = {r.doc_id: r.lang_pred for r in language_id.predict(asked, model).collect()}
+    assert [got[i] for i in range(len(LETTERS))] == list(LETTERS.values())
+
+
+def test_batches_are_bounded_by_bytes(spark):
+    """Long texts do not meet in one batch."""
+    rows = spark.range(40).select(F.col("id").alias("doc_id"), F.repeat(F.lit("a "), 500_000).alias("text"))
+    prepare(spark)
+
+    def sizes(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_pydict({"n": [batch.nbytes]})
+
+    got = [r.n for r in rows.coalesce(1).mapInArrow(sizes, "n long").collect()]
+    assert sum(got) > 4e7 and max(got) < 2 * BATCH_BYTES
+
+
+def test_pipeline_stages_keep_odd_rows(spark, docs, labels, tmp_path):
+    labels.limit(0).write.parquet(f"{tmp_path}/labels.parquet")
+    secret = "password = hunter2secret and more words"
+    extra = docs.filter("doc_id = 4").withColumn("text", F.lit(secret)).withColumn("doc_id", F.lit(12).cast("long"))
+    frame = docs.unionByName(extra)
+    found = {}
+    for name, stage in corpus_pipeline.STAGES:
+        frame = stage(spark, frame, str(tmp_path))
+        if name != "packing":
+            assert frame.columns == docs.columns
+            frame = spark.createDataFrame(frame.collect(), docs.schema)
+        found[name] = frame.collect()
+    assert ids(found["quality"]) == ids([*docs.collect(), type("R", (), {"doc_id": 12})])
+    # One row of a repeated id and one of two equal texts stay; null ids and empty texts all do.
+    assert ids(found["near_dedup"]) == [1, 2, 3, 4, 5, 6, 8, 9, 12, None]
+    assert len(found["secrets"]) == len(found["near_dedup"])
+    assert [r.text for r in found["secrets"] if r.doc_id == 12] == ["[assign] and more words"]
+    assert all(r["_whole"] == "x" and r["_spans"] == "x" for r in found["secrets"])
+    # Documents without words are in no mix.
+    assert not {1, 2, 3} & {r.doc_id for r in found["mixing"]}
+    assert {r["_mix_key"] for r in found["mixing"]} == {"x"}
+    assert {r.doc_id for r in found["packing"]} == {r.doc_id for r in found["mixing"]}
+
+
 def test_pipeline_on_an_empty_table(spark, empty, tmp_path):
     labels = spark.createDataFrame([], "doc_id long, quality int, toxic int")
     labels.write.parquet(f"{tmp_path}/labels.parquet")

@@ -15,7 +15,7 @@ import zstandard
 from tokenizers import Tokenizer
 
 import corpus_pipeline
-from pulseline.llm import ann, imatch, near_dedup, packing, secret_scan, token_counts
+from pulseline.llm import ann, imatch, language_id, near_dedup, packing, secret_scan, token_counts, toxicity
 from pulseline.llm.common import table
 from pulseline.llm.mixing import mix, mixed
 from pulseline.llm.queries import QUERIES, TOKENIZER
@@ -48,6 +48,45 @@ def test_toxicity_on_held_out_labels(spark):
     assert toxic.score.mean() > 3 * clean.score.mean()
 
 
+def test_toxicity_equals_plain_features_and_regression(spark):
+    """Windows, lengths saved and scores once more from zstandard and the model's parts alone."""
+    docs = table(spark, SMALL, "documents")
+    model = toxicity.learn(docs, table(spark, SMALL, "labels"))
+    got = toxicity.score(docs, model).toPandas().set_index("doc_id")
+    params = zstandard.ZstdCompressionParameters(
+        window_log=17, chain_log=16, hash_log=15, search_log=7, min_match=4, target_length=64,
+        strategy=zstandard.STRATEGY_BTLAZY2, write_content_size=False, write_checksum=False,
+        write_dict_id=False, format=zstandard.FORMAT_ZSTD1_MAGICLESS,
+    )
+
+    def size(window, content):
+        words = zstandard.ZstdCompressionDict(content, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+        return len(zstandard.ZstdCompressor(dict_data=words, compression_params=params).compress(window))
+
+    rows = docs.limit(12).collect()
+    for r in rows:
+        data, saved = (r.text or "").lower().encode(), []
+        assert b"".join(toxicity.windows(r.text or "")) == data
+        for w in toxicity.windows(r.text or ""):
+            assert len(w) <= toxicity.WINDOW
+            saved.append(size(w, model.ordinary) - size(w, model.ordinary + model.toxic))
+        saved = np.array(saved or [0])
+        assert got.most_saved[r.doc_id] == saved.max()
+        x = [saved.max(), np.log(len(saved)), saved.mean(), *((saved >= s).mean() for s in toxicity.SAVED)]
+        x += [np.log1p((saved >= s).sum()) for s in (5, 7)] + [np.sort(saved)[-3:].mean()]
+        z = model.weights[0] + ((np.array(x) - model.mean) / model.scale) @ model.weights[1:]
+        assert got.score[r.doc_id] == pytest.approx(1 / (1 + np.exp(-z)), abs=1e-9)
+
+
+def test_ordinary_dictionary_sees_all_pieces():
+    """Documents at the end of a large sample count like those at its start."""
+    draw = np.random.default_rng(2)
+    early = ["".join(draw.choice(list("abcdef "), 250)) for _ in range(2000)]
+    late = ["zebra quartz vortex jigsaw waltz " * 300 for _ in range(400)]
+    ordinary, _ = toxicity.dictionaries(["some toxic words"] * 3, early * 12 + late)
+    assert b"zebra quartz" in ordinary
+
+
 def test_search_recall_and_order(spark):
     got = QUERIES["op2_ann"](spark, SMALL).toPandas()
     given = pd.read_parquet(f"{SMALL}/embeddings.parquet")
@@ -332,6 +371,29 @@ def test_models_find_random_strings_without_digits_and_short_ones(spark):
     assert not [m for m in marked if m.isalpha() and m.lower() == m]
 
 
+IDENTIFIERS = (
+    "550e8400-e29b-41d4-a716-446655440000 /usr/local/lib/python3 utf8mb4_unicode_ci 2024-01-15T10 getElementById "
+    "application/json content-type MAX_RETRY_COUNT snake_case_name test_user_login_2024 HTTPSConnectionPool "
+    "numpy-array-api AbstractSingletonProxyFactoryBean kubernetes-dashboard us-east-1a ISO-8859-1 x86_64-linux-gnu "
+    "README_first v2beta1-release src/main/java/org com/company/project e-commerce-platform state-of-the-art "
+    "Windows10Professional McDonalds StringBuilder OAuth2AuthorizationServer base64encoded user_id_12345 "
+    "order-2024-0001234 WebSocketFactory IPv6AddressPool JavaScriptCore PostgreSQL12 backwards-compatible"
+).split()
+
+
+def test_models_leave_identifiers_and_find_base32(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")
+    rng = np.random.default_rng(6)
+    planted = {-1 - i: w for i, w in enumerate(IDENTIFIERS)}
+    for _ in range(60):
+        planted[-1 - len(planted)] = "".join(rng.choice(list("ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"), 16))
+    extra = spark.createDataFrame([(i, f"see {v} there") for i, v in planted.items()], "doc_id long, text string")
+    found = secret_scan.span_counts(secret_scan.find_secrets(docs.unionByName(extra))).toPandas()
+    marked = {planted[i] for i, s in zip(found.doc_id, found.spans) if i < 0 and s}
+    assert len(marked & set(IDENTIFIERS)) <= 5
+    assert len(marked - set(IDENTIFIERS)) >= 54
+
+
 def test_masking_leaves_no_span(spark):
     df = spark.createDataFrame([(i, t, 7) for i, t in enumerate(SECRETS)], "doc_id long, text string, start int")
     out = secret_scan.mask_secrets(df).toPandas()
@@ -347,6 +409,53 @@ def test_language_on_held_out_documents(spark):
     assert (known.lang == known.lang_pred)[known.held_out].mean() > 0.98
 
 
+def test_language_scores_equal_plain_sums(spark):
+    """Predictions once more from plain counts, word by word."""
+    docs = pd.read_parquet(f"{SMALL}/documents.parquet")
+    held = crc(docs.doc_id, 3, 1)
+    counts, pieces = {}, {}
+    for text, lang in zip(docs.text[~held], docs.lang[~held]):
+        if text and lang:
+            counts.setdefault(lang, Counter()).update(re.findall(r"[^\W\d_]+", text.lower()))
+    for lang, words in counts.items():
+        for word, n in words.items():
+            for size in range(1, language_id.LONGEST + 1):
+                for gram in language_id.grams(word, size):
+                    pieces.setdefault((lang, size), Counter())[gram] += n
+    langs = sorted(counts)
+
+    def logs(tables, share, term):
+        """By language; none where the term is known to no language."""
+        parts = [t[term] / sum(t.values()) if t else 0 for t in tables]
+        if max(parts) < share:
+            return None
+        return np.array([math.log(p) if p >= share else math.log(share / 10) for p in parts])
+
+    memo = {}
+
+    def word_score(word):
+        if word not in memo:
+            own = logs([counts[x] for x in langs], language_id.WORD_SHARE, word)
+            size = language_id.LONGEST
+            while own is None and size:
+                tables = [pieces[x, size] for x in langs]
+                known = [s for g in language_id.grams(word, size) if (s := logs(tables, language_id.GRAM_SHARE, g)) is not None]
+                own = np.mean(known, axis=0) if known else None
+                size -= 1
+            memo[word] = np.zeros(len(langs)) if own is None else own
+        return memo[word]
+
+    got = language_id.identify(table(spark, SMALL, "documents")).toPandas().set_index("doc_id")
+    for key, text in list(zip(docs.doc_id, docs.text))[:60]:
+        words = re.findall(r"[^\W\d_]+", (text or "").lower())
+        if not words:
+            assert got.lang_pred[key] == "und"
+            continue
+        total = sum(word_score(w) for w in words) / math.sqrt(len(words))
+        assert got.lang_pred[key] == langs[int(total.argmax())]
+        assert got.score[key] == pytest.approx(1 / np.exp(total - total.max()).sum(), rel=1e-3)
+
+
 def test_fingerprints_of_edited_and_next(spark, documents):
     got = QUERIES["op10_imatch"](spark, SMALL).toPandas().set_index("doc_id")
     docs = documents.sort_values("doc_id", ascending=False)
