@@ -25,10 +25,11 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from pulseline.llm.common import packed, unpacked
+
 #: The band of document frequencies (shares of all texts): rarer and more frequent terms go.
 LOW, HIGH = 0.001, 0.2
 #: Texts with at least this share of all rows count once in the frequencies, and copies of the others as they occur: no
@@ -248,18 +249,9 @@ def in_ranges(rows: DataFrame, range_docs: int = RANGE_DOCS, ranges: int = RANGE
         out = [[r, follows[k]] if k in follows else [r] for k, r in zip(v.tolist(), own)]
         return pd.Series(out, dtype=object)
 
-    def squeeze(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        squeezer = zstandard.ZstdCompressor(level=1)
-        for batch in batches:
-            texts = [squeezer.compress(t.encode("utf-8", "surrogatepass")) for t in batch.column("text").to_pylist()]
-            names = [n for n in batch.schema.names if n != "text"]
-            arrays = [*(batch.column(n) for n in names), pa.array(texts, pa.binary())]
-            yield pa.RecordBatch.from_arrays(arrays, [*names, "packed"])
-
     tie = F.xxhash64("text").alias("tie")
     dealt = rows.select("doc_id", "text", tie, F.posexplode(ranges_of(order)).alias("edge", "range"))
-    # Texts are compressed one by one before they move: the exchange would do it worse.
-    dealt = dealt.mapInArrow(squeeze, "doc_id long, tie long, edge int, range int, packed binary")
+    dealt = packed(dealt)
     return dealt.repartition("range").sortWithinPartitions(
         "range", "edge", F.desc_nulls_last("doc_id"), "tie"
     )
@@ -284,13 +276,11 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         maker = Fingerprinter(*shared.value)
-        unpack = zstandard.ZstdDecompressor().decompress
         held = None  # the last row: range, edge, id, text, signatures
         for batch in batches:
             out = []
-            columns = ("range", "edge", "doc_id", "packed")
-            for place, edge, key, packed in zip(*(batch.column(c).to_pylist() for c in columns)):
-                text = unpack(packed).decode("utf-8", "surrogatepass")
+            columns = (batch.column(c).to_pylist() for c in ("range", "edge", "doc_id"))
+            for place, edge, key, text in zip(*columns, unpacked(batch.column("packed"))):
                 now = (place, edge, key, text, maker.signatures(text))
                 if held is not None and held[0] == place and not held[1]:
                     _, _, key, text, own = held

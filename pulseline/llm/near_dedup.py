@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from pulseline.llm.common import bucketed, stored, whole_row
+from pulseline.llm.common import bucketed, packed, stored, unpacked, whole_row
 
 #: Sketch size, and the values that sketches of linked documents share at least: 51 are expected at
 #: a similarity of 0.8, with a deviation of 3.2, so fewer than 34 come three times in ten million links.
@@ -200,12 +200,13 @@ def shingle_sets(docs: DataFrame, ids: DataFrame, words: int) -> DataFrame:
     """doc_id and full shingle set of the documents whose id is in ``ids`` (rep), in buckets by doc_id."""
     keys = ids.select(F.col("rep").alias("_id")).distinct()
     # The side of the ids is the one to be hashed; texts are neither sorted nor held.
-    rows = docs.join(keys.hint("shuffle_hash"), F.col("doc_id") == F.col("_id"), "left_semi")
+    rows = packed(docs.select("doc_id", "text").filter("doc_id is not null"))
+    rows = rows.join(keys.hint("shuffle_hash"), F.col("doc_id") == F.col("_id"), "left_semi")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingler = Shingler(words)
         for batch in batches:
-            sets = [shingler.hashes(t) for t in batch.column("text").to_pylist()]
+            sets = [shingler.hashes(t) for t in unpacked(batch.column("packed"))]
             arrays = [batch.column("doc_id"), pa.array(sets, pa.list_(pa.int64()))]
             yield pa.RecordBatch.from_arrays(arrays, ["doc_id", "set"])
 
