@@ -172,6 +172,55 @@ def compact_states(states: DataFrame, by=("date_num", "hostname")) -> DataFrame:
     )
 
 
+def cookie_numbers(ua: DataFrame) -> DataFrame:
+    """A number for every human cookie, the dictionary of the bitmap states.
+
+    Numbers are unique and dense within each task, as bitmaps want them; store the result, for another run numbers anew.
+    """
+    cookies = humans(ua).select("user_cookie").distinct()
+    return cookies.withColumn("number", F.monotonically_increasing_id())
+
+
+def bitmap_states(ua: DataFrame, numbers: DataFrame, by=("date_num",)) -> DataFrame:
+    """Exact mergeable users: one bitmap of 32,768 cookies for each group and range of numbers."""
+    pairs = humans(ua).select(*by, "user_cookie").distinct().join(numbers, "user_cookie")
+    place = F.bitmap_bit_position("number")
+    return pairs.groupBy(*by, F.bitmap_bucket_number("number").alias("bucket")).agg(
+        F.bitmap_construct_agg(place).alias("users_map")
+    )
+
+
+def bitmap_users(states: DataFrame, by=()) -> DataFrame:
+    """Exact distinct users of any groups of the states, from the bitmaps alone."""
+    merged = states.groupBy(*by, "bucket").agg(F.bitmap_or_agg("users_map").alias("users_map"))
+    return merged.groupBy(*by).agg(F.sum(F.bitmap_count("users_map")).alias("users"))
+
+
+def user_sets(ua: DataFrame, by=("date_num",)) -> DataFrame:
+    """Theta sketches of the human cookies, which can be subtracted and intersected as well as merged."""
+    return humans(ua).groupBy(*by).agg(F.theta_sketch_agg("user_cookie").alias("users_set"))
+
+
+def new_against_before(sets: DataFrame, days: int = 7) -> DataFrame:
+    """Per day its users, and those that the ``days`` days before did not have, estimated from day sketches alone.
+
+    Each day's sketch goes to the days behind it that it counts against, a fixed number, so there is no
+    join of days. A day without events has no row.
+    """
+    day = F.datediff(F.to_date(F.col("date_num").cast("string"), "yyyyMMdd"), F.lit("1970-01-01"))
+    sent = sets.withColumn("day", day).withColumn("ahead", F.explode(F.sequence(F.lit(0), F.lit(days))))
+    merged = sent.groupBy((F.col("day") + F.col("ahead")).alias("day")).agg(
+        F.max(F.when(F.col("ahead") == 0, F.col("date_num"))).alias("date_num"),
+        F.theta_union_agg(F.when(F.col("ahead") == 0, F.col("users_set"))).alias("own"),
+        F.theta_union_agg(F.when(F.col("ahead") > 0, F.col("users_set"))).alias("before"),
+    )
+    return merged.filter("date_num IS NOT NULL").select(
+        "date_num",
+        F.theta_sketch_estimate("own").alias("users"),
+        F.theta_sketch_estimate(F.theta_difference("own", "before")).alias("new_users"),
+    )
+
+
 def slot_keys(ua: DataFrame, as_of=None, lookback: int | None = None) -> DataFrame:
     """Distinct human (slot, host, cookie): the exact state of the online slots.
 

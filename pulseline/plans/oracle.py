@@ -759,6 +759,16 @@ twin(
     *THREATS,
     ALERTS,
 )
+twin(
+    "alerts_table",
+    f"""
+SELECT * FROM alerts
+WHERE NOT (ip IN {_list(DISMISSED)} AND timestamp < epoch(make_timestamp({DAY // 10000}, {DAY // 100 % 100}, {DAY % 100}, 0, 0, 0)))
+  AND ip NOT IN (SELECT ip FROM alerts WHERE threat_type = 'Multi-host Scan')
+""",
+    *THREATS,
+    ALERTS,
+)
 twin("loaded_alerts", "SELECT * FROM alerts", *THREATS, ALERTS)
 twin(
     "loaded_verdicts",
@@ -796,3 +806,30 @@ SELECT slot_start, count(*) AS hits FROM (
   FROM ua WHERE is_bot = 0) GROUP BY ALL
 """,
 )
+twin(
+    "stream_open_slots",
+    "SELECT slot_start, hostname, CAST(count(*) AS BIGINT) AS active_users FROM slots GROUP BY ALL",
+    SLOTS,
+)
+twin(
+    "stream_minute_peak",
+    """
+SELECT CAST(max(users) AS BIGINT) AS peak FROM (
+  SELECT timestamp // 60 AS minute, count(DISTINCT user_cookie) AS users FROM ua WHERE is_bot = 0 GROUP BY ALL)
+""",
+)
+twin(
+    "monthly_users_bitmap",
+    f"SELECT CAST(date_num // 100 AS BIGINT) AS month, CAST({USERS} AS BIGINT) AS users FROM ua GROUP BY ALL HAVING {USERS} > 0",
+)
+twin(
+    "daily_new_users_sketch_error",
+    f"""
+SELECT s.date_num, count(*) FILTER (WHERE NOT EXISTS (
+    SELECT 1 FROM seen b WHERE b.user_cookie = s.user_cookie
+      AND {_day("b.date_num")} < {_day("s.date_num")} AND {_day("b.date_num")} >= {_day("s.date_num")} - 7
+  )) AS new_users, 1 AS close
+FROM seen s GROUP BY s.date_num
+""",
+    "seen AS (SELECT DISTINCT date_num, user_cookie FROM ua WHERE is_bot = 0)",
+)

@@ -3,7 +3,7 @@
 from collections.abc import Callable
 from functools import cached_property
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from pulseline.functions.text import ATTACK_PATTERN, SENSITIVE_PATTERN
@@ -23,8 +23,8 @@ from pulseline.operators import (
     trends,
 )
 from pulseline.session import configure, stored, work_dir
-from pulseline.sources import export, ingest, tables, testdata
-from pulseline.streaming import jobs
+from pulseline.sources import alert_table, export, ingest, tables, testdata
+from pulseline.streaming import jobs, live
 
 DAY = 20240115
 WEEK = (20240108, 20240114)
@@ -237,6 +237,27 @@ def daily_rollup_sketch_by_day(t):
     return rollups.merge_states(rollups.compact_states(states), by=["date_num"])
 
 
+@report
+def monthly_users_bitmap(t):
+    """Exact users per month from the days' bitmaps alone."""
+    numbers = stored(rollups.cookie_numbers(t.ua), "numbers")
+    states = rollups.bitmap_states(t.ua, numbers).withColumn("month", F.floor(F.col("date_num") / 100))
+    return rollups.bitmap_users(states, by=["month"])
+
+
+@report
+def daily_new_users_sketch_error(t):
+    """New users against the week before, exact, and whether the day sketches give them within five percent."""
+    seen = filters.humans(t.ua).select("date_num", "user_cookie").distinct()
+    day = F.datediff(F.to_date(F.col("date_num").cast("string"), "yyyyMMdd"), F.lit("1970-01-01"))
+    before = F.lag(day).over(Window.partitionBy("user_cookie").orderBy("date_num"))
+    fresh = seen.withColumn("fresh", F.coalesce(day - before > 7, F.lit(True)))
+    exact = fresh.groupBy("date_num").agg(F.count_if("fresh").alias("new_users"))
+    found = rollups.new_against_before(rollups.user_sets(t.ua)).withColumnRenamed("new_users", "near")
+    close = F.abs(F.col("near") - F.col("new_users")) <= F.greatest(F.lit(1.0), 0.05 * F.col("users"))
+    return exact.join(found, "date_num").select("date_num", "new_users", close.cast("int").alias("close"))
+
+
 @report
 def daily_rollup_sketch_error(t):
     """Merged sketches against exact counts: sums equal, distincts within five percent."""
@@ -620,6 +641,19 @@ def alerts_dismiss_table(t):
     return alerts.alerts_dismiss(rows, rows.filter("threat_type = 'Multi-host Scan'"))
 
 
+@report
+def alerts_table(t):
+    """Alerts of two loads with a dismissal between them, folded, dismissed from again, and read."""
+    path, rows = t.dir("alerts"), stored(t.alert_rows(), "rows")
+    early = F.unix_timestamp(F.lit(str(DAY)), "yyyyMMdd")
+    alert_table.add_alerts(rows.filter(F.col("timestamp") < early), path)
+    alert_table.dismiss(t.spark.createDataFrame([(ip,) for ip in DISMISSED], "ip string"), path)
+    alert_table.add_alerts(rows.filter(F.col("timestamp") >= early), path)
+    alert_table.compact(t.spark, path)
+    alert_table.dismiss(rows.filter("threat_type = 'Multi-host Scan'"), path)
+    return alert_table.read_alerts(t.spark, path)
+
+
 @report
 def blocklist(t):
     return alerts.blocklist(t.threats())
@@ -642,6 +676,19 @@ def _in_files(t: Tables, files: int) -> DataFrame:
     return testdata.to_activity(stream.parquet(source), t.table("pages"))
 
 
+def _in_order(t: Tables, files: int) -> DataFrame:
+    """The activity stream in micro-batches that follow one another in time."""
+    source, events = t.dir("events"), t.table("events")
+    shares = [i / files for i in range(1, files)]
+    at = F.unix_micros(F.col("ts").cast("timestamp"))
+    cuts = [None, *events.agg(F.percentile_approx(at, shares)).first()[0], None]
+    for low, high in zip(cuts, cuts[1:]):
+        inside = (F.lit(True) if low is None else at > low) & (F.lit(True) if high is None else at <= high)
+        events.filter(inside).coalesce(1).write.mode("append").parquet(source)
+    stream = t.spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 1)
+    return testdata.to_activity(stream.parquet(source), t.table("pages"))
+
+
 @report
 def stream_activity(t):
     path, checkpoint = t.dir("activity"), t.dir("checkpoint")
@@ -775,9 +822,29 @@ def stream_live_slots(t):
     )
 
 
+@report
+def stream_open_slots(t):
+    """Exact users of every slot from state with timers, over several micro-batches."""
+    path = t.dir("open")
+    live.keep_users(
+        _in_order(t, 3), path, t.dir("checkpoint"), interval=None, period=86400, parts=2
+    ).awaitTermination()
+    return live.read_users(t.spark, path)
+
+
 @report
 def stream_minute_peak(t):
-    """Busiest minute of all."""
+    """Users of the busiest minute of all, exact."""
+    path = t.dir("minutes")
+    live.keep_users(
+        _streamed(t), path, t.dir("checkpoint"), None, seconds=60, by_host=False, period=86400, parts=2
+    ).awaitTermination()
+    return live.read_users(t.spark, path).agg(F.max("active_users").alias("peak"))
+
+
+@report
+def stream_minute_peak_approx(t):
+    """Busiest minute of all, from sketches."""
     return _changes(t, jobs.minute_users(_streamed(t))).agg(F.max("users").alias("peak"))
 
 

@@ -50,11 +50,9 @@ def _whole_number(name: str) -> Column:
 
     Only a number may have a fraction, which is cut off: as text it is no integer.
     """
-    text, number = F.col(f"m.{name}"), F.col(f"numbers.{name}")
-    return F.coalesce(
-        text.try_cast("bigint"),
-        F.when(number.isNotNull(), text.try_cast("decimal(38,9)").try_cast("bigint")),
-    )
+    value = F.col(f"m.{name}")
+    # Booleans would be cast to 0 and 1.
+    return F.when(F.schema_of_variant(value) != "BOOLEAN", F.try_variant_get(value, "$", "bigint"))
 
 
 def _is_number(field: T.StructField) -> bool:
@@ -62,33 +60,24 @@ def _is_number(field: T.StructField) -> bool:
 
 
 def _parse(messages: DataFrame, schema: T.StructType) -> DataFrame:
-    """``m``, each field of the message as text, and ``bad``: null, or why the row is refused.
+    """``m``, the message's fields, and ``bad``: null, or why the row is refused.
 
-    Numbers are read as text so that one bad field does not hide the others; ``numbers`` has those that
-    are JSON numbers. A message is one JSON object: in brackets, anything behind it is malformed.
+    Parsed once: texts as text, numbers as what they are in the message, so that one bad field does not
+    hide the others. A message is one JSON object: in brackets, anything behind it is malformed.
     """
     numeric = [f for f in schema if _is_number(f)]
-
-    def only(fields, kind):
-        return T.ArrayType(T.StructType([T.StructField(f.name, kind) for f in fields]))
-
+    kinds = [T.StructField(f.name, T.VariantType() if f in numeric else T.StringType()) for f in schema]
     one = F.concat(F.lit("["), "value", F.lit("]"))
-    parsed = messages.select(
-        "value",
-        F.from_json(one, only(schema, T.StringType())).alias("a"),
-        F.from_json(one, only(numeric, T.DoubleType())).alias("n"),
-    )
+    # The generator keeps the optimizer from copying the parse into every field and filter below.
+    whole = F.from_json(one, T.ArrayType(T.StructType(kinds)))
+    parsed = messages.select("value", F.explode(F.array(whole)).alias("a"))
     broken = F.coalesce(F.size("a") != 1, F.lit(True)) | F.get("a", F.lit(0)).isNull()
-    parsed = parsed.select(
-        "value",
-        F.get("a", F.lit(0)).alias("m"),
-        F.get("n", F.lit(0)).alias("numbers"),
-        broken.alias("broken"),
-    )
+    parsed = parsed.select("value", F.get("a", F.lit(0)).alias("m"), broken.alias("broken"))
     bad_number = F.lit(False)
     for field in numeric:
-        raw = F.col(f"m.{field.name}")
-        bad_number = bad_number | (raw.isNotNull() & _whole_number(field.name).isNull())
+        value = F.col(f"m.{field.name}")
+        given = value.isNotNull() & ~F.is_variant_null(value)
+        bad_number = bad_number | (given & _whole_number(field.name).isNull())
     reason = F.when(F.col("broken"), "malformed json").when(bad_number, "bad number")
     return parsed.withColumn("bad", reason)
 

@@ -110,13 +110,17 @@ def ingest_messages(
     """JSON messages to an activity table, refused messages to a second table.
 
     Crawlers are flagged by their user agent, whatever the sender says. Each table's batch is
-    replaced as a whole on a replay.
+    replaced as a whole on a replay. A batch's messages are read once for both tables.
     """
 
     def work(df: DataFrame, batch_id: int) -> None:
-        good, bad = normalize_events(df)
-        write_batch(mark_bots(good), good_path, batch_id)
-        write_batch(bad, bad_path, batch_id)
+        df = df.persist()
+        try:
+            good, bad = normalize_events(df)
+            write_batch(mark_bots(good), good_path, batch_id)
+            write_batch(bad, bad_path, batch_id)
+        finally:
+            df.unpersist()
 
     return _each_batch(messages, checkpoint, interval, work)
 
