@@ -54,7 +54,11 @@ def ip_profile(ua: DataFrame, per=("date_num",), approx: bool = False) -> DataFr
 
     ``approx`` counts distincts by sketches, which copies no row.
     """
-    visits = _visits(ua, per)
+    return profile_of_visits(_visits(ua, per), per, approx).drop("last_ts")
+
+
+def profile_of_visits(visits: DataFrame, per=("date_num",), approx: bool = False) -> DataFrame:
+    """The profile from folded visits, and the second of an address's last request as ``last_ts``."""
     rows = visits.groupBy(*per, "ip_user").agg(
         aggs.uniq("user_cookie", approx=approx).alias("distinct_cookies"),
         F.max(F.when(blank("user_cookie"), 0).otherwise(1)).alias("has_cookie"),
@@ -67,6 +71,7 @@ def ip_profile(ua: DataFrame, per=("date_num",), approx: bool = False) -> DataFr
         aggs.last_of("referer").alias("last"),
         F.sum(F.col("hits") * F.col("is_bot")).alias("bot_flags"),
         aggs.span().alias("duration_sec"),
+        F.max("last_ts").alias("last_ts"),
     )
     rps = aggs.round_at(F.col("total_requests") / F.greatest("duration_sec", F.lit(1)), 2)
     score = (
@@ -131,14 +136,21 @@ def shared_agents(profile: DataFrame, at_least: int, per=("date_num",)) -> DataF
     )
 
 
-def ip_threats(profile: DataFrame, limits: IpThresholds = IpThresholds(), per=("date_num",)) -> DataFrame:
+def ip_threats(
+    profile: DataFrame,
+    limits: IpThresholds = IpThresholds(),
+    per=("date_num",),
+    shared: DataFrame | None = None,
+) -> DataFrame:
     """Critical and suspicious addresses; the first rule that holds names the threat.
 
     The profile has one row per address and is read twice, so pass a stored one. A common
     user agent makes the join key hot, which the adaptive skew join splits; the other
-    side has one row per agent.
+    side has one row per agent. ``shared`` holds the shared agents where the profile
+    has not all addresses.
     """
-    shared = shared_agents(profile, limits.shared_agent_ips, per)
+    if shared is None:
+        shared = shared_agents(profile, limits.shared_agent_ips, per)
     rows = profile.join(shared, [*per, "user_agent"], "left")
 
     c = F.col

@@ -1,7 +1,12 @@
 """Totals, pages and top-n."""
 
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from pulseline.session import work_dir
 
 RANK_LIMIT = "spark.sql.optimizer.windowGroupLimitThreshold"
 SALTS = 64
@@ -62,3 +67,54 @@ def _first_rows(df: DataFrame, n: int, order, per) -> DataFrame:
     window = Window.partitionBy(*per).orderBy(*order)
     ranked = df.withColumn("_rank", F.row_number().over(window))
     return ranked.filter(F.col("_rank") <= n).drop("_rank")
+
+
+@dataclass(frozen=True)
+class Ranked:
+    """Rows in key ranges that follow one another in the order, and how many rows each range has."""
+
+    rows: DataFrame
+    order: tuple
+    range_name: str
+    counts: tuple[tuple[int, int], ...]
+
+    @property
+    def total(self) -> int:
+        return sum(n for _, n in self.counts)
+
+
+def ranked(df: DataFrame, order, ranges: int | None = None) -> Ranked:
+    """Store ``df`` in ``ranges`` key ranges of a total order, from which pages are picked by rank.
+
+    The rows move once. Ranges are split by all keys of the order, so many rows that are alike in the first
+    key are spread as well. The driver learns one count per range, whatever the number of rows. By default there are as many ranges as shuffle
+    partitions; a page sorts the one or two ranges that hold it.
+    """
+    spark = df.sparkSession
+    ranges = ranges or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    name = "range"
+    while name.lower() in {c.lower() for c in df.columns}:
+        name = f"{name}_"
+    path = work_dir(spark, "ranked")
+    dealt = df.repartitionByRange(ranges, *order).withColumn(name, F.spark_partition_id())
+    dealt.write.partitionBy(name).parquet(path)
+    schema = T.StructType([*df.schema.fields, T.StructField(name, T.IntegerType())])
+    rows = spark.read.schema(schema).parquet(path)
+    counts = rows.groupBy(name).agg(F.count("*").alias("n")).collect()
+    return Ranked(rows, tuple(order), name, tuple(sorted((r[0], r[1]) for r in counts)))
+
+
+def ranked_page(pages: Ranked, limit: int, offset: int = 0) -> DataFrame:
+    """Rows ``offset`` .. ``offset + limit`` by rank; only the ranges that hold them are read and sorted.
+
+    Behind the last row the page is empty.
+    """
+    wanted, skipped, before = [], 0, 0
+    for one, n in pages.counts:
+        if before + n <= offset:
+            skipped = before + n
+        elif before < offset + limit:
+            wanted.append(one)
+        before += n
+    rows = pages.rows.filter(F.col(pages.range_name).isin(wanted)).drop(pages.range_name)
+    return page(rows, pages.order, limit, offset - skipped)

@@ -212,6 +212,7 @@ twin("touched_dates", "SELECT date_num FROM touched", _TOUCHED)
 twin("refresh_rollup", f"{_ROLLUP} WHERE date_num IN (SELECT date_num FROM touched) GROUP BY ALL", _TOUCHED)
 twin("first_seen", "SELECT * FROM first", FIRST)
 twin("stream_first_seen", "SELECT * FROM first", FIRST)
+twin("stream_first_seen_upsert", "SELECT * FROM first", FIRST)
 twin(
     "stream_first_seen_compacted",
     "SELECT * FROM first WHERE first_date_num BETWEEN 20240108 AND 20240114",
@@ -295,6 +296,12 @@ twin(
     f"SELECT *, (SELECT count(*) FROM detail) AS total_count, CAST(ceil((SELECT count(*) FROM detail) / 50.0) AS BIGINT) AS total_pages FROM detail {_NEWEST} LIMIT 50 OFFSET 20",
     _sessions(f"date_num = {DAY} AND contains(ip_user, '10.0')"),
 )
+twin(
+    "session_page_deep",
+    f"""SELECT *, (SELECT count(*) FROM detail) AS total_count FROM detail {_NEWEST}, date_num DESC
+LIMIT 50 OFFSET (SELECT count(*) // 2 FROM detail)""",
+    _sessions(),
+)
 twin(
     "session_page_after",
     f"""SELECT * FROM detail WHERE last_ts < 1705330000
@@ -798,6 +805,15 @@ FROM threats, latest""",
     *_RANKED,
     *_threats("window_rank"),
 )
+ORACLE["stream_abuse_by_address"] = ORACLE["stream_abuse_alerts"]
+twin(
+    "stream_sliding_users",
+    """
+SELECT slot_start, count(DISTINCT user_cookie) AS users FROM (
+  SELECT user_cookie, unnest(range(timestamp // 60 * 60 - 29 * 60, timestamp // 60 * 60 + 1, 60)) AS slot_start
+  FROM ua WHERE is_bot = 0) GROUP BY ALL
+""",
+)
 twin(
     "stream_sliding_hits",
     """

@@ -1,5 +1,6 @@
 """Named queries over the test tables: one entry per operator."""
 
+import os
 from collections.abc import Callable
 from functools import cached_property
 
@@ -24,7 +25,7 @@ from pulseline.operators import (
 )
 from pulseline.session import configure, stored, work_dir
 from pulseline.sources import alert_table, export, ingest, tables, testdata
-from pulseline.streaming import jobs, live
+from pulseline.streaming import addresses, jobs, live, panes, seen
 
 DAY = 20240115
 WEEK = (20240108, 20240114)
@@ -34,6 +35,8 @@ CLUSTER_LIMITS = clusters.ClusterThresholds(ips=3, sensitive_requests=1)
 REFERER_LISTS = referers.RefererLists(high_traffic=2)
 DISMISSED = ["203.0.113.9", "10.0.0.0"]
 
+SEEN_BUCKETS = 16
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
 
@@ -383,6 +386,15 @@ def session_page(t):
     return sessions.session_page(t.days(DAY, DAY), DAY, ip="10.0", limit=50, offset=20)
 
 
+@report
+def session_page_deep(t):
+    """The page in the middle of all sessions of all days, by rank."""
+    order = [F.desc("last_ts"), F.desc("session_id"), F.desc("user_cookie"), F.desc("date_num")]
+    ranks = paging.ranked(sessions.session_detail(t.ua), order)
+    rows = paging.ranked_page(ranks, limit=50, offset=ranks.total // 2)
+    return rows.withColumn("total_count", F.lit(ranks.total).cast("bigint"))
+
+
 @report
 def session_page_after(t):
     cursor = (1705330000, "s", "")
@@ -783,6 +795,16 @@ def stream_first_seen(t):
     return jobs.read_first_seen(t.spark, path)
 
 
+@report
+def stream_first_seen_upsert(t):
+    """First-seen days from a bucketed table that several micro-batches add their new pairs to."""
+    path, name = t.dir("seen"), f"seen_{os.urandom(6).hex()}"
+    seen.keep_seen(
+        _in_files(t, 3), name, path, t.dir("checkpoint"), interval=None, buckets=SEEN_BUCKETS
+    ).awaitTermination()
+    return seen.read_seen(t.spark, name, path, SEEN_BUCKETS)
+
+
 @report
 def stream_rollup_compacted(t):
     """The rollup from a base of two folded batches, split by day, and two open ones."""
@@ -848,11 +870,20 @@ def stream_minute_peak_approx(t):
     return _changes(t, jobs.minute_users(_streamed(t))).agg(F.max("users").alias("peak"))
 
 
+def _panes(t: Tables) -> DataFrame:
+    path = t.dir("panes")
+    panes.keep_panes(_in_files(t, 3), path, t.dir("checkpoint"), interval=None).awaitTermination()
+    return panes.read_panes(t.spark, path)
+
+
 @report
 def stream_sliding_hits(t):
-    log = _changes(t, jobs.sliding_hits(_streamed(t), minutes=30))
-    last = F.max(F.struct(jobs.BATCH, "hits"))["hits"]
-    return log.groupBy(F.unix_timestamp("slot.start").alias("slot_start")).agg(last.alias("hits"))
+    return panes.sliding_hits(_panes(t), minutes=30)
+
+
+@report
+def stream_sliding_users(t):
+    return panes.sliding_users(_panes(t), minutes=30)
 
 
 @report
@@ -860,3 +891,11 @@ def stream_abuse_alerts(t):
     path = t.dir("alerts")
     jobs.watch_abuse(_streamed(t), lambda: t.ua, path, t.dir("checkpoint"), interval=None).awaitTermination()
     return t.spark.read.parquet(path).drop(jobs.BATCH)
+
+
+@report
+def stream_abuse_by_address(t):
+    """Alerts from the state of the addresses of the batch."""
+    path = t.dir("watched")
+    addresses.watch_addresses(_streamed(t), path, t.dir("checkpoint"), interval=None, parts=2).awaitTermination()
+    return addresses.read_alerts(t.spark, path).drop(jobs.BATCH)

@@ -270,12 +270,12 @@ def read_first_seen(spark: SparkSession, path: str, base_path: str | None = None
     return rollups.merge_first_seen(_with_base(spark, path, base_path).drop(BATCH))
 
 
-def _human_slots(stream: DataFrame, size: str, slide: str | None = None) -> DataFrame:
+def _human_slots(stream: DataFrame, size: str) -> DataFrame:
     return (
         stream.filter("is_bot = 0")
         .withColumn("event_time", F.timestamp_seconds("timestamp"))
         .withWatermark("event_time", WATERMARK)
-        .withColumn("slot", F.window("event_time", size, slide))
+        .withColumn("slot", F.window("event_time", size))
     )
 
 
@@ -300,13 +300,6 @@ def closed_slots(stream: DataFrame) -> DataFrame:
     )
 
 
-def sliding_hits(stream: DataFrame, minutes: int = 30) -> DataFrame:
-    """Human hits and approximate users per trailing window, sliding by one minute."""
-    return _human_slots(stream, f"{minutes} minutes", "1 minute").groupBy("slot").agg(
-        F.count("*").alias("hits"), F.approx_count_distinct("user_cookie").alias("users")
-    )
-
-
 def minute_users(stream: DataFrame) -> DataFrame:
     """Approximate users per minute; the peak is their maximum at read."""
     return _human_slots(stream, "1 minute").groupBy("slot").agg(
