@@ -243,6 +243,7 @@ _hits("day_list_filter", f"date_num IN ({_NEEDED})", "date_num, hostname")
 _hits("day_range_filter", f"date_num BETWEEN {WEEK[0]} AND {WEEK[1]}", "date_num, hostname")
 _hits("host_filter", f"hostname = {BUSIEST}", "date_num, hostname")
 _hits("ip_search", "contains(ip_user, '10.0.0.1')", "ip_user")
+ORACLE["ip_search_index"] = ORACLE["ip_search"]
 _hits("time_range_filter", "timestamp >= as_of - 345600 AND timestamp < as_of - 86400", "date_num, hostname")
 _LOCAL_HOUR = "CAST((timestamp + 28800) // 3600 % 24 AS INTEGER)"
 _hits("hour_cutoff", f"{_LOCAL_HOUR} <= {HOUR}", "date_num")

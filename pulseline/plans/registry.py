@@ -24,7 +24,7 @@ from pulseline.operators import (
     trends,
 )
 from pulseline.session import configure, stored, work_dir
-from pulseline.sources import alert_table, export, ingest, tables, testdata
+from pulseline.sources import alert_table, export, ingest, ip_index, tables, testdata
 from pulseline.streaming import addresses, jobs, live, panes, seen
 
 DAY = 20240115
@@ -316,6 +316,15 @@ def ip_search(t):
     return _hits(filters.ip_contains(t.ua, " 10.0.0.1"), "ip_user")
 
 
+@report
+def ip_search_index(t):
+    """The same search from the trigram index."""
+    path = t.dir("index")
+    ip_index.write_index(t.ua, path)
+    found = ip_index.search(t.spark, path, " 10.0.0.1")
+    return found.groupBy("ip_user").agg(F.sum("hits").alias("hits"))
+
+
 @report
 def time_range_filter(t):
     end = t.as_of - F.lit(86400)

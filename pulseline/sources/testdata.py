@@ -208,32 +208,33 @@ def legacy_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ua.select(F.to_json(message).alias("value"))
 
 
-def write_reports(threats: DataFrame, path: str) -> None:
-    """One fenced verdict report per day, with a template row that means nothing.
+def write_reports(threats: DataFrame, path: str, parts: int = 4) -> None:
+    """Fenced verdict reports, up to ``parts`` per day, each with a header and a template row that means nothing.
 
-    Reasons are quoted and go over two lines; forty columns that nobody reads come first.
+    Addresses are dealt by hash, so no task writes and no reader parses a whole day at once. Reasons are quoted and go
+    over two lines; forty columns that nobody reads come first.
     """
-    top = threats
     cells = ["verdict", "score", "ip", "country", "isp", "threat_type", "reason", "solution"]
     quoted = F.concat(F.lit('"'), F.col("reason"), F.lit(',\nchecked"'))
     unread = 40
     values = {"country": F.lit("US"), "isp": F.lit("Example Net"), "reason": quoted}
     line = F.concat_ws(",", F.lit("," * (unread - 1)), *[values.get(c, F.col(c).cast("string")) for c in cells])
-    rows = top.select("date_num", F.lit(2).alias("part"), "ip", line.alias("value"))
+    report = F.pmod(F.xxhash64("ip"), F.lit(parts)).alias("report")
+    rows = threats.select("date_num", report, F.lit(2).alias("part"), "ip", line.alias("value"))
     frame = F.array(
         F.struct(F.lit(0).alias("part"), F.lit("```csv").alias("value")),
         F.struct(F.lit(1).alias("part"), F.lit(",".join(f"x{i}" for i in range(unread)) + ", verdict , score," + ",".join(cells[2:])).alias("value")),
         F.struct(F.lit(3).alias("part"), F.lit("," * unread + "Critical,99,<IP>,US,X,<threat_type>,r,s").alias("value")),
         F.struct(F.lit(4).alias("part"), F.lit("```").alias("value")),
     )
-    frames = top.select("date_num").distinct().select("date_num", F.explode(frame).alias("f"))
-    frames = frames.select("date_num", "f.part", F.lit("").alias("ip"), "f.value")
+    frames = rows.select("date_num", "report").distinct().select("date_num", "report", F.explode(frame).alias("f"))
+    frames = frames.select("date_num", "report", "f.part", F.lit("").alias("ip"), "f.value")
     (
         rows.unionByName(frames)
-        .repartition("date_num")
-        .sortWithinPartitions("date_num", "part", "ip")
-        .select("date_num", "value")
-        .write.partitionBy("date_num")
+        .repartition("date_num", "report")
+        .sortWithinPartitions("date_num", "report", "part", "ip")
+        .select("date_num", "report", "value")
+        .write.partitionBy("date_num", "report")
         .text(path)
     )
 
