@@ -1,10 +1,12 @@
 """Exact users of open slots and minutes, kept in state until the slot has closed.
 
 A key of the state is a period of slots and one part of its users, by hash, so a busy slot or host is spread over several
-keys. Its map holds the (slot, host, cookie) seen; one that is new adds one to the change log, which readers sum up.
-An event-time timer at the end of the period clears the map: behind the watermark no event of it can come.
+keys. Its list holds, per slot and micro-batch, the (host, cookie) that were new then, packed; one that is new adds one to the
+change log, which readers sum up. The list is read and added to as a whole, once for each batch that has rows of its key.
+An event-time timer at the end of the period clears the list: behind the watermark no event of it can come.
 """
 
+import json
 from collections.abc import Iterator
 
 import pandas as pd
@@ -33,19 +35,26 @@ class SlotUsers(StatefulProcessor):
 
     def init(self, handle) -> None:
         self.handle = handle
-        key = "slot_start bigint, hostname string, user_cookie string"
-        self.seen = handle.getMapState("seen", key, "one int")
+        self.seen = handle.getListState("seen", "slot_start bigint, users string")
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
         columns = ("slot_start", "hostname", "user_cookie")
-        met = {p for df in rows for p in zip(*(df[c].tolist() for c in columns))}
-        new: dict[tuple[int, str], int] = {}
-        for one in met:
-            if not self.seen.containsKey(one):
-                self.seen.updateValue(one, (1,))
-                new[one[:2]] = new.get(one[:2], 0) + 1
+        # Cookies by slot and host.
+        met: dict[int, dict[str, set[str]]] = {}
+        for df in rows:
+            for slot, host, cookie in zip(*(df[c].tolist() for c in columns)):
+                met.setdefault(slot, {}).setdefault(host, set()).add(cookie)
+        for slot, users in self.seen.get():
+            if hosts := met.get(slot):
+                for host, cookies in json.loads(users).items():
+                    if host in hosts:
+                        hosts[host].difference_update(cookies)
+        met = {slot: {h: c for h, c in hosts.items() if c} for slot, hosts in met.items()}
+        packed = [(s, json.dumps({h: list(c) for h, c in hosts.items()})) for s, hosts in met.items() if hosts]
+        if packed:
+            self.seen.appendList(packed)
         self.handle.registerTimer((int(key[0]) + self.period) * 1000)
-        yield _rows(new)
+        yield _rows({(s, host): len(c) for s, hosts in met.items() for host, c in hosts.items()})
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         self.seen.clear()
@@ -75,7 +84,7 @@ def user_changes(
     """The change log of exact human users per slot and host (or per slot, with an empty host).
 
     Sparse traffic wants long periods and few parts, busy traffic the opposite: a key is kept for a period and the
-    watermark's delay, and its users are looked up one by one.
+    watermark's delay, and its list is read in every batch that has rows of it.
     """
     if period % seconds:
         raise ValueError("a period holds whole slots")

@@ -1,5 +1,6 @@
 """Exact live slots over restarts and expiry, the alert table, bitmap and theta states, the single parse."""
 
+import pandas as pd
 import pytest
 from conftest import DAY_START, rows
 from pyspark.sql import functions as F
@@ -114,3 +115,56 @@ def test_numbers_in_messages(spark, given, want):
     good, bad = ingest.normalize_events(df)
     assert [r.timestamp for r in good.collect()] == ([] if want is None else [want])
     assert [r.reason for r in bad.collect()] == (["bad number"] if want is None else [])
+
+
+class _Held:
+    """A handle whose list or map state is counted by calls."""
+
+    def __init__(self):
+        self.calls, self.held, self.timers = 0, [], []
+
+    def getListState(self, name, *schemas):
+        return self
+
+    getMapState = getListState
+
+    def _call(self, value=None):
+        self.calls += 1
+        return value
+
+    def get(self):
+        return self._call(iter(self.held))
+
+    def appendList(self, values):
+        self._call(self.held.extend(values))
+
+    def containsKey(self, key):
+        return self._call(key in self.held)
+
+    def updateValue(self, key, value):
+        self._call(self.held.append(key))
+
+    def registerTimer(self, at):
+        self.timers.append(at)
+
+
+def test_calls_to_the_state_do_not_grow_with_the_users():
+    calls = {}
+    for users in (3, 300):
+        handle, one = _Held(), live.SlotUsers(3600)
+        one.init(handle)
+
+        def feed(spec):
+            df = pd.DataFrame(spec, columns=["slot_start", "hostname", "user_cookie"])
+            # A key's rows may come in several pieces.
+            got = [tuple(r) for out in one.handleInputRows((3600, 0), iter([df[::2], df[1::2]]), None) for r in out.to_numpy()]
+            return sorted(got)
+
+        spec = [(slot, host, f"u{i}") for slot in (3600, 4200) for host in ("", "b") for i in range(users)]
+        assert feed(spec) == [(slot, host, users) for slot in (3600, 4200) for host in ("", "b")]
+        assert feed(spec) == []
+        assert feed([*spec, (4200, "b", "\ud800\""), (4200, "b", ""), (4800, "b", "u1")]) == [(4200, "b", 2), (4800, "b", 1)]
+        assert feed([(4200, "b", "\ud800\""), (4200, "c", "u1")]) == [(4200, "c", 1)]
+        assert set(handle.timers) == {7_200_000}
+        calls[users] = handle.calls
+    assert calls[3] == calls[300]
