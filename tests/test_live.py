@@ -43,6 +43,25 @@ def test_open_slots_over_a_restart_and_expiry(spark, act, tmp_path):
     assert live.read_users(spark, path, since=DAY_START + 600).count() == 2
 
 
+def test_lists_go_on_over_a_restart_and_are_cleared(spark, act, tmp_path):
+    source, path, checkpoint = (str(tmp_path / x) for x in ("in", "out", "checkpoint"))
+
+    def feed(*spec):
+        _events(act, spec).coalesce(1).write.mode("append").parquet(source)
+        stream = spark.readStream.schema(ACTIVITY_SCHEMA).parquet(source)
+        live.keep_users(stream, path, checkpoint, interval=None, parts=1).awaitTermination()
+        state = spark.read.format("statestore").option("stateVarName", "seen").load(checkpoint)
+        return sorted(tuple(r[0]) for r in state.select("list_element").collect())
+
+    slot = DAY_START
+    assert feed((5, "a", "u1", 0), (6, "a", "u1", 0)) == [(slot, '{"a": ["u1"]}')]
+    # Only what is new is added; a batch without anything new adds nothing.
+    both = [(slot, '{"a": ["u1"]}'), (slot, '{"a": ["u2"]}'), (slot + 600, '{"a": ["u1"]}')]
+    assert feed((7, "a", "u1", 0), (8, "a", "u2", 0), (601, "a", "u1", 0)) == both
+    assert feed((9, "a", "u1", 0), (602, "a", "u1", 0)) == both
+    assert feed((20_000, "c", "u9", 0)) == [(slot + 19_800, '{"c": ["u9"]}')]
+
+
 def _alerts(spark, *found):
     schema = "ip string, threat_type string, timestamp bigint"
     names = {f.name for f in alert_table.ALERT_SCHEMA}
