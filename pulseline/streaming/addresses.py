@@ -13,7 +13,7 @@ import json
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StreamingQuery
 
@@ -28,6 +28,8 @@ from pulseline.streaming.live import ROCKS, STORE
 #: Keys that share the visits of an address.
 PARTS = 8
 MINUTE = 60
+#: Events that a task folds at once.
+CHUNK = 200_000
 VISITS = (
     "ip_user string, user_cookie string, hostname string, url string, browser string, "
     "referer string, is_bot int, timestamp bigint, hits bigint"
@@ -35,6 +37,7 @@ VISITS = (
 FOLDED = f"{VISITS}, part int, event_time timestamp"
 #: What a visit is folded by within its minute.
 FIELDS = [*ips.VISIT, "timestamp"]
+HELD = Row("ip_user", *FIELDS, "hits")
 TEXTS = ["ip_user", "user_cookie", "hostname", "url", "browser", "referer"]
 
 
@@ -45,9 +48,7 @@ def _folded(parts: int, reach: int):
     """
 
     def fold(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for df in frames:
-            if df.empty:
-                continue
+        for df in _chunks(frames):
             newest = df.groupby("ip_user")["timestamp"].transform("max")
             df = df[df["timestamp"] > newest - reach]
             rows = df.groupby(["ip_user", *FIELDS], as_index=False, dropna=False).size()
@@ -65,6 +66,20 @@ def _folded(parts: int, reach: int):
     return fold
 
 
+def _chunks(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Frames put together to ``CHUNK`` rows and more: the more rows, the more of an address fold or lie behind."""
+    some, n = [], 0
+    for df in frames:
+        if not df.empty:
+            some.append(df)
+            n += len(df)
+        if n >= CHUNK:
+            yield pd.concat(some, ignore_index=True)
+            some, n = [], 0
+    if some:
+        yield pd.concat(some, ignore_index=True)
+
+
 class AddressVisits(StatefulProcessor):
     """Adds the batch's visits to the minutes of a key and gives out all that its window holds."""
 
@@ -75,15 +90,15 @@ class AddressVisits(StatefulProcessor):
         self.handle = handle
         self.minutes = handle.getMapState("minutes", "minute bigint", "visits string")
 
-    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
         new: dict[int, dict[tuple, int]] = {}
         newest = 0
-        for df in rows:
-            newest = max(newest, int(df["timestamp"].max()))
-            df = df[df["hits"] > 0]
-            for *visit, hits in zip(*(df[c].tolist() for c in (*FIELDS, "hits"))):
+        for row in rows:
+            newest = max(newest, row["timestamp"])
+            if hits := row["hits"]:
+                visit = tuple(row[c] for c in FIELDS)
                 minute = new.setdefault(visit[-1] - visit[-1] % MINUTE, {})
-                minute[tuple(visit)] = minute.get(tuple(visit), 0) + hits
+                minute[visit] = minute.get(visit, 0) + hits
         new = {minute: visits for minute, visits in new.items() if minute > newest - self.reach}
         for minute, visits in new.items():
             if self.minutes.containsKey((minute,)):
@@ -93,18 +108,14 @@ class AddressVisits(StatefulProcessor):
                 self.handle.registerTimer(self._end(minute) * 1000)
             packed = json.dumps([[*visit, hits] for visit, hits in visits.items()])
             self.minutes.updateValue((minute,), (packed,))
-        held = [
-            (key[0], *visit)
-            for (minute,), (packed,) in self.minutes.iterator()
-            if minute > newest - self.window - MINUTE
-            for visit in json.loads(packed)
-        ]
-        yield _frame(held)
-
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        for (minute,), (packed,) in self.minutes.iterator():
+            if minute > newest - self.window - MINUTE:
+                yield from (HELD(key[0], *visit) for visit in json.loads(packed))
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
         minute = expiredTimerInfo.getExpiryTimeInMs() // 1000 - self._end(0)
         self.minutes.removeKey((minute,))
-        yield _frame([])
+        return iter(())
 
     def _end(self, minute: int) -> int:
         return minute + MINUTE + self.window
@@ -113,14 +124,6 @@ class AddressVisits(StatefulProcessor):
         pass
 
 
-def _frame(held: list[tuple]) -> pd.DataFrame:
-    names = ["ip_user", *FIELDS, "hits"]
-    df = pd.DataFrame(held, columns=names)
-    types = {"is_bot": "int32", "timestamp": "int64", "hits": "int64"}
-    df = df.astype({c: types.get(c, object) for c in names})
-    return df[[c.split()[0] for c in VISITS.split(", ")]]
-
-
 def window_visits(
     stream: DataFrame, window: int = ips.RECENT_SECONDS, parts: int = PARTS
 ) -> DataFrame:
@@ -135,7 +138,8 @@ def window_visits(
     events = events.withColumn("is_bot", F.coalesce("is_bot", F.lit(0)))
     folded = events.select("ip_user", *FIELDS).mapInPandas(_folded(parts, reach), FOLDED)
     folded = folded.withWatermark("event_time", f"{SLOT_LOOKBACK} seconds")
-    return folded.groupBy("ip_user", "part").transformWithStateInPandas(
+    # Most keys have a few rows only, too few for a data frame each.
+    return folded.groupBy("ip_user", "part").transformWithState(
         AddressVisits(window, reach), VISITS, "Update", "EventTime"
     )
 

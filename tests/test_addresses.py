@@ -2,6 +2,7 @@
 
 import random
 
+import pandas as pd
 from conftest import DAY_START, rows
 from pyspark.sql import functions as F
 
@@ -59,6 +60,24 @@ def test_alerts_equal_the_check_over_the_window(spark, act, tmp_path):
         assert len(held) <= given[0] <= len([r for r in seen if r["ip_user"] in touched])
 
 
+def test_events_of_many_frames_are_folded_together():
+    """A long history comes in small frames; what lies behind in all of them together goes no further."""
+    rng = random.Random(3)
+    blank = dict.fromkeys(ips.VISIT, "") | {"is_bot": 0}
+    events = [dict(blank, ip_user=f"10.0.0.{i % 5}", timestamp=NOON + i * 60) for i in range(1000)]
+    rng.shuffle(events)
+    names = ["ip_user", *addresses.FIELDS]
+    frames = [pd.DataFrame(events[i : i + 4])[names] for i in range(0, 1000, 4)]
+    out = pd.concat(addresses._folded(2, 7200)(iter([frames[0][:0], *frames, frames[0][:0]])))
+    kept = out[out["hits"] > 0]
+    newest = {f"10.0.0.{i % 5}": NOON + i * 60 for i in range(1000)}
+    want = [(e["ip_user"], e["timestamp"]) for e in events if e["timestamp"] > newest[e["ip_user"]] - 7200]
+    assert sorted(zip(kept["ip_user"], kept["timestamp"])) == sorted(want)
+    wanted = out[out["hits"] == 0]
+    assert sorted(zip(wanted["ip_user"], wanted["part"], wanted["timestamp"])) == sorted((a, p, t) for a, t in newest.items() for p in (0, 1))
+    assert list(addresses._folded(2, 7200)(iter([frames[0][:0]]))) == []
+
+
 def test_state_is_dropped_by_timers_and_days_do_not_mix(spark, act, tmp_path):
     feed = _watch(spark, tmp_path)
     feed(act(*[dict(timestamp=NOON + i, ip_user="10.0.0.1", hostname=h) for i, h in enumerate("abc")]))
