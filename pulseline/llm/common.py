@@ -5,6 +5,7 @@ from __future__ import annotations
 import os
 import pathlib
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -16,8 +17,8 @@ from pyspark.sql.types import BinaryType, StructField, StructType
 from pulseline.session import configure, stored, work_dir
 
 __all__ = [
-    "WORDS", "bucketed", "each_of", "held_out", "matrix", "packed", "prepare", "stored", "table", "unpacked",
-    "whole_row", "work_dir",
+    "WORDS", "bucketed", "each_of", "forget", "held_out", "matrix", "packed", "prepare", "shuffles_dropped", "stored", "table",
+    "unpacked", "whole_row", "work_dir",
 ]
 
 #: A word: everything between ASCII blanks (space, tab, line feed, VT, FF, CR).
@@ -92,6 +93,33 @@ def bucketed(df: DataFrame, name: str, key: str) -> DataFrame:
     return spark.table(title)
 
 
+#: Spark's own switch: a query that has ended drops its shuffle files.
+DROP_SHUFFLES = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+@contextmanager
+def shuffles_dropped(spark: SparkSession) -> Iterator[None]:
+    """Writes that run inside drop their shuffle files when they end, not when the driver next collects its garbage.
+
+    For rows that are written once and then read back: running the same frame again would have to repeat its shuffles.
+    """
+    before = spark.conf.get(DROP_SHUFFLES, "false")
+    spark.conf.set(DROP_SHUFFLES, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(DROP_SHUFFLES, before)
+
+
+def forget(df: DataFrame) -> None:
+    """Delete the folder of a ``stored`` frame that nothing reads any more."""
+    spark = df.sparkSession
+    context, files = spark.sparkContext, df.inputFiles()
+    if files:
+        folder = context._jvm.org.apache.hadoop.fs.Path(files[0]).getParent()
+        folder.getFileSystem(context._jsc.hadoopConfiguration()).delete(folder, True)
+
+
 def held_out(key: str, modulus: int, remainder: int) -> Column:
     """True where crc32 of the key as text leaves ``remainder``; false for a null key."""
     rest = F.crc32(F.col(key).cast("string").cast("binary")) % modulus

@@ -29,7 +29,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from pulseline.llm.common import bucketed, packed, stored, unpacked, whole_row
+from pulseline.llm import common
+from pulseline.llm.common import bucketed, forget, packed, shuffles_dropped, unpacked, whole_row
 
 #: Sketch size, and the values that sketches of linked documents share at least: 51 are expected at
 #: a similarity of 0.8, with a deviation of 3.2, so fewer than 34 come three times in ten million links.
@@ -52,6 +53,12 @@ HELD_WORDS = 400_000
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 
 
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """``df`` written to the work folder and read back; what was shuffled for it is gone by then."""
+    with shuffles_dropped(df.sparkSession):
+        return common.stored(df, name)
+
+
 class Shingler:
     """Sorted distinct 63-bit hashes of a text's word shingles."""
 
@@ -177,23 +184,26 @@ def star_pairs(lists: DataFrame, members: int, first: int, similarity: float) ->
     return best.select(F.col("rep").alias("a"), F.col("to").alias("b")).distinct()
 
 
-def met(pairs: DataFrame, sets: DataFrame, first: int | None = None) -> DataFrame:
-    """Pairs (a, b) with the full sets ``_a`` and ``_b`` of both, or the smallest values of them.
+def decided(pairs: DataFrame, sets: DataFrame, fits, name: str, first: int | None = None) -> DataFrame:
+    """The distinct pairs (a, b) that fit by the full sets ``_a`` and ``_b`` of both, or the ``first`` values of them.
 
     A pair goes to the bucket of ``a``; from there the set goes on to ``b``, which may be in any number of
-    pairs: that join has no bucket in it, so a hot partition of it can be split.
+    pairs: that join has no bucket in it, so a hot partition of it can be split. The copies of the sets are deleted
+    when the pairs are written.
     """
     values = F.col("set") if first is None else F.slice("set", 1, first)
     one = sets.select(F.col("doc_id").alias("a"), values.alias("_a"))
     ends = pairs.select(F.col("b").alias("doc_id")).distinct()
     two = stored(sets.join(ends, "doc_id", "left_semi").select(F.col("doc_id").alias("b"), values.alias("_b")), "ends")
-    return pairs.join(one, "a").join(two, "b")
+    found = pairs.join(one, "a").join(two, "b").filter(fits)
+    found = stored(found.select("a", "b").distinct(), name)
+    forget(two)
+    return found
 
 
 def likely(pairs: DataFrame, sets: DataFrame, sketch: int, floor: float) -> DataFrame:
     """The pairs (a, b) whose estimate reaches the floor."""
-    both = met(pairs, sets, sketch)
-    return both.filter(estimate("_a", "_b", sketch) >= floor).select("a", "b").distinct()
+    return decided(pairs, sets, estimate("_a", "_b", sketch) >= floor, "pairs", sketch)
 
 
 def shingle_sets(docs: DataFrame, ids: DataFrame, words: int) -> DataFrame:
@@ -210,7 +220,8 @@ def shingle_sets(docs: DataFrame, ids: DataFrame, words: int) -> DataFrame:
             arrays = [batch.column("doc_id"), pa.array(sets, pa.list_(pa.int64()))]
             yield pa.RecordBatch.from_arrays(arrays, ["doc_id", "set"])
 
-    return bucketed(rows.mapInArrow(run, "doc_id long, set array<long>"), "sets", "doc_id")
+    with shuffles_dropped(docs.sparkSession):
+        return bucketed(rows.mapInArrow(run, "doc_id long, set array<long>"), "sets", "doc_id")
 
 
 def verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
@@ -218,7 +229,7 @@ def verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
     both = F.size(F.array_intersect("_a", "_b"))
     percent = round(100 * similarity)
     fits = both * 100 >= (F.size("_a") + F.size("_b") - both) * percent
-    return met(pairs, sets).filter(fits).select("a", "b").distinct()
+    return decided(pairs, sets, fits, "verified")
 
 
 def oriented(pairs: DataFrame) -> DataFrame:
@@ -519,8 +530,15 @@ def near_duplicates(
         F.any_value("n_shingles").alias("n"),
         F.any_value("sketch").alias("sketch"),
     )
-    classes = stored(classes, "classes")
-    lists = stored(prefix_postings(classes, sketch, shared, similarity), "lists")
+    sketched = stored(classes, "classes")
+    lists = stored(prefix_postings(sketched, sketch, shared, similarity), "lists")
+    # Sketches are used up; the rest is small.
+    classes = stored(sketched.drop("sketch"), "classes")
+    some = stored(every.drop("sketch"), "documents")
+    forget(sketched)
+    forget(every)
+    every = some
+    some = every.filter(F.col("doc_id").isNotNull() & (F.col("n_shingles") > 0))
     floor = similarity - MARGIN
     sets = shingle_sets(rows, lists, words)
     # A document with several texts joins their classes.
@@ -534,11 +552,11 @@ def near_duplicates(
         if left.isEmpty():
             break
         if members is None:
-            pairs = open_pairs(left, sets, similarity, sketch, shared)
+            pairs = stored(open_pairs(left, sets, similarity, sketch, shared), "pairs")
         else:
             stars = stored(star_pairs(left, members, sum(STARS[:turn]), similarity), "stars")
             pairs = likely(stars, sets, sketch, floor)
-        more = stored(verified(stored(pairs, "pairs"), sets, similarity), "verified")
+        more = verified(pairs, sets, similarity)
         if not more.isEmpty():
             # Components that are known already shrink to their label.
             labels = components(more, labels)
