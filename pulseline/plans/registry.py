@@ -697,16 +697,23 @@ def _in_files(t: Tables, files: int) -> DataFrame:
     return testdata.to_activity(stream.parquet(source), t.table("pages"))
 
 
-def _in_order(t: Tables, files: int) -> DataFrame:
-    """The activity stream in micro-batches that follow one another in time."""
+def _in_order(t: Tables, batches: int) -> DataFrame:
+    """The activity stream in micro-batches that follow one another in time.
+
+    Every batch has the same number of files, so that many tasks write and read them.
+    """
     source, events = t.dir("events"), t.table("events")
-    shares = [i / files for i in range(1, files)]
+    files = min(t.spark.sparkContext.defaultParallelism, events.rdd.getNumPartitions())
+    shares = [i / batches for i in range(1, batches)]
     at = F.unix_micros(F.col("ts").cast("timestamp"))
     cuts = [None, *events.agg(F.percentile_approx(at, shares)).first()[0], None]
-    for low, high in zip(cuts, cuts[1:]):
+    for n, (low, high) in enumerate(zip(cuts, cuts[1:]), 1):
         inside = (F.lit(True) if low is None else at > low) & (F.lit(True) if high is None else at <= high)
-        events.filter(inside).coalesce(1).write.mode("append").parquet(source)
-    stream = t.spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 1)
+        events.filter(inside).coalesce(files).write.mode("append").parquet(source)
+        # A task without rows writes no file; with too few, a batch would take some of the next.
+        while len(t.spark.read.schema(events.schema).parquet(source).inputFiles()) < n * files:
+            events.limit(0).write.mode("append").parquet(source)
+    stream = t.spark.readStream.schema(events.schema).option("maxFilesPerTrigger", files)
     return testdata.to_activity(stream.parquet(source), t.table("pages"))
 
 
@@ -856,9 +863,9 @@ def stream_live_slots(t):
 @report
 def stream_open_slots(t):
     """Exact users of every slot from state with timers, over several micro-batches."""
-    path = t.dir("open")
+    path, tasks = t.dir("open"), 2 * t.spark.sparkContext.defaultParallelism
     live.keep_users(
-        _in_order(t, 3), path, t.dir("checkpoint"), interval=None, period=86400, parts=2
+        _in_order(t, 3), path, t.dir("checkpoint"), interval=None, partitions=tasks, period=86400, parts=2
     ).awaitTermination()
     return live.read_users(t.spark, path)
 

@@ -46,9 +46,10 @@ def write_batch(df: DataFrame, path: str, batch_id: int, files: int | None = Non
 
     Below it rows are split by day if they have one, so that readers of a day skip the others.
     An earlier attempt leaves nothing behind, not even days that this one has no row of.
-    ``files`` bounds the files per folder; small frequent batches want a small number.
+    ``files`` bounds the files per folder; small frequent batches want a small number. Rows are dealt to them
+    once they are made: coalescing would run all the work of the batch, state included, in as few tasks.
     """
-    df = df if files is None else df.coalesce(files)
+    df = df if files is None else df.repartition(files)
     writer = df.write.mode("overwrite").option("partitionOverwriteMode", "static")
     if "date_num" in df.columns:
         writer = writer.partitionBy("date_num")

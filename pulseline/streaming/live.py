@@ -24,6 +24,7 @@ SLOT_SECONDS = 600
 PERIOD, PARTS = 3600, 8
 CHANGES = "slot_start bigint, hostname string, new_users bigint"
 STORE = "spark.sql.streaming.stateStore.providerClass"
+SHUFFLE = "spark.sql.shuffle.partitions"
 ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
@@ -115,22 +116,28 @@ def keep_users(
     seconds: int = SLOT_SECONDS,
     by_host: bool = True,
     files: int | None = 1,
+    partitions: int | None = None,
     **spread: int,
 ) -> StreamingQuery:
     """Write the change log, one folder per micro-batch, which a replay replaces as a whole.
 
+    ``partitions`` are those of the state, the session's shuffle partitions if not given; a checkpoint keeps its first
+    number. Every batch starts a worker for each and commits it, rows or not, so few keys want few.
     ``spread`` holds ``period`` and ``parts`` of ``user_changes``.
     """
     conf = stream.sparkSession.conf
-    before = conf.get(STORE)
+    before = {name: conf.get(name) for name in (STORE, SHUFFLE)}
     conf.set(STORE, ROCKS)  # map state and timers live there
     try:
+        if partitions is not None:
+            conf.set(SHUFFLE, partitions)
         changes = user_changes(stream, seconds, by_host, **spread)
         return _each_batch(
             changes, checkpoint, interval, lambda df, batch: write_batch(df, path, batch, files)
         )
     finally:
-        conf.set(STORE, before)
+        for name, value in before.items():
+            conf.set(name, value)
 
 
 def read_users(spark: SparkSession, path: str, since: int | None = None) -> DataFrame:

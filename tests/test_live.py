@@ -1,15 +1,20 @@
 """Exact live slots over restarts and expiry, the alert table, bitmap and theta states, the single parse."""
 
+import datetime
+
 import pandas as pd
 import pytest
 from conftest import DAY_START, rows
+from pyspark import TaskContext
 from pyspark.sql import functions as F
 
+from pulseline.functions.timefn import slot_start
 from pulseline.operators import rollups
+from pulseline.plans import registry
 from pulseline.schema import ACTIVITY_SCHEMA
 from pulseline.session import stored
-from pulseline.sources import alert_table, ingest
-from pulseline.streaming import live
+from pulseline.sources import alert_table, ingest, testdata
+from pulseline.streaming import jobs, live
 
 
 def _events(act, spec):
@@ -62,6 +67,60 @@ def test_lists_go_on_over_a_restart_and_are_cleared(spark, act, tmp_path):
     assert feed((20_000, "c", "u9", 0)) == [(slot + 19_800, '{"c": ["u9"]}')]
 
 
+def test_few_files_do_not_make_few_tasks(spark, tmp_path):
+    def tasks(frames):
+        for df in frames:
+            yield pd.DataFrame({"id": df.id, "task": TaskContext.get().partitionId()})
+
+    path = str(tmp_path / "out")
+    jobs.write_batch(spark.range(400, numPartitions=4).mapInPandas(tasks, "id bigint, task int"), path, 0, files=1)
+    got = spark.read.parquet(path)
+    assert got.select("task").distinct().count() == 4
+    assert len(got.inputFiles()) == 1 and sorted(r.id for r in got.collect()) == list(range(400))
+
+
+def test_partitions_of_the_state(spark, act, tmp_path):
+    source = str(tmp_path / "in")
+    _events(act, [(i * 300, "ab"[i % 2], f"u{i % 7}", 0) for i in range(60)]).write.parquet(source)
+    before, got = spark.conf.get(live.SHUFFLE), []
+    for n in (None, 3):
+        path, checkpoint = (str(tmp_path / f"{x}{n}") for x in ("out", "checkpoint"))
+        stream = spark.readStream.schema(ACTIVITY_SCHEMA).parquet(source)
+        live.keep_users(stream, path, checkpoint, interval=None, partitions=n).awaitTermination()
+        held = spark.read.format("state-metadata").load(checkpoint).first().numPartitions
+        assert (held, spark.conf.get(live.SHUFFLE)) == (n or int(before), before)
+        got.append(rows(live.read_users(spark, path)))
+    assert got[0] == got[1] and sum(users for _, _, users in got[0]) == 60
+
+
+def test_batches_in_order_have_several_files(spark, tmp_path):
+    day, given = datetime.datetime(2024, 1, 15), str(tmp_path / "events.parquet")
+    schema = testdata.SCHEMAS["events"]
+    # Files follow one another in time, so a batch has rows of some tasks only; many events share a second.
+    for f in range(8):
+        at = [day + datetime.timedelta(minutes=40 * f if i % 2 else 40 * f + i) for i in range(12)]
+        part = [(f * 12 + i, ts, f * 5 + i, "view", 0.0, '{"k": 3}') for i, ts in enumerate(at)]
+        spark.createDataFrame(part, schema).coalesce(1).write.mode("append").parquet(given)
+    pages = [(i, f"http://h{i % 3}.example.com/{i}", "") for i in range(10)]
+    spark.createDataFrame(pages, testdata.SCHEMAS["pages"]).write.parquet(str(tmp_path / "pages.parquet"))
+
+    t = registry.Tables(spark, str(tmp_path))
+    t.dir = lambda name: str(tmp_path / f"made-{name}")
+    registry._in_order(t, 3)
+    files = sorted((tmp_path / "made-events").glob("*.parquet"), key=lambda f: f.stat().st_mtime_ns)
+    n = len(files) // 3
+    assert n > 1 and len(files) == 3 * n
+    batches = [spark.read.schema(schema).parquet(*map(str, files[i * n : (i + 1) * n])) for i in range(3)]
+    ids = [{r.event_id for r in b.collect()} for b in batches]
+    assert sum(map(len, ids)) == 96 and set().union(*ids) == set(range(96))
+    ends = [b.agg(F.min("ts"), F.max("ts")).first() for b in batches]
+    assert ends[0][1] < ends[1][0] and ends[1][1] < ends[2][0]
+
+    people = t.ua.filter("is_bot = 0").groupBy(slot_start("timestamp").alias("slot_start"), "hostname")
+    want = people.agg(F.countDistinct("user_cookie").alias("active_users"))
+    assert rows(registry.QUERIES["stream_open_slots"](spark, str(tmp_path))) == rows(want)
+
+
 def _alerts(spark, *found):
     schema = "ip string, threat_type string, timestamp bigint"
     names = {f.name for f in alert_table.ALERT_SCHEMA}
